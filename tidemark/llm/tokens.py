@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,40 +11,70 @@ import numpy as np
 from tidemark.llm.shared import segments, spaced
 
 VOCABULARY = "word_bpe_49k.json"
+#: Letters that stay one letter each in lower case and in any normal form.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class ChunkEncoder:
     """Encodes whole texts exactly as the tokenizer does.
 
-    This vocabulary drops white space and never merges across it, so a text's ids are those of its
-    blank-free chunks in a row; a chunk's ids are remembered, up to a number of chunks.
+    This vocabulary drops white space, lowers case and never merges across white space or from a letter to
+    another character, so a text's ids are those of its blank-free chunks in a row, and a chunk's are those
+    of the letters it begins with and of the rest. Chunks and parts are remembered, up to a number of each.
+    Plain words are encoded many at once: each ends with an id that ends a word.
     Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", remember: int = 400_000):
+    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", chunks: int = 300_000, parts: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.remember, self.known = dtype, remember, {"": b""}
+        ends = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ends.values()) + 1, bool)
+        self.ends[[i for w, i in ends.items() if w.endswith("</w>")]] = True
+        self.dtype, self.most_chunks, self.most_parts = np.dtype(dtype), chunks, parts
+        self.chunks, self.parts = {"": b""}, {"": b""}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids as bytes of the dtype."""
         for text in texts:
-            yield b"".join(map(self._part, segments(text)))
-
-    def _part(self, text: str) -> bytes:
-        chunks, known = spaced(text).split(" "), self.known
-        if new := [c for c in set(chunks) if c not in known]:
-            if len(known) + len(new) > self.remember:
-                known = self.known = {"": b""}
-                new = list(set(chunks) - {""})
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, self.dtype).tobytes()
+            yield b"".join(map(self._segment, segments(text)))
+
+    def _segment(self, text: str) -> bytes:
+        chunks, known = spaced(text).split(" "), self.chunks
+        if new := set(chunks).difference(known):
+            if len(known) + len(new) > self.most_chunks:
+                known = self.chunks = {"": b""}
+                new = set(chunks)
+            self._learn(new)
         return b"".join([known[c] for c in chunks])
 
+    def _learn(self, new: set[str]) -> None:
+        split = []
+        for c in new:
+            m = _LETTERS.match(c)
+            cut = m.end() if m else 0
+            if cut < len(c) and c[cut] > "\x7f":  # a letter of another script or a mark that joins the last letter
+                split.append((c, "", c))
+            else:
+                split.append((c, c[:cut].lower(), c[cut:]))
+        parts = self.parts
+        if len(parts) + 2 * len(split) > self.most_parts:
+            parts = self.parts = {"": b""}
+        if plain := [*{w for _, w, _ in split if w not in parts}]:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()]
+            flat = ids.astype(self.dtype).tobytes()
+            parts.update(zip(plain, map(flat.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        if other := [*{r for _, _, r in split if r not in parts}]:
+            for r, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                parts[r] = np.array(e.ids, self.dtype).tobytes()
+        for c, w, r in split:
+            self.chunks[c] = parts[w] + parts[r] if r else parts[w]
+
 
 _encoders: dict[tuple, ChunkEncoder] = {}
 
