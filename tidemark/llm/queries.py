@@ -10,6 +10,7 @@ from tidemark.llm.dedup_stream import exact_groups
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import personal_data
 from tidemark.llm.rules import quality
+from tidemark.llm.simhash import near_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_tokeniser_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op3_pii_anchor_expansion": op3_pii_anchor_expansion,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
+    "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
 }
 
