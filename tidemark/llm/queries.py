@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.dedup_stream import exact_groups
+from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import personal_data
 from tidemark.llm.rules import quality
@@ -21,6 +22,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op8_tokeniser_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_pii_anchor_expansion": op3_pii_anchor_expansion,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
     "op7_simhash_multi_index": op7_simhash_multi_index,
