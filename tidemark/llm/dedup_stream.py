@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ascii_lower, looked_up, removed, shared_dir, written
+from tidemark.llm.shared import ascii_lower, looked_up, place, removed, shared_dir, without, written
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SEEN = "doc_id long, place long, digest binary"
@@ -50,7 +50,7 @@ class ExactDeduplicator:
 
     def observe(self, docs: DataFrame, files_a_batch: int | None = None) -> None:
         """Reads doc_id and text of every row; place, the locator, tells rows with the same doc_id apart."""
-        docs.select(F.col("doc_id").cast("long"), _place(docs).alias("place"), sha256(normal(F.col("text"))).alias("digest")).write.mode("append").parquet(self.inbox)
+        docs.select(F.col("doc_id").cast("long"), place(), sha256(normal(F.col("text"))).alias("digest")).write.mode("append").parquet(self.inbox)
         stream = self.spark.readStream.schema(SEEN)
         if files_a_batch:
             stream = stream.option("maxFilesPerTrigger", files_a_batch)
@@ -76,11 +76,6 @@ class ExactDeduplicator:
         return self.spark.read.schema(SEEN).parquet(self.inbox)
 
 
-def _place(docs: DataFrame) -> Column:
-    """Where a row's content is, as a number: the same for the same rows in the same order of tasks."""
-    return F.monotonically_increasing_id()
-
-
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
@@ -110,8 +105,8 @@ def differing(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Col
     return dealt.join(keepers, ["digest", "salt"]).where(F.col("content") != F.col("content_kept")).select("doc_id", "digest", "content")
 
 
-def exact_groups(docs: DataFrame, folder: str | None = None, files_a_batch: int | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, folder: str | None = None, files_a_batch: int | None = None, with_place: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and place if asked for.
 
     Of rows whose texts are equal after lower-casing A-Z, the one with the largest doc_id stays; of rows that
     repeat that doc_id too, the last by place, so exactly one row of a group is kept. A null text is the
@@ -133,4 +128,10 @@ def exact_groups(docs: DataFrame, folder: str | None = None, files_a_batch: int
         "group_size",
         ((F.coalesce("doc_id", hidden) == F.col("kept.doc_id")) & (F.col("place") == F.col("kept.place"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["place"] if with_place else []),
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns. docs has to be a table that Spark reads from files."""
+    return without(docs, exact_groups(docs, with_place=True).where("NOT kept").select("place"), f"{shared_dir(docs.sparkSession)}/dropped")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD, shared_dir, written
+from tidemark.llm.shared import WORD, place, shared_dir, written
 
 #: A document is taken at most this many times.
 MOST = 3
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, fa
     folder = shared_dir(spark)
     sized = docs.select(
         F.col("doc_id").cast("long"),
-        F.monotonically_increasing_id().alias("place"),
+        place(),
         F.col("source").cast("string"),
         F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
@@ -142,7 +142,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0)
     docs has to be a table that Spark reads from files: its rows are found again by their place in the scan.
     """
     plan = mix(docs, weights, seed).where("taken > 0").select(F.col("place").alias("_place"), F.col("copies").alias("_copies"), F.col("cut_to").alias("_cut"))
-    rows = docs.withColumn("_place", F.monotonically_increasing_id()).join(plan, "_place")
+    rows = docs.withColumn("_place", place()).join(plan, "_place")
     starts = F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
     whole = rows.where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).drop("_n")
     cut = rows.where("_cut > 0").withColumn("text", F.array_join(F.slice(starts, F.lit(1), F.col("_cut").cast("int")), ""))

@@ -86,6 +86,22 @@ def remainder(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def place() -> Column:
+    """Where a row is in the scan of a table that Spark reads from files, as a number: it finds the row again."""
+    return F.monotonically_increasing_id().alias("place")
+
+
+#: Up to this many places are broadcast to drop rows; more are joined.
+BROADCAST_PLACES = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, folder: str) -> DataFrame:
+    """The rows of docs, with all their columns, whose place isn't in dropped."""
+    dropped = written(dropped.select(F.col("place").alias("_place")), folder)
+    small = dropped.count() <= BROADCAST_PLACES
+    return docs.withColumn("_place", place()).join(F.broadcast(dropped) if small else dropped, "_place", "left_anti").select(*docs.columns)
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows, left-joined with table on key; table has one row a key and, in count, the number of rows that have it.
 

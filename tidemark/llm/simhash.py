@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import looked_up, on_workers, segments, shared_dir, words, written
+from tidemark.llm.shared import looked_up, on_workers, place, segments, shared_dir, without, words, written
 
 RADIUS = 2
 #: Fingerprints that meet under one key of a segment table are paired with each other up to this number;
@@ -47,14 +47,14 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of every row, in one pass without a shuffle."""
+    """doc_id, place and fp of every row, in one pass without a shuffle."""
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(fingerprint, batch.column("text").to_pylist()), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(map(fingerprint, batch.column("text").to_pylist()), pa.int64())], ["doc_id", "place", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), place(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place long, fp long")
 
 
 def links(fps: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
@@ -96,8 +96,8 @@ def links(fps: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
     return few.unionByName(balls).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint, component_id.
+def near_groups(docs: DataFrame, bucket: int = BUCKET, with_place: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, fingerprint, component_id, and place if asked for.
 
     component_id is the smallest doc_id that is reachable over links of at most 2 differing bits. Null
     texts and texts without a word have the fingerprint zero; equal fingerprints are linked at no cost, as
@@ -114,4 +114,16 @@ def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component") != _HIDDEN, F.col("component")).alias("component_id"),
+        *(["place", "component"] if with_place else []),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id of each component, with all its columns; of repeated ids, the first by place.
+
+    docs has to be a table that Spark reads from files.
+    """
+    folder = shared_dir(docs.sparkSession)
+    rows = written(near_groups(docs, with_place=True), f"{folder}/groups")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_HIDDEN)), "place")).alias("first")).select("first.place")
+    return without(docs, rows.select("place").join(first, "place", "left_anti"), f"{folder}/dropped")
