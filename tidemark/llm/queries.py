@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.dedup_stream import exact_groups
+from tidemark.llm.language import identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import personal_data
@@ -34,6 +35,10 @@ def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op3_pii_anchor_expansion": op3_pii_anchor_expansion,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
+    "op5_ftrl_language_id": op5_ftrl_language_id,
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
 }
