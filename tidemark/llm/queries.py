@@ -12,6 +12,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import personal_data
 from tidemark.llm.rules import quality
+from tidemark.llm.separators import token_counts
 from tidemark.llm.simhash import near_groups
 
 
@@ -47,6 +48,10 @@ def op8_tokeniser_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ftrl_language_id": op5_ftrl_language_id,
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
+    "op9_separator_scan": op9_separator_scan,
 }
 
 ORACLES: dict[str, str] = {
