@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import ascii_lower, looked_up, place, removed, shared_dir, without, written
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores: changes are uploaded as they are, and no file takes more disk than it has content.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SEEN = "doc_id long, place long, digest binary"
 #: Up to this many digests of repeated texts (32 bytes each) are broadcast to pick the texts to compare; more are joined.
 BROADCAST_DIGESTS = 500_000
@@ -24,11 +29,10 @@ def normal(text: Column) -> Column:
 
 
 @contextmanager
-def _set(spark: SparkSession, **conf: str) -> Iterator[None]:
-    names = {k: k.replace("__", ".") for k in conf}
-    before = {n: spark.conf.get(n, None) for n in names.values()}
-    for k, v in conf.items():
-        spark.conf.set(names[k], v)
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {n: spark.conf.get(n, None) for n in conf}
+    for n, v in conf.items():
+        spark.conf.set(n, v)
     try:
         yield
     finally:
@@ -63,7 +67,7 @@ class ExactDeduplicator:
         def changed(batch: DataFrame, version: int) -> None:
             batch.select("digest", "kept", "group_size").write.mode("overwrite").parquet(f"{self.versions}/version={version}")
 
-        with _set(self.spark, spark__sql__streaming__stateStore__providerClass=STATE_STORE):
+        with _set(self.spark, STATE):
             query = state.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
             query.awaitTermination()
 
