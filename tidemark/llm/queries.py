@@ -11,6 +11,7 @@ from tidemark.llm.language import identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import personal_data
+from tidemark.llm.ppm import scores
 from tidemark.llm.rules import quality
 from tidemark.llm.separators import token_counts
 from tidemark.llm.simhash import near_groups
@@ -52,6 +53,10 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
     "op9_separator_scan": op9_separator_scan,
+    "op10_ppm_scoring": op10_ppm_scoring,
 }
 
 ORACLES: dict[str, str] = {
