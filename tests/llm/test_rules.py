@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 import regex
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import rules
@@ -37,6 +37,14 @@ def test_long_texts_take_the_array_path(monkeypatch):
     assert rules.covered_by_repeats(w) == exact > 0
 
 
+@settings(deadline=None)
+@given(st.lists(st.text(alphabet="abcdeé.,#\u2581\u0301漢½ﬁ²\xa0Zß!", min_size=1, max_size=8), min_size=1, max_size=20))
+def test_words_encoded_at_once_have_their_own_ids(several):
+    fertility = rules.Fertility()
+    fertility._learn(set(several))
+    assert {w: np.frombuffer(b, "<u2").tolist() for w, b in fertility.ids.items()} == {w: fertility.model.encode(w) for w in several}
+
+
 def test_scripts():
     assert [rules.SCRIPTS[script_of(x)] for x in ("abc", "где", "漢字", "123", "ไทย")] == ["LATIN", "CYRILLIC", "CJK", "", "OTHER"]
 

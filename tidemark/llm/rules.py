@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import BLANKS, on_workers, segments, words
 
 SYMBOLS = "#*$%&|<>"
+MARK = "\u2581"
+#: Words of characters that no normalisation changes or joins, all letters among them Latin.
+_LATIN = re.compile("[!-~¡-¨«-³¶-¸»À-ÖØ-öø-ÿ]+")
+_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 VOCABULARY = "piece_bpe_32k.model"
 #: Above this many words, repeated windows are found by 64-bit hashes in an array instead of by the words themselves.
 LONG = 200_000
@@ -54,6 +59,8 @@ SCRIPTS = ["", *BANDS, "OTHER"]
 
 def script_of(word: str) -> int:
     """The place in SCRIPTS of the script that most of a word's letters have; 0 without a letter."""
+    if _LATIN.fullmatch(word):
+        return int(_LETTER.search(word) is not None)
     names = Counter(unicodedata.name(c, "OTHER").split(" ")[0] for c in word if c.isalpha())
     if not names:
         return 0
@@ -61,10 +68,19 @@ def script_of(word: str) -> int:
     return SCRIPTS.index(name) if name in BANDS else len(SCRIPTS) - 1
 
 
+class _Scripts(dict):
+    def __missing__(self, word: str) -> bytes:
+        self[word] = b"%c" % script_of(word)
+        return self[word]
+
+
 class Fertility:
-    """Token counts of texts, word by word; a word's ids are remembered, up to a number of words."""
+    """Token counts of texts, word by word; a word's ids are remembered, up to a number of words.
+
+    New words are encoded many at once: a word's first piece is the one that begins with the mark of a blank.
+    """
 
-    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 300_000):
+    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 1_000_000):
         import public_tokenizers
         import sentencepiece
 
@@ -72,26 +88,34 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.vocab_size()
         self.byte_ids = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.remember, self.ids, self.scripts = remember, {}, {}
+        self.begins = np.array([self.model.id_to_piece(i).startswith(MARK) for i in range(self.size)])
+        self.remember, self.ids, self.scripts = remember, {}, _Scripts()
 
-    def measure(self, words: list[str], ascii_only: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Counts by token id and by script."""
-        known, scripts = self.ids, self.scripts
-        if new := [w for w in set(words) if w not in known]:
+    def measure(self, words: list[str], text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by token id and by script of a text's words."""
+        known = self.ids
+        if new := set(words).difference(known):
             if len(known) + len(new) > self.remember:
-                known.clear()
-                scripts.clear()
-                new = list(set(words))
-            for w, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
-                known[w] = np.array(ids, "<u2").tobytes()
-                scripts[w] = b"%c" % script_of(w)
+                known = self.ids = {}
+                self.scripts.clear()
+                new = set(words)
+            self._learn(new)
         tokens = np.bincount(np.frombuffer(b"".join([known[w] for w in words]), "<u2"), minlength=self.size)
-        if ascii_only:
-            by = np.zeros(len(SCRIPTS), int)
-            by[1] = sum(1 for w in words if scripts[w] != b"\0") if words else 0
-        else:
-            by = np.bincount(np.frombuffer(b"".join([scripts[w] for w in words]), np.uint8), minlength=len(SCRIPTS))
-        return tokens, by
+        if text.isascii():
+            return tokens, np.bincount([int(_LETTER.search(text) is not None)], minlength=len(SCRIPTS))
+        scripts = self.scripts
+        return tokens, np.bincount(np.frombuffer(b"".join([scripts[w] for w in words]), np.uint8), minlength=len(SCRIPTS))
+
+    def _learn(self, new: set[str]) -> None:
+        plain = [w for w in new if _LATIN.fullmatch(w)]
+        if plain:
+            ids = np.array(self.model.encode(" ".join(plain), num_threads=1), "<u2")
+            cuts = [*(np.flatnonzero(self.begins[ids]) * 2).tolist(), 2 * len(ids)]
+            flat = ids.tobytes()
+            self.ids.update(zip(plain, map(flat.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        if other := [*new.difference(plain)]:
+            for w, ids in zip(other, self.model.encode(other, num_threads=1), strict=True):
+                self.ids[w] = np.array(ids, "<u2").tobytes()
 
 
 def covered_by_repeats(words: list[str], n: int = 5) -> int:
@@ -165,7 +189,7 @@ def judged(texts: Iterable[str | None], vocabulary: str = VOCABULARY) -> Iterato
         for part in segments(text):
             more = words(part)
             of += more
-            a, b = fertility.measure(more, part.isascii())
+            a, b = fertility.measure(more, part)
             tokens, scripts = tokens + a, scripts + b
         base = base_counts(text, of)
         failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
