@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ascii_lower, looked_up, place, removed, shared_dir, without, written
+from tidemark.llm.shared import ascii_lower, looked_up, place, removed, settings, shared_dir, without, written
 
 #: Many small stores: changes are uploaded as they are, and no file takes more disk than it has content.
 STATE = {
@@ -28,18 +27,6 @@ def normal(text: Column) -> Column:
     return ascii_lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
-@contextmanager
-def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
-    before = {n: spark.conf.get(n, None) for n in conf}
-    for n, v in conf.items():
-        spark.conf.set(n, v)
-    try:
-        yield
-    finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
-
-
 class ExactDeduplicator:
     """Keeps, for each distinct text ever seen, its digest, the stable identifier that stays (the largest
     doc_id) with its content locator, and the number of rows, in RocksDB under folder.
@@ -67,7 +54,7 @@ class ExactDeduplicator:
         def changed(batch: DataFrame, version: int) -> None:
             batch.select("digest", "kept", "group_size").write.mode("overwrite").parquet(f"{self.versions}/version={version}")
 
-        with _set(self.spark, STATE):
+        with settings(self.spark, STATE):
             query = state.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
             query.awaitTermination()
 

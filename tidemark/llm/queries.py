@@ -12,6 +12,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import personal_data
 from tidemark.llm.ppm import scores
+from tidemark.llm.repeats import without_repeats
 from tidemark.llm.rules import quality
 from tidemark.llm.separators import token_counts
 from tidemark.llm.simhash import near_groups
@@ -41,6 +42,10 @@ def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_anchor_expansion": op3_pii_anchor_expansion,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
     "op5_ftrl_language_id": op5_ftrl_language_id,
+    "op6_bwt_repeats": op6_bwt_repeats,
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
     "op9_separator_scan": op9_separator_scan,

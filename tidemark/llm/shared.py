@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,24 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while."""
+    before = {n: spark.conf.get(n, None) for n in conf}
+    for n, v in conf.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def cleaned_shuffles(spark: SparkSession):
+    """While this holds, a query's shuffle files go at its end; its result has to be written by then."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers of a local master import this package wherever the driver was started."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
