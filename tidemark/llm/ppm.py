@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import on_workers, remainder, segments, shared_dir, words, written
+from tidemark.llm.shared import cleaned_shuffles, on_workers, remainder, segments, shared_dir, words, written
 
 #: Bytes of context. A node of the trie is a context; its children are the bytes seen after it.
 ORDER = 4
@@ -99,51 +100,102 @@ def log_probabilities(gram: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.
     return out
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """block, gram or word, n: what each block's texts have, and how often its texts to learn from have it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: dict[int, Counter] = {}
-        learnt: dict[int, Counter] = {}
-        codes: dict[int, list] = {}
-        waiting: dict[int, list] = {}
-
-        def merge(block: int) -> None:
-            keys, n = zip(*waiting.pop(block), strict=True)
-            old = codes.get(block)
-            keys, n = [*keys, *([old[0]] if old else [])], [*n, *([old[1]] if old else [])]
-            distinct, _, total = _summed(np.concatenate(keys), np.concatenate(n))
-            codes[block] = [distinct, total]
-
-        for batch in batches:
-            for block, train, text in zip(batch.column("block").to_pylist(), batch.column("train").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = text.encode().lower()
-                g = grams(raw)
-                w = waiting.setdefault(block, [])
-                w.append((g, np.full(len(g), int(train))))
-                if sum(len(x[0]) for x in w[-64:]) > 1 << 21 or len(w) > 1000:
-                    merge(block)
-                for part in segments(raw.decode()):
-                    found = words(part)
-                    tokens.setdefault(block, Counter()).update(found)
-                    if train:
-                        learnt.setdefault(block, Counter()).update(found)
-                if train:
-                    learnt.setdefault(block, Counter())[END_TOKEN] += 1
-                tokens.setdefault(block, Counter())[END_TOKEN] += 1
-        for block in [*waiting]:
-            merge(block)
-        for block, (distinct, total) in codes.items():
-            for i in range(0, len(distinct), 100_000):
-                part = distinct[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block), pa.int64()), pa.array(part), pa.nulls(len(part), pa.string()), pa.array(total[i : i + 100_000])], ["block", "gram", "word", "n"])
-        for block, of in tokens.items():
-            have, known = [*of], learnt.get(block, {})
-            for i in range(0, len(have), 100_000):
-                part = have[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(part, pa.string()), pa.array([known.get(w, 0) for w in part], pa.int64())], ["block", "gram", "word", "n"])
-
-    return docs.select("block", "train", "text").mapInArrow(run, "block long, gram long, word string, n long")
+def _counted(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, _, total = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+    return distinct, total
+
+
+def _features(texts: pa.Table, part: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """A block's distinct grams with their counts in texts to learn from, and its distinct words with theirs."""
+    parts, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], {True: [], False: []}
+    tokens = {True: Counter(), False: Counter()}
+    size = 0
+
+    def flush() -> None:
+        for train, arrays in held.items():
+            keys, n = _counted(arrays)
+            parts.append((keys, n if train else np.zeros_like(n)))
+            arrays.clear()
+        parts[:] = [_merged(parts)]
+
+    for train, text in zip(texts.column("train").to_pylist(), texts.column("text").to_pylist(), strict=True):
+        raw = text.encode().lower()
+        held[train].append(grams(raw))
+        size += len(raw)
+        if size > part:
+            flush()
+            size = 0
+        for piece in segments(raw.decode()):
+            tokens[train].update(words(piece))
+        tokens[train][END_TOKEN] += 1
+    flush()
+    return *parts[0], dict.fromkeys(tokens[False], 0) | tokens[True]
+
+
+def _send(texts: pa.Table, buckets: int) -> Iterator[dict]:
+    """For each bucket, the block's grams and words in it."""
+    keys, n, tokens = _features(texts)
+    out: dict[int, dict] = {}
+    of = _bucket(keys, buckets)
+    order = np.argsort(of, kind="stable")
+    found, begin = np.unique(of[order], return_index=True)
+    for b, at, to in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
+        own = order[at:to]
+        out[b] = {"grams": keys[own].tobytes(), "n_grams": n[own].astype("<u4").tobytes()}
+    lists: dict[int, list[str]] = {}
+    for w in tokens:
+        lists.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+    for b, own in lists.items():
+        out.setdefault(b, {}).update(words="\n".join(own).encode(), n_words=np.array([tokens[w] for w in own], "<u4").tobytes())
+    block = texts.column("block")[0].as_py()
+    for b, row in out.items():
+        yield {"block": block, "bucket": b} | row
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _words_of(rows: list[dict]) -> Counter:
+    total: Counter = Counter()
+    for r in rows:
+        if r["words"] is not None:
+            for w, n in zip(r["words"].decode().split("\n"), np.frombuffer(r["n_words"], "<u4").tolist(), strict=True):
+                if n:
+                    total[w] += n
+    return total
+
+
+def _reduce(sent: pa.Table) -> Iterator[dict]:
+    """A bucket's distinct grams with their counts in all blocks, and a row for its words."""
+    rows = sent.to_pylist()
+    parts = [(np.frombuffer(r["grams"], "<i8"), np.frombuffer(r["n_grams"], "<u4").astype(np.int64)) for r in rows if r["grams"] is not None]
+    if parts:
+        for g, n in zip(*(x.tolist() for x in _merged(parts)), strict=True):
+            yield {"bucket": rows[0]["bucket"], "gram": g, "n": n}
+    total = _words_of(rows)
+    yield {"bucket": rows[0]["bucket"], "tokens": sum(total.values()), "distinct": len(total)}
+
+
+def _answer(sent: pa.Table, weighed: pa.Table) -> Iterator[dict]:
+    """To each block: the probabilities of the grams and the counts of the words that it sent to a bucket."""
+    rows, total = sent.to_pylist(), None
+    keys, values = weighed.column("gram").to_numpy(), weighed.column("value").to_numpy()
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    total = _words_of(rows)
+    for r in rows:
+        out = {"block": r["block"]}
+        if r["grams"] is not None:
+            out |= {"grams": r["grams"], "values": values[np.searchsorted(keys, np.frombuffer(r["grams"], "<i8"))].tobytes()}
+        if r["words"] is not None:
+            out |= {"words": r["words"], "counts": np.array([total[w] for w in r["words"].decode().split("\n")], "<i8").tobytes()}
+        yield out
 
 
 class Table:
@@ -183,9 +235,10 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     under a smoothed unigram. With nothing to learn from, all bytes are equally likely. Repeated rows are
     scored each, extra columns are ignored, no row gives no result.
 
-    Documents are dealt to blocks. A block sends each distinct word and gram once, whatever their number of
-    occurrences; counts are summed over all blocks, and each block gets back the counts of its own words and
-    the probabilities of its own grams. Grams are weighed per two bytes of context, at most 2**24 of them.
+    Documents are dealt to blocks and keys to as many buckets. A block sends each distinct word and gram once,
+    whatever their number of occurrences; a bucket sums over all blocks, and sends back to each the counts of
+    its words and the probabilities of its grams. In between, the distinct grams of the whole corpus meet per
+    two bytes of context, at most 2**24 of them, and are weighed.
     """
     spark = docs.sparkSession
     on_workers(spark)
@@ -195,48 +248,53 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     dealt = docs.select(F.col("doc_id").cast("long"), (~held_out).alias("train"), text.alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(n_blocks)).alias("block"))
-    features = written(_features(dealt.repartition(n_blocks, "block")), f"{folder}/features")
-
-    asked_words = features.where("word IS NOT NULL").select("block", "word", "n")
-    counts = written(asked_words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), f"{folder}/words")
-    distinct, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-
-    asked_grams = features.where("gram IS NOT NULL").select("block", "gram", "n")
-    seen = written(asked_grams.groupBy("gram").agg(F.sum("n").alias("n")), f"{folder}/grams")
-    pairs = np.zeros((256, 256), np.int64)
-    for r in seen.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect():  # at most 2**16 rows
-        pairs[r.pair >> 8, r.pair & 255] = r.n
-
-    def weigh(of: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gram": of["gram"], "value": log_probabilities(of["gram"].to_numpy(np.int64), of["n"].to_numpy(np.int64), pairs)})
-
-    trie = seen.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("end")).applyInPandas(weigh, "gram long, value double")
-    answers = (
-        asked_words.drop("n")
-        .join(counts, "word")
-        .select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value"))
-        .unionByName(asked_grams.drop("n").join(trie, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), "value"))
-    )
-    floor = tokens + 0.5 * (distinct + 1)
+    result, sent_schema, reduced_schema, answer_schema = map(_arrow, (SCHEMA, _SENT, _REDUCED, _ANSWER))
+
+    with cleaned_shuffles(spark):
+        sent = written(dealt.groupBy("block").applyInArrow(lambda t: pa.Table.from_pylist([*_send(t, n_blocks)], sent_schema), _SENT), f"{folder}/sent")
+        reduced = written(sent.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_pylist([*_reduce(t)], reduced_schema), _REDUCED), f"{folder}/reduced")
+        tokens, distinct = reduced.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        seen = reduced.where("gram IS NOT NULL").select("bucket", "gram", "n")
+        pairs = np.zeros((256, 256), np.int64)
+        for r in seen.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect():  # at most 2**16 rows
+            pairs[r.pair >> 8, r.pair & 255] = r.n
+
+        def weigh(of: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"bucket": of["bucket"], "gram": of["gram"], "value": log_probabilities(of["gram"].to_numpy(np.int64), of["n"].to_numpy(np.int64), pairs)})
+
+        trie = seen.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("end")).applyInPandas(weigh, "bucket long, gram long, value double")
+        answers = sent.groupBy("bucket").cogroup(trie.groupBy("bucket")).applyInArrow(lambda s, w: pa.Table.from_pylist([*_answer(s, w)], answer_schema), _ANSWER)
+        answers = written(answers, f"{folder}/answers")
+        return written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: pa.Table.from_pylist([*_score(t, a, tokens, distinct)], result), SCHEMA), f"{folder}/result")
+
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        is_gram = answers.column("gram").is_valid()
-        of = answers.filter(is_gram)
-        table = Table(of.column("gram").to_numpy(), of.column("value").to_numpy())
-        of = answers.filter(answers.column("word").is_valid())
-        known = dict(zip(of.column("word").to_pylist(), of.column("value").to_pylist(), strict=True))
-        rows = []
-        for doc_id, train, text in zip(texts.column("doc_id").to_pylist(), texts.column("train").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            raw = text.encode().lower()
-            n_tokens, n_known, base = 0, 0, 0.0
-            for i, part in enumerate([*segments(raw.decode()), None]):
-                found = [END_TOKEN] if part is None else words(part)
-                c = np.array([known.get(w, 0.0) for w in found])
-                n_tokens, n_known, base = n_tokens + len(c), n_known + int((c > 0).sum()), base + float(np.log10((c + 0.5) / floor).sum())
-            rows.append((doc_id, not train, n_tokens, n_known, tokens, base, table.sum(grams(raw))))
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
-        cols = zip(*rows) if rows else [[]] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCHEMA)
+_SENT = "block long, bucket long, grams binary, n_grams binary, words binary, n_words binary"
+_REDUCED = "bucket long, gram long, n long, tokens long, distinct long"
+_ANSWER = "block long, grams binary, values binary, words binary, counts binary"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
+
+
+def _score(texts: pa.Table, answers: pa.Table, tokens: int, distinct: int) -> Iterator[dict]:
+    rows = answers.select(["grams", "values", "words", "counts"]).to_pylist()
+    keys = [np.frombuffer(r["grams"], "<i8") for r in rows if r["grams"] is not None]
+    values = [np.frombuffer(r["values"], "<f8") for r in rows if r["grams"] is not None]
+    table = Table(np.concatenate(keys), np.concatenate(values))
+    floor = tokens + 0.5 * (distinct + 1)
+    unknown = float(np.log10(0.5 / floor))
+    known: dict[str, float] = {}
+    for r in rows:
+        if r["words"] is not None:
+            c = np.frombuffer(r["counts"], "<i8")
+            known.update(zip(r["words"].decode().split("\n"), np.where(c > 0, np.log10((c + 0.5) / floor), unknown).tolist(), strict=True))
+    for doc_id, train, text in zip(texts.column("doc_id").to_pylist(), texts.column("train").to_pylist(), texts.column("text").to_pylist(), strict=True):
+        raw = text.encode().lower()
+        values = [known[END_TOKEN]]
+        n, missed, base = 1, values.count(unknown), values[0]
+        for piece in segments(raw.decode()):
+            values = [known[w] for w in words(piece)]
+            n, missed, base = n + len(values), missed + values.count(unknown), base + sum(values)
+        yield {"doc_id": doc_id, "held_out": not train, "n_tokens": n, "n_known": n - missed, "train_tokens": tokens, "base_score": base, "score": table.sum(grams(raw))}
