@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cleaned_shuffles, on_workers, shared_dir, written
+from tidemark.llm.shared import cleaned_shuffles, on_workers, removed, shared_dir, written
 
 #: Bytes of a passage that counts.
 LENGTH = 50
@@ -18,7 +19,7 @@ LENGTH = 50
 PIECE = 24
 #: Bytes of text in a block, and about as many in an index.
 BLOCK = 16_000_000
-INDEX = 4_000_000
+INDEX = 1_500_000
 #: A key that stands in more documents than this is hot: its passages are dealt out one by one.
 HOT = 10_000
 #: Doesn't occur in UTF-8; stands between strings in an index.
@@ -265,6 +266,7 @@ def _send_strings(texts: pa.Table, answers: pa.Table, buckets: int) -> Iterator[
     numbers, keys, first, _ = block.strings(_flags(block, answers, buckets))
     strings, keys, first = [*numbers], np.array(keys, np.uint64), np.array(first, "<i8")
     order, parts = _dealt(keys, buckets)
+    packer = zstandard.ZstdCompressor(1)
     for bucket, a, b in parts:
         own = order[a:b]
         some = [strings[i] for i in own.tolist()]
@@ -274,7 +276,7 @@ def _send_strings(texts: pa.Table, answers: pa.Table, buckets: int) -> Iterator[
             "keys": _packed(keys[own]),
             "docs": first[own].view(np.uint8).reshape(-1, 8).T.tobytes(),
             "sizes": np.array([len(s) for s in some], "<u4").tobytes(),
-            "strings": b"".join(some),
+            "strings": packer.compress(b"".join(some)),
         }
 
 
@@ -284,7 +286,7 @@ def _match(rows: pa.Table, index: int) -> Iterator[dict]:
     keys, least, answers = [], [], []
     for r in sent:
         docs = np.frombuffer(r["docs"], np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1)
-        at, of, raw = 0, [], r["strings"]
+        at, of, raw = 0, [], zstandard.decompress(r["strings"])
         for size, key, doc in zip(np.frombuffer(r["sizes"], "<u4").tolist(), _unpacked(r["keys"]).tolist(), docs.tolist(), strict=True):
             s = raw[at : at + size]
             at += size
@@ -317,29 +319,35 @@ def cut(text: bytes, gone: np.ndarray) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~cover].tobytes(), int(cover.sum()), spans
 
 
-def _apply(texts: pa.Table, answers: pa.Table, buckets: int) -> Iterator[dict]:
+def _apply(texts: pa.Table, answers: pa.Table, buckets: int, with_text: bool = False) -> Iterator[dict]:
     block = Block(texts)
     numbers, keys, first, there = block.strings(_flags(block, answers, buckets))
     got = {r["bucket"]: r["bits"] for r in answers.select(["bucket", "bits"]).to_pylist() if r["bits"] is not None}
     size = np.array([len(s) - LENGTH + 1 for s in numbers], np.int64)
     order, parts = _dealt(np.array(keys, np.uint64), buckets)
-    bits: list[np.ndarray] = [np.zeros(0, bool)] * len(keys)
-    for bucket, a, b in parts:
-        own = order[a:b]
-        flat = np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=int(size[own].sum())).astype(bool)
-        for i, x in zip(own.tolist(), np.split(flat, np.cumsum(size[own])[:-1]), strict=True):
-            bits[i] = x
+    flat = [np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=int(size[order[a:b]].sum())) for bucket, a, b in parts]
+    bits = np.concatenate(flat).astype(bool) if flat else np.zeros(0, bool)
+    begin = np.zeros(len(size), np.int64)
+    begin[order] = np.cumsum(size[order]) - size[order]
+    some = np.zeros(len(size), bool)
+    if len(size):
+        some[order] = np.logical_or.reduceat(bits, begin[order])
+    of, at, n = np.array(there, np.int64).reshape(-1, 3).T
+    later = block.ids[of] > np.array(first, np.int64)[n]
     gone: dict[int, np.ndarray] = {}
-    for of, at, n in there:
-        later = int(block.ids[of]) > first[n]
-        if later or bits[n].any():
-            marks = gone.get(of)
-            if marks is None:
-                marks = gone[of] = np.zeros(len(block.texts[of]) - LENGTH + 1, bool)
-            marks[at : at + len(bits[n])] |= True if later else bits[n]
+    for i in np.flatnonzero(later | some[n]).tolist():
+        d, start, k = int(of[i]), int(at[i]), int(n[i])
+        marks = gone.get(d)
+        if marks is None:
+            marks = gone[d] = np.zeros(len(block.texts[d]) - LENGTH + 1, bool)
+        if later[i]:
+            marks[start : start + size[k]] = True
+        else:
+            marks[start : start + size[k]] |= bits[begin[k] : begin[k] + size[k]]
     for i, (doc_id, text) in enumerate(zip(block.ids.tolist(), block.texts, strict=True)):
-        left, removed, spans = cut(text, gone[i]) if i in gone else (text, 0, 0)
-        yield {"doc_id": None if doc_id == _LAST else doc_id, "kept": left, "n_bytes": len(text), "n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(left).hexdigest()}
+        left, lost, spans = cut(text, gone[i]) if i in gone else (text, 0, 0)
+        row = {"doc_id": None if doc_id == _LAST else doc_id, "n_bytes": len(text), "n_removed": lost, "n_spans": spans, "kept_sha256": hashlib.sha256(left).hexdigest()}
+        yield row | {"kept": left} if with_text else row
 
 
 def _table(rows: Iterator[dict], schema: pa.Schema) -> pa.Table:
@@ -386,9 +394,11 @@ def without_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int =
     with cleaned_shuffles(spark):
         sent = written(dealt.groupBy("block").applyInArrow(lambda t: _table(_send_keys(t, n), sent_schema), _SENT), f"{folder}/keys")
         flagged = written(sent.groupBy("bucket").applyInArrow(lambda t: _table(_flag_keys(t, hot), flag_schema), _FLAGGED), f"{folder}/flags")
+        removed(spark, f"{folder}/keys")
         strings = dealt.groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(lambda t, a: _table(_send_strings(t, a, n) if len(t) else [], string_schema), _STRINGS)
         strings = written(strings, f"{folder}/strings")
         matched = written(strings.groupBy("bucket").applyInArrow(lambda t: _table(_match(t, index), match_schema), _MATCHED), f"{folder}/matches")
+        removed(spark, f"{folder}/strings")
         answers = flagged.withColumn("bits", F.lit(None).cast("binary")).unionByName(matched.withColumn("flags", F.lit(None).cast("binary")))
-        out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _table(_apply(t, a, n) if len(t) else [], result_schema), result)
+        out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _table(_apply(t, a, n, with_text) if len(t) else [], result_schema), result)
         return written(out, f"{folder}/result")
