@@ -1,0 +1,131 @@
+"""From tests to a verdict, a recommendation and a page: fixed rules over outcome columns."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.operators.challenge import TESTS
+from tidemark.plans.contract import Contract
+
+# A verdict's weight, the order of statuses, and what each known action reads as.
+WEIGHTS = {"confirmed": 1.0, "likely": 0.8, "contested": 0.6, "undetermined": 0.4}
+STATUSES = ("primary", "unresolved", "minor", "eliminated")
+ACTIONS = {
+    "prioritise_integration_fix": "Prioritise the integration fix for {accounts}.",
+    "pricing_review": "Review pricing for {accounts}.",
+    "competitive_desk_review": "Run a competitive desk review for {accounts}.",
+    "fulfilment_escalation": "Escalate fulfilment for {accounts}.",
+}
+
+
+def tier() -> Column:
+    """A cause's own tier from its test columns, null if it doesn't survive."""
+    outcomes = F.array(*TESTS)
+    passes = F.size(F.filter(outcomes, lambda x: x == "pass"))
+    sound = (passes >= 2) & ((F.col("timing") == "pass") | (F.col("locality") == "pass"))
+    firm = (F.col("control") == "pass") & ~F.array_contains(outcomes, "inconclusive")
+    return F.when(F.array_contains(outcomes, "refute") | ~sound, F.lit(None)).when(firm, "confirmed").otherwise("likely")
+
+
+def adjudicate(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """Adds tier, refuted_by, confidence (of the case `by`), status, share and rank to a matrix of causes.
+
+    matrix: by, driver, the test columns, found_support (evidence other than the control's), unmodelled, ceiling,
+    footprint_delta, total_delta, price_effect (null unless the cause is a price change's).
+    No survivor is undetermined, one has its tier, more are contested; a ceiling only lowers confirmed to likely.
+    """
+    case = Window.partitionBy(*by)
+    first = F.coalesce(*(F.when(F.col(t) == "refute", F.lit(t)) for t in TESTS))
+    out = matrix.withColumn("tier", tier()).withColumn("refuted_by", first)
+    survivors = F.count("tier").over(case)
+    confidence = F.when(F.bool_or(F.coalesce("unmodelled", F.lit(False))).over(case) | (survivors == 0), "undetermined").when(survivors == 1, F.max("tier").over(case)).otherwise("contested")
+    out = out.withColumn("confidence", confidence)
+    out = out.withColumn("confidence", F.when((F.col("ceiling") == "likely") & (F.col("confidence") == "confirmed"), "likely").otherwise(F.col("confidence")))
+    status = (
+        F.when(F.col("tier").isNotNull(), F.when(F.col("confidence") == "contested", "unresolved").otherwise("primary"))
+        .when(F.coalesce("found_support", F.lit(False)), "minor")
+        .when(F.col("refuted_by").isNotNull(), "eliminated")
+        .otherwise("unresolved")
+    )
+    out = out.withColumn("status", status)
+    whole = F.nullif("total_delta", F.lit(0.0))
+    share = F.when(F.col("status").isin("primary", "unresolved"), F.col("footprint_delta") / whole).when(F.col("status") == "minor", F.col("price_effect") / whole)
+    out = out.withColumn("share", share)
+    place = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
+    return out.withColumn("rank", F.row_number().over(case.orderBy(place, F.desc(F.coalesce("share", F.lit(0.0))), "driver")))
+
+
+def priority(total_delta: Column, confidence: Column) -> Column:
+    weight = F.create_map(*(x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))))
+    return F.abs(total_delta) * F.try_element_at(weight, confidence)
+
+
+def questions(ranked: DataFrame, contract: Contract, accounts: Column) -> DataFrame:
+    """The question that would decide a case that isn't confirmed: about its first cause, to the owner of its lever."""
+    owners = {d.id: d.lever.owner_role for d in contract.drivers if d.lever}
+    owner = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in owners.items() for x in kv)), F.col("driver")), F.lit(contract.owner_role)) if owners else F.lit(contract.owner_role)
+    label, who = F.replace("driver", F.lit("_"), F.lit(" ")), F.coalesce(F.nullif(accounts, F.lit("")), F.lit("the footprint"))
+    undecided = F.array_contains(F.array(*TESTS), "inconclusive")
+    text = F.when(undecided, F.concat(F.lit("Did "), label, F.lit(" actually influence the outcome for "), who, F.lit("? Ask the account owner(s)."))).otherwise(
+        F.concat(F.lit("What actually happened to "), who, F.lit("? The available sources have no coverage of "), label, F.lit("."))
+    )
+    return ranked.where("rank = 1 AND confidence <> 'confirmed'").withColumn("question", text).withColumn("owner_role", owner).withColumn("value_at_stake", F.abs("footprint_delta"))
+
+
+def incoherent(verdicts: DataFrame) -> DataFrame:
+    """Verdicts that contradict themselves: a primary cause in a contested or undetermined case, or none in a decided one."""
+    primaries = F.count_if(F.col("status") == "primary").over(Window.partitionBy("case_id"))
+    open_ = F.col("confidence").isin("contested", "undetermined")
+    return verdicts.withColumn("_n", primaries).where((open_ & (F.col("_n") > 0) & (F.col("confidence") == "contested")) | (~open_ & (F.col("_n") != 1))).drop("_n")
+
+
+def recommend(ranked: DataFrame, contract: Contract, accounts: Column) -> DataFrame:
+    """For primary causes with a lever: action, owner_role, impact_low, impact_high, monitoring. An unknown action is an error."""
+    levers = [(d.id, d.lever.action, ACTIONS[d.lever.action], d.lever.owner_role, float(d.lever.save_rate[0]), float(d.lever.save_rate[1])) for d in contract.drivers if d.lever and _known(d.lever.action)]
+    table = ranked.sparkSession.createDataFrame(levers, "driver string, lever string, text string, owner_role string, low double, high double")
+    who = F.coalesce(F.nullif(accounts, F.lit("")), F.lit("the footprint"))
+    out = ranked.where("status = 'primary'").join(F.broadcast(table), "driver")  # a contract's levers
+    return out.select(
+        *ranked.columns,
+        "lever",
+        "owner_role",
+        F.replace("text", F.lit("{accounts}"), who).alias("action"),
+        (F.abs("total_delta") * F.col("low")).alias("impact_low"),
+        (F.abs("total_delta") * F.col("high")).alias("impact_high"),
+        F.lit(f"{contract.id}, {contract.cadence}; escalate if not recovered within {contract.materiality.min_persistence} cycles").alias("monitoring"),
+    )
+
+
+def _known(action: str) -> bool:
+    if action not in ACTIONS:
+        raise ValueError(f"no text for action {action!r}")
+    return True
+
+
+_TOKEN, _CITED = re.compile(r"\{([a-z_]+)\}"), re.compile(r"\[(ev-[A-Za-z0-9_.-]+)\]")
+
+#: Each section's sentence from facts alone, for when a written one can't be trusted.
+FALLBACKS = {
+    "headline": lambda t: f"{t['kpi']} moved {t['delta_pct']} ({t.get('delta', '')}) in {t['period']}.",
+    "explanation": lambda t: "This case closed before a cause could be tested." if "confidence" not in t else f"Confidence: {t['confidence']}." + (f" Primary driver: {t['primary_driver']}" + (f" ({t['primary_share']})." if "primary_share" in t else ".") if "primary_driver" in t else ""),
+    "action": lambda t: f"{t['action']} Owner: {t.get('owner', 'unassigned')}." if "action" in t else "No recommendation — no controllable driver reached a verdict.",
+    "outstanding": lambda t: f"{t['open_question']} Ask: {t.get('question_owner', 'the case owner')}." if "open_question" in t else "Nothing outstanding.",
+}
+
+
+def narrated(section: str, text: str, facts: dict[str, str], evidence: set[str]) -> str:
+    """A written section with its tokens filled in, if all tokens and citations are known and it has no digit of its own; else the fallback."""
+    own = _CITED.sub("", _TOKEN.sub("", text))
+    if text.strip() and set(_TOKEN.findall(text)) <= set(facts) and set(_CITED.findall(text)) <= evidence and not any(c.isdigit() for c in own):
+        return _TOKEN.sub(lambda m: facts[m[1]], text)
+    return FALLBACKS[section](facts)
+
+
+def report(case: dict) -> str:
+    """A case as plain text, a line each."""
+    lines = [f"case {case['case_id']}", f"  {case['kpi']} {case['period']}: {case['delta']:,.2f} ({case['relative']:.1%})", f"  verdict {case['confidence']}, priority {case['priority']:,.0f}"]
+    lines += [f"  {c['status']:<10} {c['driver']}" + (f" {c['share']:.0%}" if c.get("share") is not None else "") for c in case.get("causes", [])]
+    return "\n".join(lines) + "\n"
