@@ -1 +1,107 @@
-"""To come."""
+"""Checks of whether movements are real, and the sweep over slices."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tidemark.operators.conform import watermarks
+from tidemark.operators.scan import regions, summary, sweep
+from tidemark.operators.series import movement
+from tidemark.operators.verify import artefacts, completeness, drift, freshness, records, verify
+from tidemark.plans.panel import kpi_panel
+from tidemark.queries import ACCOUNT, SALES, query
+from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, accounts, model, table
+
+AS_OF = datetime(2001, 12, 1)
+
+
+def _marks(spark, d):
+    return watermarks({"lineitem": ("billing", table(spark, d, "lineitem"), "l_shipdate"), "orders": ("billing", table(spark, d, "orders"), "o_orderdate"), "events": ("product_ops", table(spark, d, "events"), "ts")}, AS_OF)
+
+
+@query(
+    "freshness_hours",
+    """SELECT source, round(date_diff('second', max(w), TIMESTAMP '2001-12-01') / 3600.0, 6) AS hours, date_diff('second', max(w), TIMESTAMP '2001-12-01') / 3600.0 <= 26 AS fresh
+       FROM (SELECT 'billing' AS source, max(l_shipdate) AS w FROM lineitem UNION ALL SELECT 'billing', max(o_orderdate) FROM orders UNION ALL SELECT 'product_ops', max(ts) FROM events) GROUP BY 1""",
+)
+def hours(spark, d):
+    return freshness(_marks(spark, d), 26.0).select("source", F.round("hours", 6).alias("hours"), "fresh")
+
+
+_LATE = "last_day(sold_on) + INTERVAL 48 HOUR"
+
+
+@query(
+    "completeness_share",
+    f"""WITH {SALES}, r AS (SELECT period, ingested_on <= {_LATE} AS ok FROM sales UNION ALL SELECT period, ingested_on <= {_LATE} FROM sales WHERE return_flag = 'R')
+        SELECT period, count(*) AS n_rows, count(*) FILTER (WHERE ok) AS on_time, round(count(*) FILTER (WHERE ok) / count(*), 9) AS share FROM r GROUP BY 1""",
+)
+def complete(spark, d):
+    return completeness(model(spark, d), CONTRACTS["net_sales"]).select("period", "n_rows", "on_time", F.round("share", 9).alias("share"))
+
+
+_RECORDS = f"""{SALES}, {ACCOUNT}, x AS (SELECT period, region, amount_net AS v, sold_on, ingested_on FROM sales JOIN account USING (account_id)
+    UNION ALL SELECT period, region, amount_net, sold_on, ingested_on FROM sales JOIN account USING (account_id) WHERE return_flag = 'R'),
+  rec AS (SELECT period, region, max(abs(v)) AS largest, coalesce(sum(abs(v)) FILTER (WHERE ingested_on < date_trunc('month', sold_on) OR ingested_on > last_day(sold_on) + INTERVAL 2 DAY), 0) AS slipped FROM x GROUP BY 1, 2)"""
+
+
+@query("largest_record_share", f"WITH {_RECORDS} SELECT period, region, round(largest, 4) AS largest FROM rec")
+def largest(spark, d):
+    return records(model(spark, d), CONTRACTS["net_sales"], ["region"]).select("period", "region", F.round("largest", 4).alias("largest"))
+
+
+@query("slippage_value", f"WITH {_RECORDS} SELECT period, region, round(slipped, 4) AS slipped FROM rec")
+def slipped(spark, d):
+    return records(model(spark, d), CONTRACTS["net_sales"], ["region"]).select("period", "region", F.round("slipped", 4).alias("slipped"))
+
+
+@query(
+    "artefact_check",
+    f"""WITH {_RECORDS}, p AS (SELECT period, region, sum(amount_net) - coalesce(sum(amount_net) FILTER (WHERE return_flag = 'R'), 0) AS value FROM sales JOIN account USING (account_id) GROUP BY 1, 2),
+        m AS (SELECT period, region, value - lag(value) OVER (PARTITION BY region ORDER BY period) AS delta FROM p),
+        t AS (SELECT period, region, greatest(largest, coalesce(lag(largest) OVER (PARTITION BY region ORDER BY period), 0)) AS largest, slipped FROM rec)
+        SELECT period, region, round(largest / nullif(abs(delta), 0), 6) AS record_share, greatest(coalesce(largest / nullif(abs(delta), 0), 0), coalesce(slipped / nullif(abs(delta), 0), 0)) > 0.35 AS artefact
+        FROM m JOIN t USING (period, region)""",
+)
+def artefact(spark, d):
+    m, c = model(spark, d), CONTRACTS["net_sales"]
+    out = artefacts(movement(kpi_panel(m, c, ["region"]), ["region"]), records(m, c, ["region"]), ["region"], 0.35)
+    return out.select("period", "region", F.round("record_share", 6).alias("record_share"), "artefact")
+
+
+@query(
+    "definition_drift",
+    f"""WITH {SALES}, {ACCOUNT}, t AS (SELECT period, region, sum(amount_gross) AS g, coalesce(sum(amount_net) FILTER (WHERE return_flag = 'R'), 0) AS r FROM sales JOIN account USING (account_id) GROUP BY 1, 2),
+        v AS (SELECT period, region, g, lag(g) OVER w AS g0, g - r AS h, lag(g - r) OVER w AS h0 FROM t WINDOW w AS (PARTITION BY region ORDER BY period))
+        SELECT period, region, round(CASE period WHEN '1998-01' THEN (g - g0) / g0 ELSE (h - h0) / h0 END, 9) AS earlier_relative, abs(CASE period WHEN '1998-01' THEN (g - g0) / g0 ELSE (h - h0) / h0 END) < 0.03 AS drifted
+        FROM v WHERE period IN ('1998-01', '2000-01')""",
+)
+def drifted(spark, d):
+    return drift(model(spark, d), CONTRACTS["net_sales_redefined"], ["region"]).select("period", "region", F.round("earlier_relative", 9).alias("earlier_relative"), "drifted")
+
+
+@query("verify_all_slices")
+def everything(spark, d):
+    """All checks of all regions in one frame; it has the seasonal decomposition in it, so no SQL."""
+    out = verify(model(spark, d), CONTRACTS["net_sales"], ["region"], CURRENT, FIRST, _marks(spark, d), AS_OF)
+    return out.select("region", F.round("value", 4).alias("value"), F.round("delta", 4).alias("delta"), "complete", "drifted", "artefact", "material", "passed", "ceiling")
+
+
+@query("scan_status")
+def scan(spark, d):
+    """The sweep of five contracts over all regions, with a status for each slice."""
+    names = ["gross_sales", "net_sales", "discount_rate", "mean_quantity", "kept_share"]
+    return sweep(model(spark, d), [CONTRACTS[n] for n in names], CURRENT, FIRST).select("case_id", "kpi", "period", "region", F.round("delta", 6).alias("delta"), "status")
+
+
+@query("scan_summary")
+def totals(spark, d):
+    names = ["gross_sales", "net_sales", "discount_rate"]
+    return summary(sweep(model(spark, d), [CONTRACTS[n] for n in names], CURRENT, FIRST))
+
+
+@query("regions_listed", "SELECT DISTINCT r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def listed(spark, d):
+    return regions(accounts(spark, d))
