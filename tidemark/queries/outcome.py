@@ -186,7 +186,7 @@ def order(spark, d):
     return out.select("kpi", "segment", "driver", "prior", F.col("place").cast("long").alias("place"))
 
 
-@query("feedback_gates", f"WITH {_MARKS}, n AS (SELECT kpi, least(count(*), 10) AS n FROM marks WHERE kind = 'not_material' GROUP BY 1) SELECT kpi, round(0.03 + 0.01 * n, 9) AS relative, round(1000.0 * pow(1.05, n), 6) AS absolute FROM n UNION ALL SELECT 'unmarked', 0.03, 1000.0")
+@query("feedback_gates", f"WITH {_MARKS}, n AS (SELECT kpi, least(count(*), 10) AS n FROM marks WHERE kind = 'not_material' GROUP BY 1) SELECT kpi, round(CAST(0.03 + 0.01 * n AS DOUBLE), 9) AS relative, round(CAST(1000.0 * pow(1.05, n) AS DOUBLE), 6) AS absolute FROM n UNION ALL SELECT 'unmarked', CAST(0.03 AS DOUBLE), CAST(1000.0 AS DOUBLE)")
 def widened(spark, d):
     base = _marks(spark, d).select("kpi").distinct().unionByName(spark.range(1).select(F.lit("unmarked").alias("kpi"))).select("kpi", F.lit(0.03).alias("relative"), F.lit(1000.0).alias("absolute"))
     return gates(_marks(spark, d), base).select("kpi", F.round("relative", 9).alias("relative"), F.round("absolute", 6).alias("absolute"))

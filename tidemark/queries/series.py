@@ -144,7 +144,7 @@ _UNITS = f"""{SALES}, {ACCOUNT}, u AS (SELECT account_id, region, segment, coale
 _PLACEBO = """d AS (SELECT *, post - pre AS d FROM p), s AS (SELECT *, count(*) FILTER (WHERE NOT treated) OVER w AS k, sum(d) FILTER (WHERE NOT treated) OVER w AS t, avg(d) FILTER (WHERE treated) OVER w AS m FROM d WINDOW w AS (PARTITION BY g)),
   e AS (SELECT *, m - t / k AS effect, CASE WHEN NOT treated THEN d - (t - d) / nullif(k - 1, 0) END AS pl FROM s),
   q AS (SELECT g, any_value(effect) AS effect, any_value(k) AS controls, count(*) FILTER (WHERE abs(pl) > abs(effect)) + 1 AS rank FROM e GROUP BY 1)"""
-_OUTCOME = "CASE WHEN rank = 1 THEN 'pass' WHEN rank > (controls + 1) / 2.0 THEN 'refute' ELSE 'inconclusive' END AS outcome"
+_OUTCOME = "CASE WHEN NOT ok THEN 'inconclusive' WHEN rank = 1 THEN 'pass' WHEN rank > (controls + 1) / 2.0 THEN 'refute' ELSE 'inconclusive' END AS outcome"
 
 
 def _units(spark, d):
@@ -160,7 +160,7 @@ def difference(spark, d):
 
 @query(
     "placebo_rank",
-    f"WITH {_UNITS}, p AS (SELECT segment AS g, account_id % 10 = 3 AS treated, pre, post FROM u WHERE region = 'ASIA'), {_PLACEBO} SELECT g AS segment, round(effect, 4) AS effect, controls, rank, round(rank / (controls + 1), 9) AS pseudo_p, {_OUTCOME} FROM q",
+    f"WITH {_UNITS}, p AS (SELECT segment AS g, account_id % 10 = 3 AS treated, pre, post FROM u WHERE region = 'ASIA'), {_PLACEBO} SELECT g AS segment, round(effect, 4) AS effect, controls, CASE WHEN ok THEN rank ELSE 0 END AS rank, CASE WHEN ok THEN round(rank / (controls + 1), 9) END AS pseudo_p, {_OUTCOME} FROM (SELECT *, controls >= 5 AND effect IS NOT NULL AS ok FROM q)",
 )
 def placebos(spark, d):
     out = placebo(_units(spark, d).where("region = 'ASIA'").withColumn("treated", F.col("account_id") % 10 == 3), ["segment"])

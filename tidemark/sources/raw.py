@@ -52,7 +52,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file or folder with a header, by a declared schema; an empty field is null. A missing path is an error."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, timestampNTZFormat="yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS]")
+    return spark.read.option("timestampNTZFormat", "yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS]").csv(path, header=True, schema=schema, enforceSchema=False)
 
 
 def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -88,7 +88,7 @@ def write_text(path: Path | str, text: str) -> str:
 def read_documents(spark: SparkSession, glob: str, required: tuple[str, ...] = ("doc_id", "table", "date", "role")) -> DataFrame:
     """Markdown files with front matter between --- lines: fields, a map, and body. A missing key or a repeated doc_id is an error."""
     text = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    parts = text.select("path", F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n?(.*)$", 1).alias("front"), F.trim(F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n?(.*)$", 2)).alias("body"))
+    parts = text.select("path", F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n?(.*)$", 1).alias("front"), F.btrim(F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n?(.*)$", 2), F.lit(" \t\n")).alias("body"))
     pairs = F.transform(F.filter(F.split("front", "\n"), lambda x: F.instr(x, ":") > 0), lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value")))
     out = parts.select("path", F.map_from_entries(pairs).alias("fields"), "body")
     lacking = F.array(*(F.when(F.col("fields")[k].isNull(), F.lit(k)) for k in required))

@@ -14,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_counts(events: DataFrame, at: str = "ts", by: tuple[str, ...] = ("event_type",), window: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
     """start, by, n, total of each tumbling or sliding window; rows later than the watermark are left out of a stream."""
-    w = F.window(F.col(at).cast("timestamp"), window, slide) if slide else F.window(F.col(at).cast("timestamp"), window)
-    out = events.withWatermark(at, late) if events.isStreaming else events
+    out = events.withColumn(at, F.col(at).cast("timestamp"))
+    out = out.withWatermark(at, late) if out.isStreaming else out
+    w = F.window(at, window, slide) if slide else F.window(at, window)
     return out.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
