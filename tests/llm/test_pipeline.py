@@ -1,6 +1,6 @@
 from collections import Counter
 
-from tidemark.llm.rules import judged
+from tidemark.llm.rules import Fertility, judged
 from tidemark.llm.shared import shared_dir, words, written
 
 
@@ -25,7 +25,7 @@ def test_stages(spark, sf):
     rules, exact, near, mix, packed = applied(spark, docs, 5)
     assert all(d.columns == docs.columns for d in (rules, exact, near, mix))
     rows = docs.collect()
-    want = [r for r, v in zip(rows, judged([r.text for r in rows])) if v[6]]
+    want = [r for r, v in zip(rows, judged([r.text for r in rows], Fertility())) if v[6]]
     assert sorted(rules.collect()) == sorted(want)
     last = {}
     for r in sorted(want, key=lambda r: r.doc_id):

@@ -53,7 +53,7 @@ def test_verdicts():
     prose = "It was a bright cold day in April and the clocks were striking thirteen when he slipped quickly through the glass doors of the building"
     one_word = " ".join(["aaaa", "bbbb"] * 40)
     noise = " ".join("".join(chr(0x2800 + (i * 7 + j) % 255) for j in range(6)) for i in range(30)) + " a"
-    assert [r[6] for r in judged([prose, one_word, noise, None, "1 2 3 4 5 6 7 8 9 10 11 12"])] == [True, False, False, False, False]
+    assert [r[6] for r in judged([prose, one_word, noise, None, "1 2 3 4 5 6 7 8 9 10 11 12"], rules.Fertility())] == [True, False, False, False, False]
 
 
 def test_query(spark, sf, odd, nothing):

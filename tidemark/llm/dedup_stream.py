@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import ascii_lower, looked_up, place, removed, settings, shared_dir, without, written
 
-#: Many small stores: changes are uploaded as they are, and no file takes more disk than it has content.
+#: Many small stores: changes are uploaded as they are, no file takes more disk than it has content, the stores of
+#: an executor share a bound on memory, and each is closed when its task has committed.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 SEEN = "doc_id long, place long, digest binary"
 #: Up to this many digests of repeated texts (32 bytes each) are broadcast to pick the texts to compare; more are joined.
@@ -104,11 +108,12 @@ def exact_groups(docs: DataFrame, folder: str | None = None, files_a_batch: int
     empty text; a null doc_id is less than any other. Extra columns are ignored. No row, no result.
     """
     spark = docs.sparkSession
-    folder = folder or shared_dir(spark)
+    own, folder = folder is None, folder or shared_dir(spark)  # a folder that is given is kept whole, for a later run to go on
     dedup = ExactDeduplicator(spark, folder)
     dedup.observe(docs, files_a_batch)
     groups = written(dedup.groups(), f"{folder}/groups")
-    removed(spark, dedup.versions)
+    if own:
+        removed(spark, dedup.versions)
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     if differing(docs, groups).limit(1).count():
         raise RuntimeError("two different texts have the same SHA-256 digest")

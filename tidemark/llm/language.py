@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import on_workers, remainder, segments
+from tidemark.llm.shared import kept_by_worker, on_workers, remainder, segments
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -128,6 +128,7 @@ def _frequencies(labelled: DataFrame, settings: Settings) -> np.ndarray:
     """Documents by bucket, of all documents: each task sends one row a bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker(None, bool)
         total, there = np.zeros(settings.buckets, np.int64), np.zeros(settings.buckets, bool)
         for batch in batches:
             for text in batch.column("text").to_pylist():

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import on_workers
+from tidemark.llm.shared import kept_by_worker, on_workers
 
 #: In the order in which spans at the same place are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret", "ipv6")
@@ -141,7 +141,6 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-_expander: list[AnchorExpander] = []
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -154,13 +153,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _expander:
-            _expander.append(AnchorExpander())
+        expander = kept_by_worker("expander", AnchorExpander)
         schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in SCHEMA.split(", "))])
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                spans = _expander[0].spans(text or "")
+                spans = expander.spans(text or "")
                 base = [s for s in spans if s[1] < BASE]
                 rows.append((doc_id, *(sum(s[1] == k for s in base) for k in range(BASE)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)

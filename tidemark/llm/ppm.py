@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cleaned_shuffles, on_workers, remainder, segments, shared_dir, words, written
+from tidemark.llm.shared import cleaned_shuffles, kept_by_worker, on_workers, remainder, segments, shared_dir, words, written
 
 #: Bytes of context. A node of the trie is a context; its children are the bytes seen after it.
 ORDER = 4
@@ -138,6 +138,7 @@ def _features(texts: pa.Table, part: int = 1 << 21) -> tuple[np.ndarray, np.ndar
 
 def _send(texts: pa.Table, buckets: int) -> Iterator[dict]:
     """For each bucket, the block's grams and words in it."""
+    kept_by_worker(None, bool)
     keys, n, tokens = _features(texts)
     out: dict[int, dict] = {}
     of = _bucket(keys, buckets)

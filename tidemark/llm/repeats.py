@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cleaned_shuffles, on_workers, removed, shared_dir, written
+from tidemark.llm.shared import cleaned_shuffles, kept_by_worker, on_workers, removed, shared_dir, written
 
 #: Bytes of a passage that counts.
 LENGTH = 50
@@ -232,6 +232,7 @@ def earlier(strings: list[bytes], docs: np.ndarray, keys: np.ndarray, index: int
 
 
 def _send_keys(texts: pa.Table, buckets: int) -> Iterator[dict]:
+    kept_by_worker(None, bool)
     block = Block(texts)
     order, parts = _dealt(block.distinct, buckets)
     count = block.documents()[order].astype("<u4")

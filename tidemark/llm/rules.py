@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BLANKS, on_workers, segments, words
+from tidemark.llm.shared import BLANKS, kept_by_worker, on_workers, segments, words
 
 SYMBOLS = "#*$%&|<>"
 MARK = "\u2581"
@@ -80,7 +80,7 @@ class Fertility:
     New words are encoded many at once: a word's first piece is the one that begins with the mark of a blank.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 1_000_000):
+    def __init__(self, vocabulary: str = VOCABULARY, remember: int = 200_000):
         import public_tokenizers
         import sentencepiece
 
@@ -175,14 +175,8 @@ COLUMNS = [
 ]
 SCHEMA = ", ".join(f"{n} {({pa.int64(): 'long', pa.bool_(): 'boolean', pa.float64(): 'double', pa.string(): 'string'})[t]}" for n, t in COLUMNS)
 
-_fertility: dict[str, Fertility] = {}
-
-
-def judged(texts: Iterable[str | None], vocabulary: str = VOCABULARY) -> Iterator[tuple]:
+def judged(texts: Iterable[str | None], fertility: Fertility) -> Iterator[tuple]:
     """A row of COLUMNS but doc_id for each text."""
-    if vocabulary not in _fertility:
-        _fertility[vocabulary] = Fertility(vocabulary)
-    fertility = _fertility[vocabulary]
     for text in texts:
         text = text or ""
         of, tokens, scripts = [], 0, 0
@@ -207,9 +201,9 @@ def quality(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(COLUMNS)
+        schema, fertility = pa.schema(COLUMNS), kept_by_worker(("fertility", vocabulary), lambda: Fertility(vocabulary))
         for batch in batches:
-            rows = [(d, *r) for d, r in zip(batch.column("doc_id").to_pylist(), judged(batch.column("text").to_pylist(), vocabulary), strict=True)]
+            rows = [(d, *r) for d, r in zip(batch.column("doc_id").to_pylist(), judged(batch.column("text").to_pylist(), fertility), strict=True)]
             cols = zip(*rows) if rows else [[]] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, COLUMNS, strict=True)], schema=schema)
 
@@ -221,8 +215,9 @@ def filtered(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fertility = kept_by_worker(("fertility", vocabulary), lambda: Fertility(vocabulary))
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([bool(r[6]) for r in judged(batch.column(at).to_pylist(), vocabulary)], pa.bool_()))
+            yield batch.filter(pa.array([bool(r[6]) for r in judged(batch.column(at).to_pylist(), fertility)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -45,6 +45,18 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept_by_worker(owner: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task, made at the first. A task with another owner lets it go, so a
+    worker never holds the memory of two operators."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 @contextmanager
 def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
     """Settings of the session that hold for a while."""
@@ -64,10 +76,14 @@ def cleaned_shuffles(spark: SparkSession):
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers of a local master import this package wherever the driver was started."""
+    """Lets Python workers of a local master import this package wherever the driver was started, and hands them texts
+    in batches of 1,000 rows where the session has Spark's default of 10,000, which is for narrow rows."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
 
 
 def spaced(text: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import looked_up, on_workers, place, segments, shared_dir, without, words, written
+from tidemark.llm.shared import kept_by_worker, looked_up, on_workers, place, segments, shared_dir, without, words, written
 
 RADIUS = 2
 #: Fingerprints that meet under one key of a segment table are paired with each other up to this number;
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker(None, bool)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(map(fingerprint, batch.column("text").to_pylist()), pa.int64())], ["doc_id", "place", "fp"])
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from tidemark.llm.shared import segments, spaced
+from tidemark.llm.shared import kept_by_worker, segments, spaced
 
 VOCABULARY = "word_bpe_49k.json"
 #: Letters that stay one letter each in lower case and in any normal form.
@@ -25,7 +25,7 @@ class ChunkEncoder:
     Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", chunks: int = 300_000, parts: int = 1_000_000):
+    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", chunks: int = 60_000, parts: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -76,11 +76,6 @@ class ChunkEncoder:
             self.chunks[c] = parts[w] + parts[r] if r else parts[w]
 
 
-_encoders: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(vocabulary: str = VOCABULARY, dtype: str = "<u4") -> ChunkEncoder:
     """One encoder a worker process."""
-    if (vocabulary, dtype) not in _encoders:
-        _encoders[vocabulary, dtype] = ChunkEncoder(vocabulary, dtype)
-    return _encoders[vocabulary, dtype]
+    return kept_by_worker(("encoder", vocabulary, dtype), lambda: ChunkEncoder(vocabulary, dtype))
