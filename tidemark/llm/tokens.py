@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,7 @@ class ChunkEncoder:
     Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", chunks: int = 60_000, parts: int = 250_000):
+    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", chunks: int = 200_000, parts: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -44,6 +45,9 @@ class ChunkEncoder:
             yield b"".join(map(self._segment, segments(text)))
 
     def _segment(self, text: str) -> bytes:
+        with contextlib.suppress(UnicodeEncodeError):
+            text.encode("latin-1")
+            text = text.lower()  # of these letters, one letter each: fewer chunks differ
         chunks, known = spaced(text).split(" "), self.chunks
         if new := set(chunks).difference(known):
             if len(known) + len(new) > self.most_chunks:
