@@ -18,7 +18,7 @@ LENGTH = 50
 #: Bytes of the pieces of a passage that are hashed; the least hash is the passage's key.
 PIECE = 24
 #: Bytes of text in a block, and about as many in an index.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 INDEX = 1_500_000
 #: A key that stands in more documents than this is hot: its passages are dealt out one by one.
 HOT = 10_000
