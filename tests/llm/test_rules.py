@@ -69,3 +69,12 @@ def test_query(spark, sf, odd, nothing):
     assert kept and all(kept)
     assert quality(odd).count() == 11 and quality(nothing).count() == 0 and filtered(nothing).count() == 0
     assert filtered(odd).columns == odd.columns and {r.doc_id for r in filtered(odd).collect()} == {1, 2, 7}
+
+
+def test_labelled_junk_goes_and_clean_documents_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    verdicts = [(r.quality, v[6]) for r, v in zip(labelled, judged([r.text for r in labelled], rules.Fertility())) if not v[5]]
+    junk, clean = ([kept for quality, kept in verdicts if quality == q] for q in (0, 1))
+    assert len(junk) > 20 and len(clean) > 200
+    assert np.mean(junk) < 0.3 and np.mean(clean) > 0.99
