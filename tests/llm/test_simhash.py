@@ -6,8 +6,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import shared_dir
-from tidemark.llm.simhash import fingerprint, links, near_groups
+from tidemark.llm.shared import shared_dir, written
+from tidemark.llm.simhash import fingerprint, links, near_groups, one_of_each
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -94,3 +94,15 @@ def test_query(spark, sf, odd, nothing):
     ids = {(r.doc_id, r.component_id) for r in near_groups(odd).collect()}
     assert {(3, 3), (4, 3), (5, 3), (2, 1), (7, 1), (None, None)} <= ids
     assert near_groups(nothing).count() == 0
+
+
+def test_unrelated_texts_under_no_id_or_one_id_all_stay(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    t = [" ".join(word() for _ in range(400)) for _ in range(6)]
+    near = [next(x for i in range(400) if (x := " ".join([*y.split()[:i], "changed", *y.split()[i + 1 :]])) and 0 < (fingerprint(x) ^ fingerprint(y)).bit_count() <= 2) for y in (t[1], t[3])]
+    rows = [(None, t[0]), (None, t[1]), (None, near[0]), (5, t[2]), (5, t[3]), (5, near[1]), (6, t[4]), (None, t[4]), (7, t[5])]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), shared_dir(spark))
+    got = one_of_each(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got if r.text not in (t[1], near[0], t[3], near[1])) == sorted([(0, t[0]), (5, t[2]), (6, t[4]), (7, t[5])])
+    assert sum(r.text in (t[1], near[0]) for r in got) == 1 == sum(r.text in (t[3], near[1]) for r in got)

@@ -9,17 +9,17 @@ from tidemark.llm.shared import removed, written
 
 
 def components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
-    """node and component: the smallest rank that each node with an edge reaches, its own included.
+    """node, component and root: the smallest rank that each node with an edge reaches, its own included, and the least node that has it there.
 
     edges: a long, b long, any direction, repeats and loops allowed. nodes: node long (unique), rank long;
-    ranks may tie. Each round takes the least label of the neighbours, then the label of the label, so long
+    ranks may tie, so only root tells components apart. Each round takes the least label of the neighbours, then the label of the label, so long
     chains take a logarithm of their length in rounds. Only the newest round's table is kept.
     """
     spark = edges.sparkSession
     both = edges.where("a != b").select("a", "b").unionByName(edges.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, f"{folder}/edges")
     if not both.head(1):
-        return nodes.sparkSession.createDataFrame([], "node long, component long")
+        return nodes.sparkSession.createDataFrame([], "node long, component long, root long")
     label = written(
         both.select(F.col("a").alias("node")).distinct().join(nodes, "node").select("node", F.struct("rank", "node").alias("label")),
         f"{folder}/labels-0",
@@ -38,4 +38,4 @@ def components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
         removed(spark, f"{folder}/near-{step}")
         label = new.drop("moved")
         if not moved:
-            return label.select("node", F.col("label.rank").alias("component"))
+            return label.select("node", F.col("label.rank").alias("component"), F.col("label.node").alias("root"))

@@ -98,24 +98,24 @@ def links(fps: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, bucket: int = BUCKET, with_place: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint, component_id, and place if asked for.
+    """One row for each row of docs: doc_id, fingerprint, component_id, and place and root if asked for.
 
     component_id is the smallest doc_id that is reachable over links of at most 2 differing bits. Null
     texts and texts without a word have the fingerprint zero; equal fingerprints are linked at no cost, as
     one. A null doc_id counts as greater than any other; a component of null ids alone has a null id.
-    Extra columns are ignored. No row, no result.
+    Components may share their smallest doc_id, if it is null or repeated; root, a fingerprint, tells them apart. Extra columns are ignored. No row, no result.
     """
     folder = shared_dir(docs.sparkSession)
     rows = written(fingerprints(docs), f"{folder}/fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_HIDDEN))).alias("rank"), F.count("*").alias("n")), f"{folder}/distinct")
     linked = components(links(fps.select("fp"), folder, bucket), fps.select(F.col("fp").alias("node"), "rank"), folder)
     total = fps.agg(F.sum("n")).first()[0] or 0
-    table = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("component", "rank").alias("component"))
+    table = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("component", "rank").alias("component"), F.coalesce("root", "fp").alias("root"))
     return looked_up(rows, table, "fp", "n", total).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component") != _HIDDEN, F.col("component")).alias("component_id"),
-        *(["place", "component"] if with_place else []),
+        *(["place", "root"] if with_place else []),
     )
 
 
@@ -126,5 +126,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     folder = shared_dir(docs.sparkSession)
     rows = written(near_groups(docs, with_place=True), f"{folder}/groups")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_HIDDEN)), "place")).alias("first")).select("first.place")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_HIDDEN)), "place")).alias("first")).select("first.place")
     return without(docs, rows.select("place").join(first, "place", "left_anti"), f"{folder}/dropped")
