@@ -5,8 +5,10 @@ import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.mixing import mix, mixed, targets
-from tidemark.llm.shared import shared_dir, written
+from tidemark.llm.dedup_stream import deduplicated
+from tidemark.llm.mixing import _mix, mix, mixed, targets
+from tidemark.llm.shared import located, settings as conf, shared_dir, written
+from tidemark.llm.simhash import one_of_each
 
 
 def brute_targets(sizes):
@@ -58,7 +60,7 @@ def test_query(spark, sf, odd, nothing):
         rows = mix(docs, fan_in=fan_in).collect()
         check(docs, rows)
         again = mix(docs.repartition(3), fan_in=fan_in)
-        assert sorted(r[:7] for r in rows) == sorted(tuple(r) for r in again.drop("place").collect())
+        assert sorted(r[:7] for r in rows) == sorted(tuple(r) for r in again.collect())
     check(odd, mix(odd).collect())
     assert mix(nothing).count() == 0
 
@@ -83,3 +85,30 @@ def test_rows_of_the_mix(spark, sf):
     for r in mixed(docs).collect():
         got[r.doc_id] += len(regex.findall(r"[^\x20\x09-\x0D]+", r.text))
     assert {r.doc_id: r.taken for r in plan if r.taken} == got and mixed(docs).columns == docs.columns
+
+
+def test_many_rows_of_one_id_and_text_spread_over_blocks(spark):
+    docs = written(spark.range(12_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "IF(id % 4 = 0, 'a b', 'a b c') AS text", "IF(id % 10 < 7, 's', 't') AS source"), shared_dir(spark))
+    rows = mix(docs).collect()
+    check(docs, rows)
+    folder = shared_dir(spark)
+    _mix(located(docs, folder), folder, (1, 2, 3), 0)
+    most = spark.read.parquet(f"{folder}/level-0").selectExpr("max(size(done))").first()[0]
+    assert most < 64 * 3
+    assert sorted(tuple(r) for r in mix(docs).collect()) == sorted(map(tuple, rows))
+
+
+def test_a_scan_that_is_cut_anew_gives_the_same_rows(spark):
+    """Another number of cores, as after the loss of an executor, between the writing of places and their use."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 3000, ' ', repeat('w ', CAST(id % 3000 % 9 AS INT))) AS text", "concat('s', id % 3) AS source", "'keep' AS _place", "'keep' AS copies", "7 AS n")
+    folder = shared_dir(spark)
+    docs.repartition(40).write.parquet(folder)
+    results = []
+    for cuts in ((4, 4), (4, 16)):
+        with conf(spark, {"spark.sql.files.minPartitionNum": str(cuts[0])}):
+            docs = spark.read.parquet(folder)
+            out = [deduplicated(docs), mixed(docs), one_of_each(docs)]
+        with conf(spark, {"spark.sql.files.minPartitionNum": str(cuts[1])}):
+            results.append([sorted(map(tuple, df.collect())) for df in out])
+    assert results[0] == results[1] and len(results[0][0]) == 3000 == len({r[1] for r in results[0][0]})
+    assert all(r[3] == r[4] == "keep" and r[5] == 7 for rows in results[0] for r in rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import removed, written
+from tidemark.llm.shared import looked_up, removed, written
 
 
 def components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
@@ -24,15 +24,17 @@ def components(edges: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
         both.select(F.col("a").alias("node")).distinct().join(nodes, "node").select("node", F.struct("rank", "node").alias("label")),
         f"{folder}/labels-0",
     )
-    step = 0
+    step, nodes_there = 0, label.count()
     while True:
         step += 1
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         least = written(least, f"{folder}/near-{step}")
-        jump = least.select(F.col("node").alias("at"), F.col("next").alias("jump"))
-        new = least.join(jump, F.col("next.node") == F.col("at")).select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") != F.col("old")).alias("moved"))
-        new = written(new, f"{folder}/labels-{step}")
+        # a large component has one label, so its nodes are looked up as hot keys are
+        wanted = least.groupBy(F.col("next.node").alias("at")).agg(F.count("*").alias("n"))
+        jump = wanted.join(least.select(F.col("node").alias("at"), F.col("next").alias("jump")), "at")
+        asked = looked_up(least.withColumn("at", F.col("next.node")), jump, "at", "n", nodes_there)
+        new = written(asked.select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") != F.col("old")).alias("moved")), f"{folder}/labels-{step}")
         moved = bool(new.where("moved").head(1))
         removed(spark, f"{folder}/labels-{step - 1}")
         removed(spark, f"{folder}/near-{step}")

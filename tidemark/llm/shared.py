@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,17 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def touched(spark: SparkSession, path: str) -> None:
+    """Makes an empty file: what is written beside it is whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True).close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 _kept: dict[object, object] = {}
 
 
@@ -121,20 +134,36 @@ def remainder(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def place() -> Column:
-    """Where a row is in the scan of a table that Spark reads from files, as a number: it finds the row again."""
-    return F.monotonically_increasing_id().alias("place")
+PLACE = "struct<file: string, row: long>"
+
+
+def located(docs: DataFrame, folder: str) -> DataFrame:
+    """docs as two columns: row, a struct of all columns, and place, the file a row is in with its number there.
+
+    A place is the same in every scan, however the files are cut among tasks, so it finds the row again after executors
+    were lost or added. Rows that aren't a Parquet table as it is read are written to folder first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):
+            return _placed(docs)
+    docs.write.mode("overwrite").parquet(folder)
+    return _placed(docs.sparkSession.read.schema(docs.schema).parquet(folder))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    at = docs.metadataColumn("_metadata")
+    return docs.select(F.struct("*").alias("row"), F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")).alias("place"))
 
 
 #: Up to this many places are broadcast to drop rows; more are joined.
-BROADCAST_PLACES = 1_000_000
+BROADCAST_PLACES = 200_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, folder: str) -> DataFrame:
-    """The rows of docs, with all their columns, whose place isn't in dropped."""
-    dropped = written(dropped.select(F.col("place").alias("_place")), folder)
+def without(rows: DataFrame, dropped: DataFrame, folder: str) -> DataFrame:
+    """The columns of the rows, as located() has them, whose place isn't in dropped."""
+    dropped = written(dropped.select("place"), folder)
     small = dropped.count() <= BROADCAST_PLACES
-    return docs.withColumn("_place", place()).join(F.broadcast(dropped) if small else dropped, "_place", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(dropped) if small else dropped, "place", "left_anti").select("row.*")
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import kept_by_worker, looked_up, on_workers, place, segments, shared_dir, without, words, written
+from tidemark.llm.shared import PLACE, kept_by_worker, located, looked_up, on_workers, segments, shared_dir, without, words, written
 
 RADIUS = 2
 #: Fingerprints that meet under one key of a segment table are paired with each other up to this number;
@@ -46,16 +46,16 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, place and fp of every row, in one pass without a shuffle."""
-    on_workers(docs.sparkSession)
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """doc_id, place and fp of rows as located() has them, in one pass without a shuffle."""
+    on_workers(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_by_worker(None, bool)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(map(fingerprint, batch.column("text").to_pylist()), pa.int64())], ["doc_id", "place", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), place(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place long, fp long")
+    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "place", F.col("row.text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, place {PLACE}, fp long")
 
 
 def links(fps: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
@@ -72,13 +72,13 @@ def links(fps: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
         F.struct(F.lit(0).alias("segment"), hi.alias("key"), F.lit(False).alias("asks")),
         F.struct(F.lit(1).alias("segment"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key"), F.lit(False).alias("asks")),
     )
-    table = fps.select("fp", F.inline(F.concat(own, probe)))
-    sizes = table.groupBy("segment", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("asks")).alias("there")).where("n > 1 AND there > 0").drop("there")
-    met = written(table.join(sizes, ["segment", "key"]), f"{folder}/met")
+    table = fps.select("fp", F.inline(F.concat(own, probe))).withColumn("key", F.shiftleft("key", 1) + F.col("segment"))
+    sizes = table.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("asks")).alias("there")).where("n > 1 AND there > 0").drop("there")
+    met = written(looked_up(table, sizes, "key", "n", 34 * fps.count()).where("n > 1"), f"{folder}/met")
     apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
     few = (
         met.where(F.col("n") <= bucket)
-        .groupBy("segment", "key")
+        .groupBy("key")
         .agg(F.collect_list(F.when(~F.col("asks"), F.col("fp"))).alias("there"), F.collect_list("fp").alias("all"))
         .select("all", F.explode("there").alias("a"))
         .select("a", F.explode(F.filter("all", lambda b: (b != F.col("a")) & (apart(b, F.col("a")) <= RADIUS))).alias("b"))
@@ -97,16 +97,20 @@ def links(fps: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
     return few.unionByName(balls).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, bucket: int = BUCKET, with_place: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint, component_id, and place and root if asked for.
+def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """One row for each row of docs: doc_id, fingerprint, component_id.
 
     component_id is the smallest doc_id that is reachable over links of at most 2 differing bits. Null
     texts and texts without a word have the fingerprint zero; equal fingerprints are linked at no cost, as
     one. A null doc_id counts as greater than any other; a component of null ids alone has a null id.
-    Components may share their smallest doc_id, if it is null or repeated; root, a fingerprint, tells them apart. Extra columns are ignored. No row, no result.
+    Components may share their smallest doc_id, if it is null or repeated. Extra columns are ignored. No row, no result.
     """
     folder = shared_dir(docs.sparkSession)
-    rows = written(fingerprints(docs), f"{folder}/fingerprints")
+    return _groups(located(docs, f"{folder}/rows"), folder, bucket)
+
+
+def _groups(placed: DataFrame, folder: str, bucket: int = BUCKET, with_place: bool = False) -> DataFrame:
+    rows = written(fingerprints(placed), f"{folder}/fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_HIDDEN))).alias("rank"), F.count("*").alias("n")), f"{folder}/distinct")
     linked = components(links(fps.select("fp"), folder, bucket), fps.select(F.col("fp").alias("node"), "rank"), folder)
     total = fps.agg(F.sum("n")).first()[0] or 0
@@ -122,9 +126,11 @@ def near_groups(docs: DataFrame, bucket: int = BUCKET, with_place: bool = False)
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each component, with all its columns; of repeated ids, the first by place.
 
-    docs has to be a table that Spark reads from files.
+    A null doc_id is the last of all, null and empty texts are one component, and so are repeated rows. Columns may have
+    any names. Components are told apart by their root, a fingerprint, as their smallest doc_id may be null or repeated.
     """
     folder = shared_dir(docs.sparkSession)
-    rows = written(near_groups(docs, with_place=True), f"{folder}/groups")
+    placed = located(docs, f"{folder}/rows")
+    rows = written(_groups(placed, folder, with_place=True), f"{folder}/groups")
     first = rows.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_HIDDEN)), "place")).alias("first")).select("first.place")
-    return without(docs, rows.select("place").join(first, "place", "left_anti"), f"{folder}/dropped")
+    return without(placed, rows.select("place").join(first, "place", "left_anti"), f"{folder}/dropped")
