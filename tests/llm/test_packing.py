@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm.packing import cuts, pack
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import ChunkEncoder
 
 
 @given(st.integers(1, 20_000))
@@ -17,13 +17,22 @@ def test_cuts_cover_and_fit_their_class(n):
     assert all(4096 // (k + 1) < s <= 4096 // k for s, k in got)
 
 
-@settings(deadline=None, max_examples=300)
-@given(st.text(max_size=300) | st.text(alphabet="aeE'stÉß ,.1\u0301\u0130\u03a3κ<|>\x1c\xa0\n", max_size=40))
+@settings(deadline=None, max_examples=60)
+@given(st.text(max_size=300) | st.text(alphabet="aeE'stÉß ,.1\u0301\u0130\u03a3κ<|>\x1c\xa0\n", max_size=40) | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "A", "é", " ", "\u0301", "1", "İ"]), max_size=9).map("".join))
 @example("e\u0301t\u0301 naïve's'll ÀÉ.x <|endoftext|> 12,3")
 def test_chunks_encode_as_the_whole_text(text):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    assert next(encoder().encode([text])) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for special in (True, False):
+        t.encode_special_tokens = not special
+        assert next(ChunkEncoder(special=special, chunks=99).encode([text])) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_special_tokens_in_a_text_are_themselves(spark):
+    texts = ["a <|endoftext|> b", "A<|startoftext|>É<|ENDOFTEXT|> B <|endoftext|>", "<|endoftext"]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: (r.ids_crc32, r.length) for r in pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).where("start = 0").collect()}
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for x in texts]
+    assert 49407 in want[0] and all(got[i][0] == zlib.crc32(ids[: got[i][1]].tobytes()) for i, ids in enumerate(want))
 
 
 def packed(df):

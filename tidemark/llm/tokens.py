@@ -23,16 +23,19 @@ class ChunkEncoder:
     another character, so a text's ids are those of its blank-free chunks in a row, and a chunk's are those
     of the letters it begins with and of the rest. Chunks and parts are remembered, up to a number of each.
     Plain words are encoded many at once: each ends with an id that ends a word.
-    Special tokens' strings in a text are ordinary text.
+    Special tokens' strings in a text are those tokens, as by the tokenizer's default, or ordinary text if special is
+    false. They are found in a text as it is, so a text with one in any case isn't lower-cased beforehand.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", chunks: int = 200_000, parts: int = 800_000):
+    def __init__(self, vocabulary: str = VOCABULARY, dtype: str = "<u4", special: bool = True, chunks: int = 200_000, parts: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.marked = re.compile("|".join(map(re.escape, marks)), re.I).search if marks else lambda text: None
         ends = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(ends.values()) + 1, bool)
         self.ends[[i for w, i in ends.items() if w.endswith("</w>")]] = True
@@ -45,9 +48,10 @@ class ChunkEncoder:
             yield b"".join(map(self._segment, segments(text)))
 
     def _segment(self, text: str) -> bytes:
-        with contextlib.suppress(UnicodeEncodeError):
-            text.encode("latin-1")
-            text = text.lower()  # of these letters, one letter each: fewer chunks differ
+        if not self.marked(text):
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                text = text.lower()  # of these letters, one letter each: fewer chunks differ
         chunks, known = spaced(text).split(" "), self.chunks
         if new := set(chunks).difference(known):
             if len(known) + len(new) > self.most_chunks:
@@ -80,6 +84,6 @@ class ChunkEncoder:
             self.chunks[c] = parts[w] + parts[r] if r else parts[w]
 
 
-def encoder(vocabulary: str = VOCABULARY, dtype: str = "<u4") -> ChunkEncoder:
+def encoder(vocabulary: str = VOCABULARY, dtype: str = "<u4", special: bool = True) -> ChunkEncoder:
     """One encoder a worker process."""
-    return kept_by_worker(("encoder", vocabulary, dtype), lambda: ChunkEncoder(vocabulary, dtype))
+    return kept_by_worker(("encoder", vocabulary, dtype, special), lambda: ChunkEncoder(vocabulary, dtype, special))
