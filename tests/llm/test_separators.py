@@ -2,7 +2,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidemark.llm.separators import raw_blocks, scan, token_counts
+from tidemark.llm.separators import ranged_blocks, raw_blocks, scan, token_counts
 
 
 def brute(ids, end):
@@ -19,9 +19,9 @@ def test_blocks_are_stitched(spark, tmp_path):
     files = {"a": rng.integers(0, 6, 999), "b": np.full(50, 5), "c": np.ones(300, int), "d": np.r_[np.ones(257, int), 5, 5, np.ones(70, int)], "e": np.array([], int)}
     for name, ids in files.items():
         (tmp_path / name).write_bytes(ids.astype("<u2").tobytes())
-    for block in (2, 64, 1 << 20):
+    for read, block, group in ((raw_blocks, 2, 7), (ranged_blocks, 2, 1), (ranged_blocks, 64, 3), (raw_blocks, 64, 1024), (ranged_blocks, 1 << 20, 1024)):
         got = {n: [] for n in files}
-        for r in sorted(scan(raw_blocks(spark, f"file://{tmp_path}", block), end=5).collect(), key=lambda r: (r.file, r.ordinal)):
+        for r in sorted(scan(read(spark, f"file://{tmp_path}", block), end=5, group=group).collect(), key=lambda r: (r.file, r.ordinal)):
             assert r.ordinal == len(got[r.file[-1]])
             got[r.file[-1]].append((r.start, r.n_tokens, r.ended))
         assert got == {n: brute(ids.tolist(), 5) for n, ids in files.items()}
@@ -36,3 +36,8 @@ def test_query(spark, sf, odd, nothing):
     got = token_counts(odd).collect()
     assert len(got) == 11 and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {0} and sum(r.doc_id is None for r in got) == 1
     assert token_counts(nothing).count() == 0
+
+
+def test_a_file_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "one").write_bytes(b"\x01\x00" * 5000)
+    assert ranged_blocks(spark, f"file://{tmp_path}/one", 100, 1000).rdd.getNumPartitions() == 10

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import on_workers, shared_dir
+from tidemark.llm.shared import on_workers, shared_dir, written
 from tidemark.llm.tokens import VOCABULARY, encoder
 
 #: Ids of word_bpe_49k.json, all under 2**16: two bytes an id, little-endian; documents end with <|endoftext|>.
@@ -18,6 +20,10 @@ DTYPE = "<u2"
 END = 49407
 #: Bytes of a block.
 BLOCK = 1 << 20
+#: Blocks of a file that are scanned together; their sums are scanned over the file.
+GROUP = 1024
+#: Bytes that a task reads of raw files, about.
+TASK = 1 << 26
 
 BLOCKS = "file string, block long, ids binary"
 
@@ -33,7 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     on_workers(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, name = encoder(vocabulary, DTYPE), f"part-{TaskContext.get().partitionId():06d}"
+        encode, name = encoder(vocabulary, DTYPE, special=False), f"part-{TaskContext.get().partitionId():06d}"
         schema = pa.schema([("kind", pa.string()), ("file", pa.string()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
         rows = lambda kind, n, ids, doc_ids: pa.RecordBatch.from_pylist([{"kind": kind, "file": name, "n": n, "ids": ids, "doc_ids": doc_ids}], schema)
         held, written, first, mark = bytearray(), 0, 0, end.to_bytes(2, "little")
@@ -57,8 +63,34 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     return blocks, read.where("kind = 'documents'").select("file", F.col("n").alias("first"), "doc_ids")
 
 
+def ranged_blocks(spark: SparkSession, path: str, block: int = BLOCK, task: int = TASK) -> DataFrame:
+    """The blocks of raw binary token files at path (a file, folder or glob), of any size, each read by its byte range.
+
+    Spark lists the files; the tasks open them through Arrow's file systems (local, HDFS, S3, GCS, Azure).
+    """
+    on_workers(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # no content is read
+    total = files.agg(F.sum("length")).first()[0] or 0
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / block))).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, opened = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["path"] != name:
+                    name = r["path"]
+                    store, at = FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                    opened = store.open_input_file(at)
+                start = r["block"] * block
+                ids = opened.read_at(min(block, r["length"] - start), start)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r["block"]], pa.int64()), pa.array([ids], pa.binary())], ["file", "block", "ids"])
+
+    dealt = ranges.repartition(max(1, -(-total // task)), "path", F.floor(F.col("block") * block / task))
+    return dealt.mapInArrow(run, BLOCKS)
+
+
 def raw_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """The blocks of raw binary token files at path (a file, folder or glob), each under 2 GB, Spark's limit for a value."""
+    """As ranged_blocks(), for stores that only Spark's readers reach: files of under 2 GB each, Spark's limit for a value, read whole."""
     on_workers(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,13 +103,14 @@ def raw_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
 
 
-def scan(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFrame:
+def scan(blocks: DataFrame, end: int = END, dtype: str = DTYPE, group: int = GROUP) -> DataFrame:
     """One row a document: file, ordinal (in the file), start (its first id's place in the file), n_tokens
     without the separator, and ended, false for ids after the last separator of a file.
 
     Each block is searched alone. What a block adds to the count of ids and of separators, and its last
     separator's place, then go through a prefix scan over the file's blocks, a row a block, so a document may
-    reach over any number of blocks. Empty documents count 0. No block, no result.
+    reach over any number of blocks. The scan has two levels, groups of blocks and the groups of a file, so
+    a file of any size is scanned by many tasks. Empty documents count 0. No block, no result.
     """
     on_workers(blocks.sparkSession)
 
@@ -90,17 +123,30 @@ def scan(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFrame:
             )
 
     found = blocks.select("file", "block", "ids").mapInArrow(run, "file string, block long, n_ids long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = Window.partitionBy("file").orderBy(F.desc("block"))
-    own = found.select("file", "block", "n_ids", F.size("ends").alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("last_end"))
-    base = own.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    stitched = base.select(
+    found = written(found, f"{shared_dir(blocks.sparkSession)}/ends").withColumn("group", F.floor(F.col("block") / group))
+    before = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = found.select("file", "group", "block", "n_ids", F.size("ends").alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("last_end"))
+    inside = inside.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("last", F.col("base") + F.col("last_end"))
+    of_group = inside.groupBy("file", "group").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_ends").alias("n_ends"), F.max("last").alias("last"), F.max("block").alias("top"))
+    order = Window.partitionBy("file").orderBy("group")
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
+    of_group = of_group.withColumn("g_base", F.coalesce(F.sum("n_ids").over(above), F.lit(0)))
+    of_group = of_group.select(
+        "file",
+        "group",
+        "g_base",
+        F.coalesce(F.sum("n_ends").over(above), F.lit(0)).alias("g_first"),
+        F.coalesce(F.max(F.col("g_base") + F.col("last")).over(above), F.lit(-1)).alias("g_carry"),
+        F.when(F.lead("group").over(order).isNull(), F.col("top")).alias("top"),
+    )
+    own = inside.select("file", "group", "block", "base", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("first"), F.max("last").over(before).alias("carry"))
+    stitched = own.join(of_group, ["file", "group"]).select(
         "file",
         "block",
-        "base",
-        F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("first"),
-        F.coalesce(F.max(F.col("base") + F.col("last_end")).over(before), F.lit(-1)).alias("carry"),
-        (F.row_number().over(last) == 1).alias("is_last"),
+        (F.col("g_base") + F.col("base")).alias("base"),
+        (F.col("g_first") + F.col("first")).alias("first"),
+        F.coalesce(F.col("g_base") + F.col("carry"), F.col("g_carry")).alias("carry"),
+        F.coalesce(F.col("block") == F.col("top"), F.lit(False)).alias("is_last"),
     )
     whole = found.join(stitched, ["file", "block"])
     each = whole.select("file", "base", "first", "carry", "ends", F.posexplode("ends").alias("at", "place"))
