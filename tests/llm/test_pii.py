@@ -46,6 +46,11 @@ def test_added_spans():
     assert kinds('token = "f33e61083db5dbdf4bd2369d2f80176e"') == {(6, "f33e61083db5dbdf4bd2369d2f80176e")}
     assert kinds("tokenisation of the accountant 12345678") == set()
     assert kinds("at fe80::1ff:fe23:4567:890a it") == {(7, "fe80::1ff:fe23:4567:890a")}
+    assert kinds("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334, it") == {(7, "2001:0db8:85a3:0000:0000:8a2e:0370:7334")}
+    assert kinds("12:30:45 00:1b:44:11:3a:b7 00:11:22:33:44:55:66:77 " + "a:" * 5000) == set()
+    assert kinds("Sort Code: 40-47-84 59") == {(5, "40-47-84 59")} == kinds("ŞORT sOrT cOdE: 40-47-84 59")
+    assert kinds("Api_Key=f33e61083db5dbdf4bd2369d2f80176e") == {(6, "f33e61083db5dbdf4bd2369d2f80176e")}
+    assert kinds("a" * 40 + "://b.c") == {(4, "a" * 40 + "://b.c")}
     assert kinds("std::vector and a :: b") == set()
 
 

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from ipaddress import AddressValueError, IPv6Address
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ _SECRET_SIGN = re.compile(r"[\"']?\s{0,2}(?:[:=]\s{0,2}|\x20)[\"']?")
 _SECRET = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 _V6 = re.compile(r"[0-9A-Fa-f:]+")
 _HEX = frozenset("0123456789abcdefABCDEF")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def luhn(digits: str) -> bool:
@@ -51,23 +53,22 @@ def iban_valid(text: str) -> bool:
 
 
 class AnchorExpander:
-    """Finds anchors in one pass of an Aho-Corasick automaton, then parses outwards from each.
+    """Finds anchors in a pass of an Aho-Corasick automaton each for signs and for cues, then parses outwards from each.
 
-    Anchors come in order of place. A kind's cursor is the end of its last match, valid or not: anchors
+    Anchors of a kind come in order of place. A kind's cursor is the end of its last match, valid or not: anchors
     before it are inside a match already, so a kind's matches are leftmost and don't overlap.
     """
 
     def __init__(self):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        anchors = {"@": "email", "+": "phone", "://": "url", "::": "ipv6"} | dict.fromkeys("0123456789", "digit")
-        for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
-            for cue in cues:
-                anchors |= dict.fromkeys((cue, cue.upper(), cue.capitalize()), kind)
-        for anchor, kind in anchors.items():
-            self.automaton.add_word(anchor, (kind, len(anchor)))
-        self.automaton.make_automaton()
+        self.signs, self.cues = ahocorasick.Automaton(), ahocorasick.Automaton()
+        signs = {"@": "email", "+": "phone", "://": "url", ":": "ipv6"} | dict.fromkeys("0123456789", "digit")
+        cues = dict.fromkeys(ACCOUNT_CUES, "account") | dict.fromkeys(SECRET_CUES, "secret")
+        for automaton, anchors in ((self.signs, signs), (self.cues, cues)):
+            for anchor, kind in anchors.items():
+                automaton.add_word(anchor, (kind, len(anchor)))
+            automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind's place in KINDS, end) in order; places are in code points and end is exclusive."""
@@ -79,7 +80,8 @@ class AnchorExpander:
             if valid:
                 out.append((start, KINDS.index(kind), end))
 
-        for last, (kind, size) in self.automaton.iter(text):
+        lower = text.lower() if text.isascii() else text.translate(_LOWER)  # cues in any case, at the same places
+        for last, (kind, size) in chain(self.signs.iter(text), self.cues.iter(lower)):
             i = last + 1 - size
             if kind == "digit":
                 if i >= at["ip"]:
@@ -102,7 +104,7 @@ class AnchorExpander:
                     found("phone", i, m.end(), 10 <= sum(c.isdigit() for c in m[0]) <= 15)
             elif kind == "url":
                 start = i
-                while start > max(at["url"], i - 32) and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "+.-"):
+                while start > at["url"] and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "+.-"):
                     start -= 1
                 if (s := _SCHEME.search(text, start, i)) and s.end() == i and (m := _URL_REST.match(text, i)):
                     end = m.end()
@@ -110,13 +112,15 @@ class AnchorExpander:
                         end -= 1
                     found("url", s.start(), end, True)
             elif kind == "ipv6":
-                start = i
-                while start > max(at["ipv6"], i - 40) and (text[start - 1] in _HEX or text[start - 1] == ":"):
-                    start -= 1
-                m = _V6.match(text, start)
-                end = m.end() - (m[0].endswith(":") and not m[0].endswith("::"))
-                if i >= at["ipv6"] and m.end() - start <= 45 and not text[start - 1 : start].isalnum() and not text[end : end + 1].isalnum():
-                    found("ipv6", start, end, _is_v6(text[start:end]))
+                if i >= at["ipv6"]:  # the first colon of a run of hex digits and colons
+                    start = i
+                    while start > at["ipv6"] and text[start - 1] in _HEX:
+                        start -= 1
+                    m = _V6.match(text, start)
+                    end = m.end() - (m[0].endswith(":") and not m[0].endswith("::"))
+                    apart = not text[start - 1 : start].isalnum() and not text[end : end + 1].isalnum()
+                    found("ipv6", start, end, apart and end - start <= 39 and _is_v6(text[start:end]))
+                    at["ipv6"] = m.end()
             elif i >= at[kind] and not text[i - 1 : i].isalnum():
                 if kind == "account" and not text[i + size : i + size + 1].isalpha():
                     m = _ACCOUNT.match(text, _AFTER_CUE.match(text, i + size).end())
@@ -130,8 +134,9 @@ class AnchorExpander:
 
 
 def _is_v6(text: str) -> bool:
+    """An address; one written in full has a group of three digits at least, unlike times and keys in pairs of digits."""
     try:
-        return len(text) > 4 and bool(IPv6Address(text))
+        return len(text) > 4 and bool(IPv6Address(text)) and ("::" in text or max(map(len, text.split(":"))) > 2)
     except (AddressValueError, ValueError):
         return False
 
@@ -140,11 +145,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: counts of the base kinds, a digest of the base spans, and all spans.
+    """One row for each row of docs: counts of the base kinds, a digest of the base spans, all spans, and how many were added and are in all.
 
     Reads doc_id and text, ignores other columns. Null counts as the empty text, which has no span.
     Repeated rows are searched each, a null doc_id stays null, no row gives no result. Kinds don't
@@ -160,7 +165,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 spans = expander.spans(text or "")
                 base = [s for s in spans if s[1] < BASE]
-                rows.append((doc_id, *(sum(s[1] == k for s in base) for k in range(BASE)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
+                rows.append((doc_id, *(sum(s[1] == k for s in base) for k in range(BASE)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
