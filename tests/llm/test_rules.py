@@ -29,7 +29,7 @@ def test_base_counts(parts):
     assert base_counts(text, words(text)) == brute(text)
 
 
-def test_long_texts_take_the_array_path(monkeypatch):
+def test_long_texts_take_the_way_by_arrays(monkeypatch):
     rng = np.random.default_rng(1)
     w = [str(x) for x in rng.integers(0, 9, 3000)]
     exact = rules.covered_by_repeats(w)

@@ -11,7 +11,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ MARK = "\u2581"
 _LATIN = re.compile("[!-~¡-¨«-³¶-¸»À-ÖØ-öø-ÿ]+")
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 VOCABULARY = "piece_bpe_32k.model"
-#: Above this many words, repeated windows are found by 64-bit hashes in an array instead of by the words themselves.
+#: Above this many words, repeated windows are found by numbers of words in arrays instead of by tuples of words, with the same result.
 LONG = 200_000
 
 
@@ -124,11 +123,11 @@ def covered_by_repeats(words: list[str], n: int = 5) -> int:
     if len(words) <= n:
         return 0
     if len(words) > LONG:
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        with np.errstate(over="ignore"):
-            windows = sum(h[i : len(h) - n + 1 + i] * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 % 2**64 | 1) ^ (h[i : len(h) - n + 1 + i] >> np.uint64(31 + i)) for i in range(n))
-        _, of, count = np.unique(windows, return_inverse=True, return_counts=True)
-        twice = count[of] > 1
+        numbers: dict[str, int] = {}
+        of = each = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        for i in range(1, n):  # windows of i + 1 words as numbers, from those of i words and the word after
+            of = np.unique(of[: len(words) - i] * len(numbers) + each[i:], return_inverse=True)[1]
+        twice = np.bincount(of)[of] > 1
     else:
         windows = list(zip(*(words[i:] for i in range(n)), strict=False))
         if len(set(windows)) == len(windows):
