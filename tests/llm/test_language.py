@@ -1,9 +1,13 @@
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from math import exp, log, sqrt
 
 import numpy as np
 
-from tidemark.llm.language import FollowTheRegularisedLeader, Settings, counted, identify, softmax, temperature
+from pyspark.sql import functions as F
+
+from tidemark.llm.language import FollowTheRegularisedLeader, Settings, _back, _small, counted, drawn, identify, softmax, temperature
 
 
 def test_counts_are_those_of_the_n_grams():
@@ -45,3 +49,81 @@ def test_query(spark, sf, odd, nothing):
     assert len(got) == 11 and all((r.lang_pred, r.score) == ("und", 0.0) for r in got if r.doc_id in (3, 4, 5)) and identify(nothing).count() == 0
     hidden = docs.selectExpr("doc_id", "text", "IF(crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1, 'xx', lang) AS lang")
     assert {r.doc_id: (r.lang_pred, r.score) for r in identify(hidden).collect()} == {d: (r.lang_pred, r.score) for d, r in rows.items()}
+
+
+def brute(docs, settings):
+    """{doc_id: (lang, score)} by the plainest way: n-grams as strings, dictionaries, one number after the other."""
+    features = lambda t: Counter(x[i : i + n] for x in [f" {re.sub('[^a-zäöüßéèàçêñáíóú]+', ' ', t.lower()).strip(' ')} "] for n in settings.orders for i in range(len(x) - n + 1))
+    counts = {r.doc_id: features(r.text) for r in docs}
+    learnt = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    frequency = Counter(g for r in learnt for g in counts[r.doc_id])
+    langs = sorted({r.lang for r in learnt})
+
+    def vector(r):
+        x = {g: c * (log((1 + len(learnt)) / (1 + frequency[g])) + 1) for g, c in counts[r.doc_id].items()}
+        norm = sqrt(sum(v * v for v in x.values()))
+        return {g: v / norm for g, v in x.items()}
+
+    rows = sorted((r for r in learnt if r.h < min(1, settings.sample * 0.9 / sum(q.lang == r.lang for q in learnt))), key=lambda r: r.h)
+    order = [rows[i] for i in np.random.default_rng(5).permutation(len(rows))]
+    n_held = int(len(rows) * settings.calibration)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(g, k):
+        v = z[g, k]
+        return 0.0 if abs(v) <= settings.l1 else -(v - (settings.l1 if v > 0 else -settings.l1)) / ((settings.beta + sqrt(n[g, k])) / settings.alpha + settings.l2)
+
+    logits = lambda x: [sum(v * weight(g, k) for g, v in x.items()) for k in range(len(langs))]
+
+    def chances(values, t=1.0):
+        e = [exp(v / t) for v in values]
+        return [v / sum(e) for v in e]
+
+    for _ in range(settings.epochs):
+        for r in order[n_held:]:
+            x = vector(r)
+            p = chances(logits(x))
+            old = {(g, k): weight(g, k) for g in x for k in range(len(langs))}
+            for (g, k), w in old.items():
+                d = x[g] * (p[k] - (langs[k] == r.lang))
+                z[g, k] += d - (sqrt(n[g, k] + d * d) - sqrt(n[g, k])) / settings.alpha * w
+                n[g, k] += d * d
+    held = [(logits(vector(r)), langs.index(r.lang)) for r in order[:n_held]]
+    t = min((exp(s / 200) for s in range(-782, 600)), key=lambda t: -sum(log(max(chances(v, t)[y], 1e-300)) for v, y in held))
+    out = {}
+    for r in docs:
+        p = chances(logits(vector(r)), t)
+        out[r.doc_id] = (langs[max(range(len(langs)), key=p.__getitem__)], max(p), t)
+    return out
+
+
+def test_against_the_plainest_way(spark, sf):
+    """Texts are cut short for the plain way's sake, and some labels are changed, so that not all is certain."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 60").selectExpr("doc_id", "translate(substr(text, 1, 40), '\u00a0', ' ') AS text", "IF(doc_id % 5 = 0, 'xx', lang) AS lang")
+    settings = Settings(buckets=1 << 21, sample=30, orders=(1, 2))
+    want = brute(docs.withColumn("h", drawn(F.col("doc_id"), F.col("text"))).collect(), settings)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, settings).collect()}
+    assert got.keys() == want.keys() and len({w[0] for w in want.values()}) > 3
+    assert np.mean([got[d][0] == want[d][0] for d in want]) > 0.99
+    assert np.median([abs(got[d][1] - want[d][1]) for d in want]) < 0.01 and all(abs(got[d][1] - want[d][1]) < 0.05 for d in want)
+
+
+def test_all_of_many_languages_are_learnt(spark):
+    """More classes than a model of full width has room for: none is left out, and the model stays in its bound."""
+    settings = Settings(cells=1 << 18, total=400)
+    rows = [(i, f"{chr(0x4E00 + i % 300) * 3} {chr(0x4E00 + i % 300) * 2}", f"l{i % 300:03d}") for i in range(4500)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), settings).collect()
+    assert settings.of(300).buckets * 300 <= 1 << 18 and settings.of(16) == Settings(cells=1 << 18, total=400, sample=25, buckets=1 << 14)
+    right = Counter(r.lang_pred for r in got if r.lang_pred == f"l{r.doc_id % 300:03d}")
+    assert len(right) > 200
+
+
+def test_numbers_in_few_bytes():
+    for x in ([], [0, 65535], [1, 65536]):
+        assert _back(_small(np.array(x, np.int64))).tolist() == x
+
+
+def test_null_ids_are_drawn_by_their_texts(spark):
+    docs = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text")
+    share = docs.select((drawn(F.col("doc_id"), F.col("text")) < 0.5).cast("int").alias("x")).agg(F.avg("x")).first()[0]
+    assert 0.4 < share < 0.6

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import kept_by_worker, on_workers, remainder, segments
@@ -20,13 +20,19 @@ _NO_LETTERS = regex.compile(r"[^\p{L}]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample bounds the labelled documents of each language that the weights are learnt from, languages the
-    number of classes (the most frequent). Document frequencies are of all documents to learn from."""
+    """sample bounds the labelled documents of each language that the weights are learnt from, total those of all
+    languages together, but for `least` of each. Document frequencies are of all documents to learn from.
+
+    All languages are learnt. cells bounds the model: with so many languages that buckets times languages would be
+    more, there are fewer buckets, 256 at least.
+    """
 
     buckets: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3)
     sample: int = 1500
-    languages: int = 400
+    total: int = 6000
+    least: int = 8
+    cells: int = 1 << 23
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -34,6 +40,11 @@ class Settings:
     l2: float = 1e-3
     calibration: float = 0.2
 
+    def of(self, languages: int) -> Settings:
+        """The settings for a number of languages."""
+        fit = 1 << max(8, (self.cells // max(languages, 1)).bit_length() - 1)
+        return replace(self, buckets=min(self.buckets, fit), sample=min(self.sample, max(self.least, self.total // max(languages, 1))))
+
 
 def grams(text: str, settings: Settings) -> np.ndarray:
     """The buckets of a text's character n-grams, in lower case, with runs of other characters than letters as one blank."""
@@ -124,6 +135,16 @@ class Model:
         return self.languages[best], float(p[best])
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers in two bytes each, or four if they are larger, with the width in front."""
+    wide = len(numbers) and numbers.max() > 0xFFFF
+    return b"42"[1 - wide : 2 - wide] + numbers.astype("<u4" if wide else "<u2").tobytes()
+
+
+def _back(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1)
+
+
 def _frequencies(labelled: DataFrame, settings: Settings) -> np.ndarray:
     """Documents by bucket, of all documents: each task sends one row a bucket at most."""
 
@@ -145,40 +166,44 @@ def _frequencies(labelled: DataFrame, settings: Settings) -> np.ndarray:
     return out
 
 
+def drawn(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) for each labelled document: those with the smallest are learnt from."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(5)), 11) / F.lit(float(2**53))
+
+
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """labelled: doc_id, text, lang, without nulls but in doc_id.
 
-    The driver gets at most settings.sample documents of each of at most settings.languages languages, as
-    sparse counts: those with the smallest hashes of doc_id. The last of each epoch's order are kept apart to
-    fit the temperature.
+    The driver gets at most settings.total documents, settings.sample of a language, as sparse counts of at most
+    four bytes a bucket: those with the smallest hashes of doc_id and text. Some of them are kept apart to fit the temperature.
     """
-    on_workers(labelled.sparkSession)
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()
+    spark = labelled.sparkSession
+    on_workers(spark)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # the classes
     languages = sorted(r.lang for r in sizes)
+    settings = settings.of(len(languages))
     documents = _frequencies(labelled, settings)
     idf = np.log((1 + sum(r.n for r in sizes)) / (1 + documents)) + 1
     if not languages:
         return Model([], idf, np.zeros((settings.buckets, 0)), 1.0, settings)
-    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) / F.lit(float(2**53))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, settings.sample * 0.9 / r.n))).otherwise(share)
+    shares = spark.createDataFrame([(r.lang, min(1.0, settings.sample * 0.9 / r.n)) for r in sizes], "lang string, share double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [counted(t, settings) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("lang"), pa.array([a.astype("<u4").tobytes() for a, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], ["h", "lang", "at", "count"]
+                [batch.column("h"), batch.column("lang"), pa.array([_small(a) for a, _ in got], pa.binary()), pa.array([_small(c) for _, c in got], pa.binary())], ["h", "lang", "at", "count"]
             )
 
-    chosen = labelled.withColumn("h", drawn).where(F.col("h") < share).select("h", "lang", "text").orderBy("h").limit(settings.sample * len(sizes))
+    hashed = labelled.withColumn("h", drawn(F.col("doc_id"), F.col("text"))).join(F.broadcast(shares), "lang")  # a row a class
+    chosen = hashed.where("h < share").select("h", "lang", "text").orderBy("h").limit(settings.sample * len(languages))
     rows = sorted(chosen.mapInArrow(run, "h double, lang string, at binary, count binary").collect(), key=lambda r: (r.h, r.lang, r.at))
     # hashes order the documents at random: the first part is learnt from, the rest calibrates
     index = {x: i for i, x in enumerate(languages)}
     data = []
     for r in rows:
-        at = np.frombuffer(r["at"], "<u4").astype(np.int64)
-        data.append((at, weighted(at, np.frombuffer(r["count"], "<u4").astype(float), idf), index[r.lang]))
+        at = _back(r["at"]).astype(np.int32)
+        data.append((at, weighted(at, _back(r["count"]).astype(float), idf).astype(np.float32), index[r.lang]))
     order = np.random.default_rng(5).permutation(len(data))
     held = set(order[: int(len(data) * settings.calibration)].tolist())
     leader = FollowTheRegularisedLeader(settings.buckets, len(languages), settings)
@@ -199,7 +224,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     the empty text) and that have a lang and a letter; lang, source and doc_id are no inputs of a prediction.
     A null text or one without a letter is und with score 0, and so is each text if there is nothing to learn
     from. Repeated rows are predicted each; extra columns are ignored; no row gives no result.
-    The model's size is buckets times languages, both bounded, and it goes to the tasks as it is.
+    The model has settings.cells weights at most, whatever the number of languages, and goes to the tasks as it is.
     """
     on_workers(docs.sparkSession)
     held_out = remainder(F.col("doc_id"), 3) == 1
