@@ -78,3 +78,14 @@ def test_labelled_junk_goes_and_clean_documents_stay(spark):
     junk, clean = ([kept for quality, kept in verdicts if quality == q] for q in (0, 1))
     assert len(junk) > 20 and len(clean) > 200
     assert np.mean(junk) < 0.3 and np.mean(clean) > 0.99
+
+
+def test_measures_are_those_of_the_whole_text(spark):
+    """With one space for each run of blanks: this vocabulary spells line ends as bytes."""
+    fertility = rules.Fertility()
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text and len(r.text) < 20_000]
+    for text, (*_, n, chars, share, bits, _) in zip(texts, judged(texts, fertility)):
+        ids = np.array(fertility.model.encode(" ".join(words(text))), int)
+        p = np.bincount(ids)[np.unique(ids)] / max(1, len(ids))
+        assert n == len(ids)
+        assert not n or np.allclose((chars, share, bits), (sum(map(len, words(text))) / n, fertility.byte_ids[ids].mean(), -(p * np.log2(p)).sum()))

@@ -194,8 +194,8 @@ def judged(texts: Iterable[str | None], fertility: Fertility) -> Iterator[tuple]
 def quality(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each row of docs: base counts, fertility measures and the verdict.
 
-    Reads doc_id and text, ignores other columns. Null counts as the empty text, which has no word and
-    fails; a text without a letter has no script and isn't kept. Repeated rows are judged each, a null
+    Reads doc_id and text, ignores other columns. Tokens are those of the text with a space for each run of blanks, as
+    the vocabulary spells line ends as bytes. Null counts as the empty text, which has no word and fails; a text without a letter has no script and isn't kept. Repeated rows are judged each, a null
     doc_id stays null. One pass without a shuffle.
     """
     on_workers(docs.sparkSession)
