@@ -56,10 +56,15 @@ def test_probabilities(texts, query):
     pairs = np.zeros((256, 256), int)
     for g, n in count.items():
         pairs[g >> 8 & 255, g & 255] += n
+    two = defaultdict(Counter)
+    for g, n in count.items():
+        two[g >> 8 & 0xFFFF][g & 255] += n
+    after = lambda g: (two[g >> 8 & 0xFFFF], g >> 8 & 255)
+    of_two = lambda g: (after(g)[0][g & 255], sum(after(g)[0].values()), sum(n > 0 for n in after(g)[0].values()), sum(pairs[after(g)[1], s] for s, n in after(g)[0].items() if n))
     value = {}
-    for end in {g >> 8 & 0xFFFF for g in count}:
-        own = np.array([g for g in count if g >> 8 & 0xFFFF == end])
-        value |= zip(own.tolist(), log_probabilities(own, np.array([count[int(g)] for g in own]), pairs).tolist())
+    for end in {(g >> 8 & 0xFFFFFF) % 3 for g in count}:
+        own = np.array([g for g in count if (g >> 8 & 0xFFFFFF) % 3 == end])
+        value |= zip(own.tolist(), log_probabilities(own, np.array([count[int(g)] for g in own]), np.array([of_two(int(g)) for g in own]), pairs).tolist())
     assert math.isclose(sum(value[int(g)] for g in grams(query.encode())), brute(trie, query), abs_tol=1e-9)
 
 
@@ -84,8 +89,8 @@ def test_query(spark, sf, odd, nothing):
             (-1 if d is None else d, held(d), len(words(t)) + 1, sum(count[w] > 0 for w in [*words(t), None]), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words(t), None]), 5), round(brute(trie, t), 5))
             for d, t in rows
         )
-        for block in (10_000, 16_000_000):
-            got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:5], round(r.base_score, 5), round(r.score, 5)) for r in scores(df, block).collect())
+        for block, fan in ((10_000, 3), (40_000, 128), (16_000_000, 128)):
+            got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:5], round(r.base_score, 5), round(r.score, 5)) for r in scores(df, block, fan).collect())
             assert [g[:5] for g in got] == [w[:5] for w in want]
             assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=2e-4)
     assert scores(nothing).count() == 0

@@ -94,11 +94,16 @@ def test_cut():
     assert (left, n, spans) == (bytes([*range(51, 60), *range(110, 120)]), 101, 2)
 
 
-@pytest.mark.parametrize(("block", "hot"), [(16_000_000, 10_000), (3_000, 10_000), (3_000, 3)])
-def test_against_all_passages(spark, block, hot):
+@pytest.mark.parametrize(("block", "hot", "fan"), [(16_000_000, 10_000, 128), (3_000, 10_000, 2), (3_000, 3, 128)])
+def test_against_all_passages(spark, block, hot, fan):
     rows = texts(60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(without_repeats(df, block_bytes=block, hot=hot, index=2_000)) == brute(rows)
+    assert found(without_repeats(df, block_bytes=block, hot=hot, index=2_000, fan=fan)) == brute(rows)
+
+
+def test_rows_that_repeat_id_and_text_are_dealt_to_many_blocks(spark):
+    df = spark.range(300).selectExpr("CAST(IF(id < 200, NULL, 7) AS LONG) AS doc_id", "repeat('the same text over and over, ', 4) AS text")
+    assert found(without_repeats(df, block_bytes=3_000)) == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
 def test_query(spark, sf, odd, nothing):

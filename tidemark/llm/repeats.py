@@ -11,7 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cleaned_shuffles, kept_by_worker, on_workers, removed, shared_dir, written
+from tidemark.llm.exchange import FAN, SCHEMA, bundled, delivered, forgotten, received, sent, table, unbundled
+from tidemark.llm.shared import cleaned_shuffles, kept_by_worker, located, on_workers, shared_dir, written
 
 #: Bytes of a passage that counts.
 LENGTH = 50
@@ -231,30 +232,27 @@ def earlier(strings: list[bytes], docs: np.ndarray, keys: np.ndarray, index: int
 # The passes
 
 
-def _send_keys(texts: pa.Table, buckets: int) -> Iterator[dict]:
+def _send_keys(texts: pa.Table, buckets: int, fan: int) -> Iterator[dict]:
     kept_by_worker(None, bool)
     block = Block(texts)
     order, parts = _dealt(block.distinct, buckets)
     count = block.documents()[order].astype("<u4")
-    keys = block.distinct[order]
-    for bucket, a, b in parts:
-        yield {"block": texts.column("block")[0].as_py(), "bucket": bucket, "keys": _packed(keys[a:b]), "counts": count[a:b].tobytes()}
+    keys, at = block.distinct[order], texts.column("block")[0].as_py()
+    return sent(at, ((at, bucket, bundled(_packed(keys[a:b]), count[a:b].tobytes())) for bucket, a, b in parts), fan)
 
 
-def _flag_keys(rows: pa.Table, hot: int) -> Iterator[dict]:
-    sent = rows.select(["block", "bucket", "keys", "counts"]).to_pylist()
-    keys = [_unpacked(r["keys"]) for r in sent]
+def _flag_keys(rows: pa.Table, hot: int, fan: int) -> Iterator[dict]:
+    got = [(block, *unbundled(m, 2)) for block, _, m in received(rows)]
+    keys = [_unpacked(k) for _, k, _ in got]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in sent]))
+    total = np.bincount(at, weights=np.concatenate([np.frombuffer(n, "<u4") for *_, n in got]))
     flag = ((total > 1).astype(np.uint8) + (total > hot))[at].astype(np.uint8)
-    begin = 0
-    for r, k in zip(sent, keys, strict=True):
-        yield {"block": r["block"], "bucket": r["bucket"], "flags": flag[begin : begin + len(k)].tobytes()}
-        begin += len(k)
+    ends, bucket = np.cumsum([len(k) for k in keys]), rows.column("node")[0].as_py()
+    return sent(bucket, ((bucket, block, flag[end - len(k) : end].tobytes()) for (block, *_), k, end in zip(got, keys, ends.tolist(), strict=True)), fan)
 
 
 def _flags(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
-    got = {r["bucket"]: r["flags"] for r in answers.select(["bucket", "flags"]).to_pylist() if r["flags"] is not None}
+    got = {bucket: m for bucket, _, m in received(answers)}
     order, parts = _dealt(block.distinct, buckets)
     out = np.zeros(len(block.distinct), np.uint8)
     for bucket, a, b in parts:
@@ -262,52 +260,50 @@ def _flags(block: Block, answers: pa.Table, buckets: int) -> np.ndarray:
     return out
 
 
-def _send_strings(texts: pa.Table, answers: pa.Table, buckets: int) -> Iterator[dict]:
+def _send_strings(texts: pa.Table, answers: pa.Table, buckets: int, fan: int) -> Iterator[dict]:
     block = Block(texts)
     numbers, keys, first, _ = block.strings(_flags(block, answers, buckets))
     strings, keys, first = [*numbers], np.array(keys, np.uint64), np.array(first, "<i8")
     order, parts = _dealt(keys, buckets)
-    packer = zstandard.ZstdCompressor(1)
-    for bucket, a, b in parts:
-        own = order[a:b]
+    packer, at = zstandard.ZstdCompressor(1), texts.column("block")[0].as_py()
+
+    def message(own: np.ndarray) -> bytes:
         some = [strings[i] for i in own.tolist()]
-        yield {
-            "block": texts.column("block")[0].as_py(),
-            "bucket": bucket,
-            "keys": _packed(keys[own]),
-            "docs": first[own].view(np.uint8).reshape(-1, 8).T.tobytes(),
-            "sizes": np.array([len(s) for s in some], "<u4").tobytes(),
-            "strings": packer.compress(b"".join(some)),
-        }
-
-
-def _match(rows: pa.Table, index: int) -> Iterator[dict]:
-    sent = rows.select(["block", "bucket", "keys", "docs", "sizes", "strings"]).to_pylist()
+        sizes = np.array([len(s) for s in some], "<u4").tobytes()
+        return bundled(_packed(keys[own]), first[own].view(np.uint8).reshape(-1, 8).T.tobytes(), sizes, packer.compress(b"".join(some)))
+
+    return sent(at, ((at, bucket, message(order[a:b])) for bucket, a, b in parts), fan)
+
+
+def _match(rows: pa.Table, index: int, fan: int) -> Iterator[dict]:
     numbers: dict[bytes, int] = {}
-    keys, least, answers = [], [], []
-    for r in sent:
-        docs = np.frombuffer(r["docs"], np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1)
-        at, of, raw = 0, [], zstandard.decompress(r["strings"])
-        for size, key, doc in zip(np.frombuffer(r["sizes"], "<u4").tolist(), _unpacked(r["keys"]).tolist(), docs.tolist(), strict=True):
+    all_keys, least, answers = [], [], []
+    for block, _, m in received(rows):
+        packed, docs, sizes, raw = unbundled(m, 4)
+        docs = np.frombuffer(docs, np.uint8).reshape(8, -1).T.copy().view("<i8").reshape(-1)
+        at, of, raw = 0, [], zstandard.decompress(raw)
+        for size, key, doc in zip(np.frombuffer(sizes, "<u4").tolist(), _unpacked(packed).tolist(), docs.tolist(), strict=True):
             s = raw[at : at + size]
             at += size
-            n = numbers.setdefault(s, len(keys))
-            if n == len(keys):
-                keys.append(key)
+            n = numbers.setdefault(s, len(all_keys))
+            if n == len(all_keys):
+                all_keys.append(key)
                 least.append(doc)
             elif doc < least[n]:
                 least[n] = doc
             of.append(n)
-        answers.append((np.array(of), docs))
+        answers.append((block, np.array(of), docs))
     strings, least = [*numbers], np.array(least, np.int64)
-    found = earlier(strings, least, np.array(keys, np.uint64), index)
+    found = earlier(strings, least, np.array(all_keys, np.uint64), index)
     n = np.array([len(s) - LENGTH + 1 for s in strings])
-    begin = np.cumsum(n) - n
-    for r, (of, docs) in zip(sent, answers, strict=True):
+    begin, bucket = np.cumsum(n) - n, rows.column("node")[0].as_py()
+
+    def message(of: np.ndarray, docs: np.ndarray) -> bytes:
         size = n[of]
         bits = found[np.repeat(begin[of] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        bits |= np.repeat(docs > least[of], size)
-        yield {"block": r["block"], "bucket": r["bucket"], "bits": np.packbits(bits).tobytes()}
+        return np.packbits(bits | np.repeat(docs > least[of], size)).tobytes()
+
+    return sent(bucket, ((bucket, block, message(of, docs)) for block, of, docs in answers), fan)
 
 
 def cut(text: bytes, gone: np.ndarray) -> tuple[bytes, int, int]:
@@ -322,8 +318,9 @@ def cut(text: bytes, gone: np.ndarray) -> tuple[bytes, int, int]:
 
 def _apply(texts: pa.Table, answers: pa.Table, buckets: int, with_text: bool = False) -> Iterator[dict]:
     block = Block(texts)
-    numbers, keys, first, there = block.strings(_flags(block, answers, buckets))
-    got = {r["bucket"]: r["bits"] for r in answers.select(["bucket", "bits"]).to_pylist() if r["bits"] is not None}
+    bits_of = answers.column("bits").to_numpy(zero_copy_only=False).astype(bool)
+    numbers, keys, first, there = block.strings(_flags(block, answers.filter(pa.array(~bits_of)), buckets))
+    got = {bucket: m for bucket, _, m in received(answers.filter(pa.array(bits_of)))}
     size = np.array([len(s) - LENGTH + 1 for s in numbers], np.int64)
     order, parts = _dealt(np.array(keys, np.uint64), buckets)
     flat = [np.unpackbits(np.frombuffer(got[bucket], np.uint8), count=int(size[order[a:b]].sum())) for bucket, a, b in parts]
@@ -351,14 +348,6 @@ def _apply(texts: pa.Table, answers: pa.Table, buckets: int, with_text: bool = F
         yield row | {"kept": left} if with_text else row
 
 
-def _table(rows: Iterator[dict], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist([*rows], schema)
-
-
-_SENT = "block long, bucket long, keys binary, counts binary"
-_FLAGGED = "block long, bucket long, flags binary"
-_STRINGS = "block long, bucket long, keys binary, docs binary, sizes binary, strings binary"
-_MATCHED = "block long, bucket long, bits binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -367,7 +356,7 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in schema.split(", "))])
 
 
-def without_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int = BLOCK, index: int = INDEX, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int = BLOCK, index: int = INDEX, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept, the bytes left, if asked for.
 
     Each byte goes that a 50-byte string covers which also starts in a document with a smaller doc_id. A null
@@ -384,22 +373,26 @@ def without_repeats(docs: DataFrame, with_text: bool = False, block_bytes: int =
     spark = docs.sparkSession
     on_workers(spark)
     folder = shared_dir(spark)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    placed = located(docs, f"{folder}/rows")
+    doc_id, text = F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    size = placed.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(n)).alias("block"))
-    sent_schema, flag_schema, string_schema, match_schema = map(_arrow, (_SENT, _FLAGGED, _STRINGS, _MATCHED))
+    # the place spreads rows that repeat id and text, and is the same whenever the table is read
+    dealt = placed.select(doc_id.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(doc_id, text, "place.file", "place.row"), F.lit(n)).alias("block"))
     result = _RESULT + (", kept binary" if with_text else "")
     result_schema = _arrow(result)
 
     with cleaned_shuffles(spark):
-        sent = written(dealt.groupBy("block").applyInArrow(lambda t: _table(_send_keys(t, n), sent_schema), _SENT), f"{folder}/keys")
-        flagged = written(sent.groupBy("bucket").applyInArrow(lambda t: _table(_flag_keys(t, hot), flag_schema), _FLAGGED), f"{folder}/flags")
-        removed(spark, f"{folder}/keys")
-        strings = dealt.groupBy("block").cogroup(flagged.groupBy("block")).applyInArrow(lambda t, a: _table(_send_strings(t, a, n) if len(t) else [], string_schema), _STRINGS)
-        strings = written(strings, f"{folder}/strings")
-        matched = written(strings.groupBy("bucket").applyInArrow(lambda t: _table(_match(t, index), match_schema), _MATCHED), f"{folder}/matches")
-        removed(spark, f"{folder}/strings")
-        answers = flagged.withColumn("bits", F.lit(None).cast("binary")).unionByName(matched.withColumn("flags", F.lit(None).cast("binary")))
-        out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _table(_apply(t, a, n, with_text) if len(t) else [], result_schema), result)
-        return written(out, f"{folder}/result")
+        keys = delivered(dealt.groupBy("block").applyInArrow(lambda t: table(_send_keys(t, n, fan)), SCHEMA), n, f"{folder}/keys", fan)
+        flags = delivered(keys.groupBy("node").applyInArrow(lambda t: table(_flag_keys(t, hot, fan)), SCHEMA), n, f"{folder}/flags", fan)
+        forgotten(spark, f"{folder}/keys")
+        strings = dealt.groupBy("block").cogroup(flags.groupBy("node")).applyInArrow(lambda t, a: table(_send_strings(t, a, n, fan) if len(t) else []), SCHEMA)
+        strings = delivered(strings, n, f"{folder}/strings", fan)
+        matches = delivered(strings.groupBy("node").applyInArrow(lambda t: table(_match(t, index, fan)), SCHEMA), n, f"{folder}/matches", fan)
+        forgotten(spark, f"{folder}/strings")
+        answers = flags.withColumn("bits", F.lit(False)).unionByName(matches.withColumn("bits", F.lit(True)))
+        out = dealt.groupBy("block").cogroup(answers.groupBy("node")).applyInArrow(lambda t, a: table(_apply(t, a, n, with_text) if len(t) else [], result_schema), result)
+        out = written(out, f"{folder}/result")
+        for kind in ("flags", "matches"):
+            forgotten(spark, f"{folder}/{kind}")
+        return out
