@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import price_volume_mix
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import parse
-from tidemark.plans.panel import Model, _filters, scoped, term_panel, valued
+from tidemark.plans.panel import Model, _filters, joined, labelled, scoped, term_panel, valued
+from tidemark.sources.scratch import settled
 
 #: Leading keys explain a movement up to this share; trees are this deep; a residual up to this is none.
 COVERAGE, DEPTH, TOLERANCE = 0.8, 3, 0.02
@@ -17,7 +20,7 @@ COVERAGE, DEPTH, TOLERANCE = 0.8, 3, 0.02
 def pair(model: Model, contract: Contract, dims: list[str], current: str, previous: str) -> DataFrame:
     """For each slice: num0, den0, num1, den1 of two periods, in one grouping; a missing side is 0."""
     formula = parse(contract.formula, frozenset(model.facts))
-    terms, names = term_panel(model, contract, [formula], dims)
+    terms, names = term_panel(model, contract, [formula], dims, months=(previous, current))
     num, den, _ = valued(formula, names)
     two = terms.where(F.col("period").isin(current, previous)).select("period", *dims, num.alias("num"), den.alias("den"))
 
@@ -27,67 +30,106 @@ def pair(model: Model, contract: Contract, dims: list[str], current: str, previo
     return two.groupBy(*dims).agg(of("num", previous).alias("num0"), of("den", previous).alias("den0"), of("num", current).alias("num1"), of("den", current).alias("den1"))
 
 
-def contributions(model: Model, contract: Contract, dims: list[str], current: str, previous: str) -> DataFrame:
-    """dimension, key, delta, share for every key of every dimension with a change; keys of a dimension add up to the whole.
+def _adds_up(contract: Contract) -> bool:
+    """Whether numerator and denominator over parts add up to the whole's: then the finest slices are enough for all others."""
+    return all(t.aggregate in ("SUM", "COUNT") for t in contract.parsed.terms)
+
+
+def _over_whole(contract: Contract, sides: DataFrame, whole: DataFrame) -> DataFrame:
+    """Adds delta to rows with num0 and num1: for a ratio, the numerators over the whole's denominators, so parts add up to the ratio's movement."""
+    formula = contract.parsed
+    if not formula.denominator:
+        return sides.withColumn("delta", (F.col("num1") - F.col("num0")) / F.lit(formula.divisor))
+    one = whole.agg(F.sum("den0").alias("_d0"), F.sum("den1").alias("_d1"))
+    part = lambda i: F.coalesce(F.try_divide(f"num{i}", F.nullif(f"_d{i}", F.lit(0.0))), F.lit(0.0))
+    return sides.crossJoin(F.broadcast(one)).withColumn("delta", (part(1) - part(0)) / F.lit(formula.divisor)).drop("_d0", "_d1")  # one row
 
-    The finest slices are added up once; each dimension is a grouping set of them. A ratio's key counts with
-    its numerators over the whole's denominators, so ratios add up too.
+
+def contributions(model: Model, contract: Contract, dims: list[str], current: str, previous: str, fine: DataFrame | None = None) -> DataFrame:
+    """dimension, key, delta, share for every key of every dimension with a change; share is of the whole's movement.
+
+    For sums and counts, the finest slices are added up once and each dimension is a grouping set of them. A ratio's
+    key counts with its numerators over the whole's denominators. So the keys of a dimension add up to the whole.
+    Medians and means of parts don't: those are taken of each key's own rows, and the whole's movement is its own, too.
     """
-    formula = parse(contract.formula)
-    fine = pair(model, contract, dims, current, previous)
-    if formula.denominator:
-        whole = fine.agg(F.sum("den0").alias("whole0"), F.sum("den1").alias("whole1"))
-        fine = fine.crossJoin(F.broadcast(whole))  # one row
-        delta = F.coalesce(F.try_divide(F.sum("num1"), F.nullif(F.first("whole1"), F.lit(0.0))), F.lit(0.0)) - F.coalesce(F.try_divide(F.sum("num0"), F.nullif(F.first("whole0"), F.lit(0.0))), F.lit(0.0))
+    sides = ("num0", "num1")
+    if _adds_up(contract):
+        whole = fine = fine or settled(pair(model, contract, dims, current, previous))
+        one = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dims)))
+        parts = fine.withColumn("k", one).groupBy("k.dimension", "k.key").agg(*(F.sum(c).alias(c) for c in sides))
+    else:
+        whole = pair(model, contract, [], current, previous)
+        each = [pair(model, contract, [d], current, previous).select(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key"), *sides) for d in dims]
+        parts = functools.reduce(DataFrame.unionByName, each)
+    keys = _over_whole(contract, parts, whole).select("dimension", "key", "delta")
+    if _adds_up(contract):
+        totals = keys.groupBy("dimension").agg(F.sum("delta").alias("_total"))
     else:
-        delta = F.sum("num1") - F.sum("num0")
-    one = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dims)))
-    keys = fine.withColumn("k", one).groupBy("k.dimension", "k.key").agg((delta / F.lit(formula.divisor)).alias("delta"))
-    total = F.sum("delta").over(Window.partitionBy("dimension"))
-    return keys.withColumn("share", F.try_divide("delta", F.nullif(total, F.lit(0.0)))).where("delta <> 0")
+        own = _over_whole(contract, whole.agg(*(F.sum(c).alias(c) for c in ("num0", "num1", "den0", "den1"))), whole)
+        totals = own.select(F.explode(F.array(*map(F.lit, dims))).alias("dimension"), F.col("delta").alias("_total"))
+    out = keys.join(F.broadcast(totals), "dimension")  # a row a dimension
+    return out.withColumn("share", F.try_divide("delta", F.nullif("_total", F.lit(0.0)))).drop("_total").where("delta <> 0")
+
+
+#: Keys of about the same size of change are in one step of this many to the doubling.
+STEPS = 64
 
 
 def covering(nodes: DataFrame, by: list[str], key: str = "key", coverage: float = COVERAGE) -> DataFrame:
-    """The leading keys by size, of each group, up to the one with which they reach the coverage of all changes' sizes."""
+    """The leading keys by size, of each group, up to the one with which they reach the coverage of all changes' sizes.
+
+    Sizes are first added up by their step, of which there are few; only the keys of the step in which the coverage
+    is reached are put in order.
+    """
+    size, step = F.abs("delta"), F.floor(F.log2(F.abs("delta")) * STEPS)
+    stepped = nodes.where("delta <> 0").withColumn("_step", step)
+    sums = stepped.groupBy(*by, "_step").agg(F.sum(size).alias("_size"))
     w = Window.partitionBy(*by)
-    order = w.orderBy(F.desc(F.abs("delta")), key)
-    before = F.coalesce(F.sum(F.abs("delta")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return nodes.withColumn("_part", before / F.sum(F.abs("delta")).over(w)).where(F.col("_part") < coverage).drop("_part")
+    sums = sums.withColumn("_all", F.sum("_size").over(w)).withColumn("_before", F.coalesce(F.sum("_size").over(w.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    placed = joined(stepped, sums.where(F.col("_before") / F.col("_all") < coverage), [*by, "_step"], "inner")
+    inner = Window.partitionBy(*by, "_step").orderBy(F.desc(size), key).rowsBetween(Window.unboundedPreceding, -1)
+    reached = (F.col("_before") + F.col("_size")) / F.col("_all") >= coverage
+    last = placed.where(reached).withColumn("_own", F.coalesce(F.sum(size).over(inner), F.lit(0.0)))
+    out = placed.where(~reached).unionByName(last.where((F.col("_before") + F.col("_own")) / F.col("_all") < coverage).drop("_own"))
+    return out.drop("_step", "_size", "_all", "_before")
 
 
 def concentration(nodes: DataFrame, by: list[str], top: int = 2) -> DataFrame:
     """by, top_share (the leading keys' part of all changes' sizes), hhi (sum of squared shares), effective_keys (1 / hhi)."""
-    w = Window.partitionBy(*by)
-    ranked = nodes.withColumn("_n", F.row_number().over(w.orderBy(F.desc(F.abs("delta")), "key"))).withColumn("_t", F.sum("delta").over(w))
-    size = F.sum(F.abs("delta"))
-    out = ranked.groupBy(*by).agg(
-        (F.sum(F.when(F.col("_n") <= top, F.abs("delta"))) / F.nullif(size, F.lit(0.0))).alias("top_share"),
-        F.sum(F.pow(F.try_divide("delta", F.nullif(F.col("_t"), F.lit(0.0))), F.lit(2))).alias("hhi"),
-    )
-    return out.withColumn("effective_keys", F.when(F.col("hhi") > 0, 1 / F.col("hhi")))
+    size = F.abs("delta")
+    sums = nodes.groupBy(*by).agg(F.sum(size).alias("_size"), F.try_divide(F.sum(F.col("delta") * F.col("delta")), F.nullif(F.sum("delta") * F.sum("delta"), F.lit(0.0))).alias("hhi"))
+    leading = nodes.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(size), "key"))).where(F.col("_n") <= top)
+    out = joined(sums, leading.groupBy(*by).agg(F.sum(size).alias("_top")), by)
+    return out.select(*by, F.try_divide("_top", F.nullif("_size", F.lit(0.0))).alias("top_share"), "hhi", F.when(F.col("hhi") > 0, 1 / F.col("hhi")).alias("effective_keys"))
 
 
 def tree(model: Model, contract: Contract, dims: list[str], current: str, previous: str, depth: int = DEPTH) -> DataFrame:
-    """path (array of keys), depth, dimension, delta, share (of the parent's change): only covering nodes have children.
+    """path (array of keys), depth, dimension, delta, share (of the parent's change): all keys of the first dimension, and below covering ones, those that cover them.
 
-    Dimensions come in order of their concentration. The finest slices are added up once; each level groups
-    them by one dimension more and keeps those under covering parents.
+    Dimensions come in order of their concentration. For sums, counts and their ratios, the finest slices are added up
+    once and each level groups them by one dimension more; medians and means are taken of each level's own rows. Ratios
+    count as in contributions(): over the whole's denominators at every level.
     """
-    fine = pair(model, contract, dims, current, previous).withColumn("delta", F.col("num1") - F.col("num0"))
-    nodes = contributions(model, contract, dims, current, previous)
+    fine = settled(pair(model, contract, dims, current, previous)) if _adds_up(contract) else None
+    nodes = settled(contributions(model, contract, dims, current, previous, fine))
     order = [r.dimension for r in concentration(nodes, ["dimension"]).orderBy(F.desc("top_share"), "dimension").limit(depth).collect()]  # a name for each level
+    whole = fine if _adds_up(contract) else pair(model, contract, [], current, previous)
     out, parents = None, None
     for level in range(1, len(order) + 1):
         on = order[:level]
-        now = fine.groupBy(*(F.col(d).cast("string").alias(d) for d in on)).agg(F.sum("delta").alias("delta")).where("delta <> 0")
+        rows = fine if _adds_up(contract) else pair(model, contract, on, current, previous)
+        sides = rows.groupBy(*(F.col(d).cast("string").alias(d) for d in on)).agg(F.sum("num0").alias("num0"), F.sum("num1").alias("num1"))
+        now = _over_whole(contract, sides, whole).select(*on, "delta").where("delta <> 0")
         if parents is None:
-            now = now.withColumn("_of", F.sum("delta").over(Window.partitionBy()))
+            of = nodes.where(F.col("dimension") == on[0]).select(F.col("key").alias(on[0]), "share")
+            now = joined(now, of, on)
         else:
-            now = now.join(parents.withColumnRenamed("delta", "_of"), on[:-1])
-        now = now.withColumn("share", F.try_divide("delta", F.nullif("_of", F.lit(0.0)))).drop("_of")
+            now = covering(joined(now, parents.withColumnRenamed("delta", "_of"), on[:-1], "inner"), on[:-1], on[-1])
+            now = now.withColumn("share", F.try_divide("delta", F.nullif("_of", F.lit(0.0)))).drop("_of")
+        now = settled(now)
         row = now.select(F.array(*on).alias("path"), F.lit(level).alias("depth"), F.lit(on[-1]).alias("dimension"), "delta", "share")
         out = row if out is None else out.unionByName(row)
-        parents = covering(now, on[:-1], on[-1]).select(*on, "delta")
+        parents = (covering(now, [], on[0]) if level == 1 else now).select(*on, "delta")
     return out
 
 
@@ -108,7 +150,8 @@ def basket(lines: DataFrame, by: list[str], item: list[str], current: str, previ
 
 def pvm(model: Model, table: str, by: list[str], current: str, previous: str) -> DataFrame:
     """price, volume, mix, total and residual of a fact by account and product. As defined, contract filters don't apply."""
-    return price_volume_mix(basket(scoped(model, table, [], by), by, ["account_id", "product_id"], current, previous), by)
+    lines = labelled(scoped(model, table, [], by, months=(previous, current)))
+    return price_volume_mix(basket(lines, by, ["account_id", "product_id"], current, previous), by)
 
 
 def partition(changes: DataFrame, owners: list[tuple[str, DataFrame]], rest: str = "non_recurring") -> DataFrame:
@@ -143,10 +186,10 @@ def residual(nodes: DataFrame, total: float) -> DataFrame:
 def display(nodes: DataFrame, rows: int = 8) -> DataFrame:
     """dimension, key, share: the first rows of each dimension by size of share; the others as one row with their number."""
     w = Window.partitionBy("dimension").orderBy(F.desc(F.abs("share")), "key")
-    ranked = nodes.withColumn("_n", F.row_number().over(w))
-    head = ranked.where(F.col("_n") <= rows).select("dimension", "key", F.abs("share").alias("share"), F.lit(1).cast("long").alias("n_keys"))
-    tail = ranked.where(F.col("_n") > rows).groupBy("dimension").agg(F.sum(F.abs("share")).alias("share"), F.count("*").alias("n_keys"))
-    return head.unionByName(tail.select("dimension", F.lit("others").alias("key"), "share", "n_keys"))
+    head = nodes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows).select("dimension", "key", F.abs("share").alias("share"), F.lit(1).cast("long").alias("n_keys"))
+    shown = head.groupBy("dimension").agg(F.sum("share").alias("_share"), F.count("*").alias("_keys"))
+    tail = nodes.groupBy("dimension").agg(F.sum(F.abs("share")).alias("share"), F.count("*").alias("n_keys")).join(F.broadcast(shown), "dimension").where("n_keys > _keys")  # a row a dimension
+    return head.unionByName(tail.select("dimension", F.lit("others").alias("key"), (F.col("share") - F.col("_share")).alias("share"), (F.col("n_keys") - F.col("_keys")).alias("n_keys")))
 
 
 def kept_filters(model: Model, contract: Contract) -> dict[str, list[str]]:

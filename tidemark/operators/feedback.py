@@ -12,6 +12,7 @@ from tidemark.plans.contract import Contract, Driver, Materiality
 # Kinds of marks with their steps, and how marks of "not material" widen the gate.
 STEPS = {"correct_driver": 1.0, "wrong_driver": -1.0}
 KINDS = (*STEPS, "not_material", "missed_cause")
+UNMODELLED = "unmodelled"
 PROBE_ONLY, RELATIVE_STEP, ABSOLUTE_FACTOR, MOST_STEPS = -2.0, 0.01, 1.05, 10
 
 
@@ -55,11 +56,15 @@ def promoted(contract: Contract, driver: Driver) -> Contract:
 
 
 def enumerated(contract: Contract, suggested: list[dict]) -> list[dict]:
-    """A hypothesis for each registered driver in the contract's order, with the first note that was suggested for it; one more for an unmodelled cause at most."""
+    """A hypothesis for each registered driver in the contract's order, with the first note that was suggested for it.
+
+    The first suggestion of anything else, whatever it is called, is one more for an unmodelled cause; further ones are dropped.
+    """
+    known = {d.id for d in contract.drivers}
     notes: dict[str, str] = {}
     for s in suggested:
-        notes.setdefault(s["driver"], s.get("rationale", ""))
+        notes.setdefault(s["driver"] if s["driver"] in known else UNMODELLED, s.get("rationale", ""))
     out = [{"driver": d.id, "priority": i, "rationale": notes.get(d.id, "")} for i, d in enumerate(contract.drivers, 1)]
-    if "unmodelled" in notes:
-        out.append({"driver": "unmodelled", "priority": len(out) + 1, "rationale": notes["unmodelled"]})
+    if UNMODELLED in notes:
+        out.append({"driver": UNMODELLED, "priority": len(out) + 1, "rationale": notes[UNMODELLED]})
     return out

@@ -18,6 +18,7 @@ from tidemark.operators.scan import sweep
 from tidemark.operators.verify import verify
 from tidemark.plans.contract import Contract
 from tidemark.plans.panel import Fact, Model, kpi_panel
+from tidemark.sources.scratch import settled
 
 
 @dataclass(frozen=True)
@@ -82,10 +83,10 @@ def run_case(model: Model, contract: Contract, period: str, dims: dict[str, str]
     free = [d for d in ("region", "segment", "product_id", "account_id") if d not in dims and all(mine.has(t, d) for t in contract.parsed.tables)]
     if not free:
         raise ValueError(f"{contract.id} has no dimension left to decompose by")
-    nodes = contributions(mine, contract, free, period, previous)
+    nodes = settled(contributions(mine, contract, free, period, previous))
     covered = covering(nodes.where("dimension = 'account_id'"), ["dimension"]).select(F.col("key").alias("account_id"), "delta")
     kind = (model.accounts if model.accounts is not None else mine.facts[contract.parsed.tables[0]].df).schema["account_id"].dataType
-    covered = covered.withColumn("account_id", F.col("account_id").cast(kind))
+    covered = settled(covered.withColumn("account_id", F.col("account_id").cast(kind)))
     if tables is None:
         return Case(case_id, checks, nodes, covered)
 
@@ -106,7 +107,7 @@ def run_case(model: Model, contract: Contract, period: str, dims: dict[str, str]
         "locality": nothing if where is None else locality(where, covered),
         "dose": nothing if strength is None else dose(strength, covered),
     }
-    tested = matrix(results, names, control(values, model.accounts, covered))
+    tested = settled(matrix(results, names, control(values, model.accounts, covered)))
     items = as_evidence(tested)
     support = items.where("outcome = 'found' AND supports IS NOT NULL AND method <> 'did'").select("driver").distinct().withColumn("found_support", F.lit(True))
     total = nodes.where("dimension = 'account_id'").agg(F.sum("delta").alias("total_delta"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import tokens
+from tidemark.sources.scratch import settled
 
 #: Declared, as the definition leaves them to a library: saturation, length's part, and the floor of a negative weight.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -60,23 +61,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, epsi
     """query_id, doc_id, score of documents that share a term with a query. docs: doc_id, text; queries: query_id, query.
 
     Okapi weights ln((N - df + 0.5) / (df + 0.5)); those under 0 are epsilon times the mean weight over all
-    terms. Scores under 0 stay, documents without a shared term don't. Terms are exploded once and counted; only
-    the rows of query terms reach the joins.
+    terms. Scores under 0 stay, documents without a shared term don't. The corpus is tokenised once, into a table of
+    words a document. One pass over it counts the documents of each term and, as a row without a term, those of all;
+    another keeps the words that queries ask for, whose rows alone are shuffled. queries is a stated set.
     """
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    lengths = docs.select("doc_id", F.greatest(F.size(tokens(F.col("text"))), F.lit(1)).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    words = settled(docs.select("doc_id", tokens(F.col("text")).alias("words")))
+    size = F.greatest(F.size("words"), F.lit(1))
+    each = words.select(size.alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("words"))).alias("term"))
+    counted = settled(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl")))
+    stats = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(stats)).withColumn("raw", raw)  # one row
+    weights = counted.where("term IS NOT NULL").select("term", "df").crossJoin(F.broadcast(stats)).withColumn("raw", raw)  # one row
     mean = weights.agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    weighed = asked.join(weights, "term").crossJoin(F.broadcast(mean))  # one row
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
-    hit = tf.join(weighed, "term").join(lengths, "doc_id")
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    weighed = asked.join(weights, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "avgdl", idf.alias("idf"))  # one row
+    hit = words.select("doc_id", size.alias("dl"), F.explode("words").alias("term")).join(F.broadcast(weighed), "term")  # the words of a stated set of queries
+    tf = hit.groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("avgdl").alias("avgdl"), F.first("idf").alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return tf.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def top(scores: DataFrame, ties: list[str], k: int = TOP) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The sweep: every contract over every region of the latest closed period, as one panel a contract."""
+"""The sweep: every contract over every region of the latest closed period, in one pass over the records."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.verify import verify
+from tidemark.operators.store import CaseStore
+from tidemark.operators.verify import verify_all
 from tidemark.plans.contract import Contract
-from tidemark.plans.panel import Model
+from tidemark.plans.panel import Model, joined
+from tidemark.sources.scratch import settled
 
 
 def closed_period(watermark: Column) -> Column:
@@ -24,18 +26,27 @@ def regions(accounts: DataFrame) -> DataFrame:
     return real.where(F.col("region").isNotNull()).select("region").distinct().orderBy("region")
 
 
-def sweep(model: Model, contracts: list[Contract], period: str, first: str, dims: list[str] | None = None, marks: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
-    """case_id, kpi, period, the slice, value, delta, status (open, closed_at_verify, unverifiable) and the checks: all slices of a contract in one plan."""
+def sweep(model: Model, contracts: list[Contract], period: str, first: str, dims: list[str] | None = None, marks: DataFrame | None = None, as_of: datetime | None = None, store: CaseStore | None = None) -> DataFrame:
+    """case_id, kpi, period, the slice, value, delta, status (open, closed_at_verify, unverifiable) and the checks: all slices of all contracts in one plan.
+
+    By regions, the slices are those of accounts that aren't for tests, whether or not they have a row: one without is
+    unverifiable. By other dimensions they are those of the data. The cases are saved in the store, if there is one.
+    """
     dims = dims or ["region"]
-    out = None
-    for c in contracts:
-        v = verify(model, c, dims, period, first, marks, as_of)
-        status = F.when(F.col("status") != "ok", "unverifiable").when(F.col("passed"), "open").otherwise("closed_at_verify")
-        part = v.select(
-            F.concat_ws("-", F.lit(c.id), F.lit(period), *(F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dims)).alias("case_id"),
-            F.lit(c.id).alias("kpi"), F.lit(period).alias("period"), *dims, "value", "delta", "relative", status.alias("status"), "complete", "drifted", "artefact", "material", "ceiling",
-        )
-        out = part if out is None else out.unionByName(part)
+    v = verify_all(model, contracts, dims, period, first, marks, as_of)
+    if dims == ["region"] and model.accounts is not None:
+        kpis = model.accounts.sparkSession.createDataFrame([(c.id,) for c in contracts], "kpi string")
+        wanted = regions(model.accounts).crossJoin(F.broadcast(kpis))  # the sweep's cases
+        v = joined(wanted, v, ["kpi", "region"]).withColumn("status", F.coalesce("status", F.lit("unverifiable")))
+    status = F.when(F.col("status") != "ok", "unverifiable").when(F.col("passed"), "open").otherwise("closed_at_verify")
+    out = v.select(
+        F.concat_ws("-", "kpi", F.lit(period), *(F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dims)).alias("case_id"),
+        "kpi", F.lit(period).alias("period"), *dims, "value", "delta", "relative", status.alias("status"), "complete", "drifted", "artefact", "material", "ceiling",
+    )
+    if store:
+        out = settled(out)
+        now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
+        store.save(out.withColumns({"updated_at": now, "version": F.lit(1).cast("long"), "priority": F.abs("delta")}))
     return out
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import functools
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,23 +11,18 @@ from pyspark.sql import functions as F
 from tidemark.operators.series import decomposed, material, movement, peer_expectation, persistence, robust_z, since_gap
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import parse
-from tidemark.plans.panel import Model, _filters, kpi_panel, scoped, term_panel, valued, with_spine
+from tidemark.plans.gathered import gathered
+from tidemark.plans.panel import Model, Terms, joined, kpi_panel, term_panel, valued, with_spine
+from tidemark.sources.scratch import settled
 
-#: Days after a period in which its records may still come in, beyond the agreed hours.
-GRACE_DAYS, LATE_DAYS = 1, 2
 HISTORY = 36
 
 
-def freshness(marks: DataFrame, sla_hours: float, as_of: datetime | None = None) -> DataFrame:
+def freshness(marks: DataFrame, sla_hours: float | Column, as_of: datetime | None = None, *more: str) -> DataFrame:
     """source, hours, fresh: the time since each watermark. A stale source lowers confidence; it closes no case."""
     now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.col("as_of")
     hours = F.timestamp_diff("SECOND", F.col("watermark"), now) / F.lit(3600.0)
-    return marks.select("source", hours.alias("hours"), (hours <= sla_hours).alias("fresh"))
-
-
-def _bounds(period: Column) -> tuple[Column, Column]:
-    start = F.to_date(F.concat(period, F.lit("-01")))
-    return start, F.last_day(start)
+    return marks.select("source", *more, hours.alias("hours"), (hours <= sla_hours).alias("fresh"))
 
 
 def completeness(model: Model, contract: Contract) -> DataFrame:
@@ -34,27 +30,13 @@ def completeness(model: Model, contract: Contract) -> DataFrame:
 
     As the definition has it, neither filters nor slices apply. A table without an ingest column isn't measured.
     """
-    allowed = F.expr(f"INTERVAL {int((GRACE_DAYS * 24 + contract.quality.sla_hours) * 3600)} SECOND")
-    parts = []
-    for name in dict.fromkeys(t.table for t in parse(contract.formula).numerator):
-        fact = model.facts[name]
-        if not fact.ingested:
-            continue
-        period = F.date_format(F.to_date(fact.period), "yyyy-MM")
-        df = fact.df.select(period.alias("period"), F.col(fact.ingested).cast("timestamp_ntz").alias("came"))
-        end = _bounds(F.col("period"))[1].cast("timestamp_ntz") + allowed
-        parts.append(df.groupBy("period").agg(F.count("*").alias("n_rows"), F.count_if(F.col("came") <= end).alias("on_time")))
-    if not parts:
+    out = gathered(model, [contract], []).completeness(contract)
+    if out is None:
         raise ValueError(f"no table of {contract.id} says when its rows came in")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.groupBy("period").agg(F.sum("n_rows").alias("n_rows"), F.sum("on_time").alias("on_time"))
-    share = F.col("on_time") / F.col("n_rows")
-    return out.withColumn("share", share).withColumn("complete", F.col("share") >= contract.quality.min_completeness)
+    return out
 
 
-def drift(model: Model, contract: Contract, dims: list[str]) -> DataFrame:
+def drift(model: Model, contract: Contract, dims: list[str], terms: Terms | None = None) -> DataFrame:
     """Movements over a change of definition, both periods under the earlier one: earlier_relative and drifted.
 
     One row for each slice and each period that has an epoch's beginning in it and whose definition differs.
@@ -64,7 +46,7 @@ def drift(model: Model, contract: Contract, dims: list[str]) -> DataFrame:
     formulas = {e.formula: parse(e.formula, frozenset(model.facts)) for e in epochs}
     if len(formulas) < 2:
         return kpi_panel(model, contract, dims).where("false").select("period", *dims, F.lit(None).cast("double").alias("earlier_relative"), F.lit(None).cast("boolean").alias("drifted"))
-    terms, names = term_panel(model, contract, list(formulas.values()), dims)
+    terms, names = terms or term_panel(model, contract, list(formulas.values()), dims)
     w = Window.partitionBy(*dims).orderBy("period")
     now, out = terms, F.lit(None).cast("double")
     before_period = F.lag("period").over(w)
@@ -83,85 +65,112 @@ def drift(model: Model, contract: Contract, dims: list[str]) -> DataFrame:
 def records(model: Model, contract: Contract, dims: list[str]) -> DataFrame:
     """period, the slice, largest and slipped, for additive contracts.
 
-    largest is the largest record of the period in size, over all terms; slipped adds up, over the numerator's
-    tables that say when rows came in, those that came before the period or over 2 days after its end.
+    largest is the largest record of the period in size, over all terms; slipped adds up, over the terms of tables
+    that say when rows came in, those that came before the period or over 2 days after its end.
     """
-    formula = parse(contract.formula, frozenset(model.facts))
-    if not formula.is_additive:
-        raise ValueError(f"{contract.id} doesn't add up over its records")
-    filters = _filters(model, contract, [formula])
-    parts = []
-    for t in formula.terms:
-        df = scoped(model, t.table, filters[t.table], dims)
-        size = F.abs(F.lit(1.0) if t.aggregate == "COUNT" else F.expr(t.expression).cast("double"))
-        came = model.facts[t.table].ingested
-        start, end = _bounds(F.col("period"))
-        late = (F.to_date(came) < start) | (F.to_date(came) > F.date_add(end, LATE_DAYS)) if came else F.lit(False)
-        parts.append(df.groupBy("period", *dims).agg(F.max(size).alias("largest"), F.coalesce(F.sum(F.when(late, size)), F.lit(0.0)).alias("slipped")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("period", *dims).agg(F.max("largest").alias("largest"), F.sum("slipped").alias("slipped"))
-
-
-def artefacts(moves: DataFrame, of: DataFrame, dims: list[str], limit: float) -> DataFrame:
+    return gathered(model, [contract], dims).records(contract)
+
+
+def artefacts(moves: DataFrame, of: DataFrame, dims: list[str], limit: float | Column) -> DataFrame:
     """Adds record_share, slipped_share and artefact to movements: the worse of the two shares is over the limit.
 
     The largest record counts over the period and the one before. No movement is no artefact.
     """
     w = Window.partitionBy(*dims).orderBy("period")
     two = of.withColumn("largest", F.greatest("largest", F.coalesce(F.lag("largest").over(w), F.lit(0.0))))
-    out = moves.join(two, ["period", *dims], "left")
+    out = joined(moves, two.select("period", *dims, "largest", "slipped"), ["period", *dims])
     size = F.nullif(F.abs("delta"), F.lit(0.0))
     out = out.withColumn("record_share", F.try_divide("largest", size)).withColumn("slipped_share", F.try_divide("slipped", size))
     worst = F.greatest(F.coalesce("record_share", F.lit(0.0)), F.coalesce("slipped_share", F.lit(0.0)))
     return out.withColumn("artefact", worst > limit).drop("largest", "slipped")
 
 
+def _rules(spark, contracts: list[Contract], n_dims: int, period: str) -> DataFrame:
+    """What the checks need to know of each contract, a row each."""
+    rows = []
+    for c in contracts:
+        m, q = c.materiality, c.quality
+        borrowed = n_dims == 1 and sparse(c, period)
+        rows.append((c.id, m.relative, m.absolute, m.min_persistence, m.z_threshold, q.max_single_record_share, q.sla_hours, c.source, None if c.parsed.denominator else 0.0, borrowed))
+    return spark.createDataFrame(rows, "kpi string, _relative double, _absolute double, _persistence int, _z_threshold double, _share double, _sla double, _source string, _empty double, _borrowed boolean")
+
+
+def sparse(contract: Contract, period: str) -> bool:
+    """Whether the history up to the period's end is shorter than two seasons, in days."""
+    year, month = int(period[:4]), int(period[5:])
+    end = date(year + month // 12, month % 12 + 1, 1) - timedelta(days=1)
+    return (end - contract.history_start).days < 2 * contract.seasonal_period_days
+
+
+def _back(period: str, months: int) -> str:
+    n = int(period[:4]) * 12 + int(period[5:]) - 1 - months
+    return f"{n // 12:04d}-{n % 12 + 1:02d}"
+
+
 def materiality(panel: DataFrame, dims: list[str], contract: Contract, period: str) -> DataFrame:
     """The slices' movements in a period with last_z, run, material and reasons, by each slice's own history."""
-    history = since_gap(panel.where(F.col("period") <= period), dims, HISTORY)
-    scored = robust_z(decomposed(history, dims), dims, "remainder")
-    runs = persistence(scored.where(F.col("remainder").isNotNull()), dims, contract.materiality.z_threshold)
-    moves = movement(panel.where(F.col("period") <= period), dims).where(F.col("period") == period)
-    return material(moves.join(runs, dims, "left"), contract.materiality)
+    m = contract.materiality
+    rules = [F.lit(x).alias(n) for n, x in (("_relative", m.relative), ("_absolute", m.absolute), ("_persistence", m.min_persistence), ("_z_threshold", m.z_threshold))]
+    return _material(panel.select("*", *rules), dims, period).drop("_relative", "_absolute", "_persistence", "_z_threshold")
+
+
+def _material(panel: DataFrame, dims: list[str], period: str) -> DataFrame:
+    panel = panel.where(F.col("period") <= period)
+    scored = robust_z(decomposed(since_gap(panel, dims, HISTORY), dims), dims, "remainder")
+    runs = persistence(scored.where(F.col("remainder").isNotNull()), dims, F.col("_z_threshold"))
+    moves = movement(panel, dims).where(F.col("period") == period)
+    return material(joined(moves, runs, dims))
 
 
 def verify(model: Model, contract: Contract, dims: list[str], period: str, first: str, marks: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
-    """One row a slice: the movement, each check and whether all passed; unverifiable slices say so.
+    """One row a slice: the movement, each check and whether all passed; unverifiable slices say so."""
+    return verify_all(model, [contract], dims, period, first, marks, as_of).drop("kpi")
+
+
+def verify_all(model: Model, contracts: list[Contract], dims: list[str], period: str, first: str, marks: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
+    """verify() of several contracts: kpi and a row a slice each, in one plan.
 
-    ceiling is 'likely' where the data are stale or the baseline is borrowed from peers, which happens to
-    slices with under two seasons of history, if there is one dimension to find peers in.
+    Each table is read once, in one grouping for all contracts, and no more than the history that the checks look at;
+    the rest is plans over a row a slice and month. ceiling is 'likely' where the data are stale or the baseline is
+    borrowed from peers, which happens to slices with under two seasons of history, if there is one dimension to find peers in.
     """
-    formula = parse(contract.formula)
-    panel = with_spine(kpi_panel(model, contract, dims), dims, first, period, None if formula.denominator else 0.0)
-    out = materiality(panel, dims, contract, period)
-    months_there = (int(period[:4]) - contract.history_start.year) * 12 + int(period[5:]) - contract.history_start.month + 1
-    borrowed = months_there * 30.4 < 2 * contract.seasonal_period_days and len(dims) == 1
-    if borrowed:
-        peers = peer_expectation(movement(panel, dims), dims[0], period, contract.materiality)
-        out = out.drop("material").join(peers.select(*dims, "expected", "surprise", "material"), dims, "left").withColumn("material", F.coalesce("material", F.lit(False)))
-    if formula.is_additive:
-        out = artefacts(out, records(model, contract, dims), dims, contract.quality.max_single_record_share)
+    spark = next(iter(model.facts.values())).df.sparkSession
+    first = max(first, _back(period, HISTORY))
+    found = gathered(model, contracts, dims, first, period, write=True)
+    rules, slices = F.broadcast(_rules(spark, contracts, len(dims), period)), ["kpi", *dims]  # a row a contract
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    named = lambda df, c: df.withColumn("kpi", F.lit(c.id))
+    terms = {c.id: found.terms(c) for c in contracts}
+    values = union([named(kpi_panel(model, c, dims, terms=terms[c.id]).select("period", *dims, "value"), c) for c in contracts])
+    panel = with_spine(values, slices, first, period, None).join(rules, "kpi").withColumn("value", F.coalesce("value", "_empty"))
+    panel = settled(panel)
+    out = _material(panel, slices, period)
+    if any(len(dims) == 1 and sparse(c, period) for c in contracts):
+        peers = peer_expectation(movement(panel.where("_borrowed"), slices), dims[0], period, by=["kpi"])
+        out = joined(out, peers.select(*slices, "expected", "surprise", F.col("material").alias("_of_peers")), slices)
+        out = out.withColumn("material", F.when(F.col("_borrowed"), F.coalesce("_of_peers", F.lit(False))).otherwise(F.col("material"))).drop("_of_peers")
     else:
-        out = out.withColumn("artefact", F.lit(False))
-    if len({e.formula for e in contract.epochs}) > 1:
-        out = out.join(drift(model, contract, dims), ["period", *dims], "left").withColumn("drifted", F.coalesce("drifted", F.lit(False)))
+        out = out.withColumn("expected", F.lit(None).cast("double")).withColumn("surprise", F.lit(None).cast("double"))
+    additive = [c for c in contracts if c.parsed.is_additive]
+    of = union([named(found.records(c), c) for c in additive]) if additive else values.where("false").select("period", *slices, F.col("value").alias("largest"), F.col("value").alias("slipped"))
+    out = artefacts(out, of, slices, F.col("_share"))
+    redefined = [c for c in contracts if len({e.formula for e in c.epochs}) > 1]
+    if redefined:
+        out = joined(out, union([named(drift(model, c, dims, terms[c.id]), c) for c in redefined]), ["period", *slices])
     else:
-        out = out.withColumn("drifted", F.lit(False))
-    measured = any(model.facts[t.table].ingested for t in formula.numerator)
+        out = out.withColumn("earlier_relative", F.lit(None).cast("double")).withColumn("drifted", F.lit(False))
+    out = out.withColumn("drifted", F.coalesce("drifted", F.lit(False)))
+    measured = {c.id: full for c in contracts if (full := found.completeness(c)) is not None}
     if measured:
-        full = completeness(model, contract).select("period", F.col("share").alias("complete_share"), "complete")
-        out = out.join(full, "period", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+        full = union([named(measured[c.id], c) for c in contracts if c.id in measured]).select("period", "kpi", F.col("share").alias("complete_share"), "complete")
+        out = out.join(full, ["period", "kpi"], "left").withColumn("complete", F.coalesce("complete", ~F.col("kpi").isin(*measured)))
     else:
-        out = out.withColumn("complete", F.lit(True))
-    passed = (F.col("status") == "ok") & F.col("complete") & ~F.col("drifted") & ~F.col("artefact") & F.col("material")
-    out = out.withColumn("passed", passed)
+        out = out.withColumn("complete_share", F.lit(None).cast("double")).withColumn("complete", F.lit(True))
+    out = out.withColumn("passed", (F.col("status") == "ok") & F.col("complete") & ~F.col("drifted") & ~F.col("artefact") & F.col("material"))
     stale = F.lit(False)
     if marks is not None:
-        fresh = freshness(marks, contract.quality.sla_hours, as_of)
-        if contract.source:
-            fresh = fresh.where(F.col("source") == contract.source)
-        out = out.crossJoin(F.broadcast(fresh.agg(F.coalesce(F.bool_and("fresh"), F.lit(False)).alias("fresh"))))  # one row
+        each = marks.join(rules.select("kpi", "_sla", "_source"), (F.col("_source") == "") | (F.col("source") == F.col("_source")))  # sources by contracts
+        fresh = freshness(each, F.col("_sla"), as_of, "kpi").groupBy("kpi").agg(F.bool_and("fresh").alias("fresh"))
+        out = out.join(F.broadcast(fresh), "kpi", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
         stale = ~F.col("fresh")
-    return out.withColumn("ceiling", F.when(stale | F.lit(borrowed), "likely"))
+    return out.withColumn("ceiling", F.when(stale | F.col("_borrowed"), "likely")).drop(*(c for c in out.columns if c.startswith("_")))

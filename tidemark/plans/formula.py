@@ -33,11 +33,15 @@ class Term:
     def key(self) -> tuple[str, str, str]:
         return self.table, self.aggregate, self.expression
 
+    @property
+    def inner(self) -> str:
+        """The expression for Spark; minutes are boundaries crossed."""
+        return _MINUTES.sub(r"timestampdiff(MINUTE, date_trunc('MINUTE', \1), date_trunc('MINUTE', \2))", self.expression)
+
     @property
     def sql(self) -> str:
-        """The aggregate for Spark. MEDIAN is exact and interpolates; minutes are boundaries crossed."""
-        inner = _MINUTES.sub(r"timestampdiff(MINUTE, date_trunc('MINUTE', \1), date_trunc('MINUTE', \2))", self.expression)
-        return f"{self.aggregate.lower()}({inner})"
+        """The aggregate for Spark. MEDIAN is exact and interpolates."""
+        return f"{self.aggregate.lower()}({self.inner})"
 
 
 @dataclass(frozen=True)

@@ -42,42 +42,71 @@ def sliceable(model: Model, formula: Formula, dimension: str) -> bool:
 
 
 def _filters(model: Model, contract: Contract, formulas: list[Formula]) -> dict[str, list[str]]:
-    """Each filter goes to the table that it names; one that names no term's table is an error."""
+    """Each filter goes to the tables of the formulas that it names; one that names no table of the contract would filter nothing, and is an error."""
     tables = {t for f in formulas for t in f.tables}
+    known = tables | set(contract.parsed.tables)
     out: dict[str, list[str]] = {t: [] for t in tables}
     for text in contract.filters:
-        named = [m[1] for m in _NAMED.finditer(text) if m[1] in model.facts]
-        if not named:
-            raise FormulaError(f"filter {text!r} of {contract.id} names no table of a formula")
-        if named[0] in tables:
-            out[named[0]].append(_NAMED.sub(lambda m: m[2] if m[1] == named[0] else m[0], text))
+        named = {m[1] for m in _NAMED.finditer(text)}
+        if not named & known:
+            raise FormulaError(f"filter {text!r} of {contract.id} names no table of its formula, which reads {', '.join(sorted(known))}")
+        for t in sorted(named & tables):
+            out[t].append(_NAMED.sub(lambda m, t=t: m[2] if m[1] == t else m[0], text))
     return out
 
 
-def period_of(model: Model, fact: Fact, fiscal: bool) -> tuple[DataFrame, Column]:
-    day = F.to_date(fact.period)
-    if not fiscal:
-        return fact.df, F.date_format(day, "yyyy-MM")
-    calendar = model.calendar.select(F.col("day").alias("_day"), F.col("period_label").alias("_label"))
-    return fact.df.join(calendar, day == F.col("_day")), F.col("_label")
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """left with the other columns of right where all of `on` are the same; a null is the same as a null."""
+    keys = [F.col(c).alias(f"_same_{i}") for i, c in enumerate(on)]
+    other = right.select(*keys, *(c for c in right.columns if c not in on))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_same_{i}"))
+    return left.join(other, same, how).drop(*(f"_same_{i}" for i in range(len(on))))
 
 
-def scoped(model: Model, table: str, filters: list[str], dims: list[str], fiscal: bool = False) -> DataFrame:
-    """The rows of a fact that a contract counts, with period and the dimensions; the join to accounts only if needed."""
+def bounds(period: Column) -> tuple[Column, Column]:
+    """The first and the last day of a month given as yyyy-MM."""
+    start = F.to_date(F.concat(period, F.lit("-01")))
+    return start, F.last_day(start)
+
+
+def scoped(model: Model, table: str, filters: list[str], dims: list[str], fiscal: bool = False, months: tuple[str, ...] = (), known: str | None = None) -> DataFrame:
+    """The rows of a fact that a contract counts, with period and the dimensions; the join to accounts only if needed.
+
+    period is the fiscal label, or the first day of the month: labelled() names it once rows are grouped. Only days from
+    the first to the last of the months are read, if any are given. Rows whose account is unknown drop out if that is
+    asked for a dimension; with known they stay, and a column of that name tells them apart.
+    """
     fact = model.facts[table]
     for name, view in model.views.items():
         view.createOrReplaceTempView(name)
-    df, period = period_of(model, fact, fiscal)
+    df, day = fact.df, F.to_date(fact.period)
+    if months and not fiscal:
+        start, end = (bounds(F.lit(m))[i] for i, m in enumerate((min(months), max(months))))
+        df = df.where(day.between(start, end))
+    period = F.trunc(day, "MM")
+    if fiscal:
+        calendar = model.calendar.select(F.col("day").alias("_day"), F.col("period_label").alias("_label"))
+        df, period = df.join(calendar, day == F.col("_day")), F.col("_label")
     for text in filters:
         df = df.where(text)
     missing = [d for d in dims if d not in fact.df.columns]
     if missing:
         if model.accounts is None or not set(missing) <= set(model.accounts.columns) or "account_id" not in df.columns:
             raise FormulaError(f"{table} can't be sliced by {', '.join(missing)}")
-        df = df.join(model.accounts.select("account_id", *missing), "account_id")
+        of = model.accounts.select("account_id", *missing)
+        df = df.join(of.withColumn(known, F.lit(True)), "account_id", "left").withColumn(known, F.coalesce(known, F.lit(False))) if known else df.join(of, "account_id")
+    elif known:
+        df = df.withColumn(known, F.lit(True))
     return df.withColumn("period", period)
 
 
+def labelled(df: DataFrame, fiscal: bool = False) -> DataFrame:
+    """Periods as yyyy-MM; fiscal ones have their label already."""
+    return df if fiscal else df.withColumn("period", F.date_format("period", "yyyy-MM"))
+
+
 def _larger_than_broadcast(df: DataFrame) -> bool:
     """Whether what a plan reads is more than Spark broadcasts by itself."""
     limit = df.sparkSession._jvm.org.apache.spark.sql.internal.SQLConf.get().autoBroadcastJoinThreshold()
@@ -85,31 +114,39 @@ def _larger_than_broadcast(df: DataFrame) -> bool:
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) > max(limit, 0)
 
 
-def _table_terms(model: Model, table: str, terms: list[tuple[int, Term]], filters: list[str], dims: list[str], fiscal: bool) -> DataFrame:
+def _to_be_joined(model: Model, table: str, dims: list[str]) -> list[str]:
+    """The dimensions for which the join to accounts will shuffle."""
+    missing = [d for d in dims if d not in model.facts[table].df.columns]
+    there = model.accounts is not None and set(missing) <= set(model.accounts.columns)
+    return missing if missing and there and _larger_than_broadcast(model.accounts) else []
+
+
+def _table_terms(model: Model, table: str, terms: list[tuple[int, Term]], filters: list[str], dims: list[str], fiscal: bool, months: tuple[str, ...]) -> DataFrame:
     aggregates = [F.expr(t.sql).cast("double").alias(f"t{i}") for i, t in terms]
     keys = ["period", *dims]
-    missing = [d for d in dims if d not in model.facts[table].df.columns]
-    if missing and model.accounts is not None and all(t.aggregate in ("SUM", "COUNT") for _, t in terms) and set(missing) <= set(model.accounts.columns) and _larger_than_broadcast(model.accounts):
+    missing = _to_be_joined(model, table, dims)
+    if missing and all(t.aggregate in ("SUM", "COUNT") for _, t in terms):
         # the join to accounts will shuffle: add up per account first, so that it moves a row a key and not a row a record
         direct = [d for d in dims if d not in missing]
-        small = scoped(model, table, filters, direct, fiscal).groupBy("period", "account_id", *direct).agg(*aggregates)
-        joined = small.join(model.accounts.select("account_id", *missing), "account_id")
-        return joined.groupBy(*keys).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i, _ in terms))
-    return scoped(model, table, filters, dims, fiscal).groupBy(*keys).agg(*aggregates)
+        small = scoped(model, table, filters, direct, fiscal, months).groupBy("period", "account_id", *direct).agg(*aggregates)
+        with_dims = small.join(model.accounts.select("account_id", *missing), "account_id")
+        return labelled(with_dims.groupBy(*keys).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i, _ in terms)), fiscal)
+    return labelled(scoped(model, table, filters, dims, fiscal, months).groupBy(*keys).agg(*aggregates), fiscal)
 
 
-def term_panel(model: Model, contract: Contract, formulas: list[Formula], dims: list[str], fiscal: bool = False) -> tuple[DataFrame, dict[tuple, str]]:
+def term_panel(model: Model, contract: Contract, formulas: list[Formula], dims: list[str], fiscal: bool = False, months: tuple[str, ...] = ()) -> tuple[DataFrame, dict[tuple, str]]:
     """period, the dimensions and a column for each distinct term of all the formulas; null where a table has no row.
 
-    Each table is read and grouped once, whatever the number of its terms and formulas. Tables meet in a union
-    and one more grouping, which, unlike a full join, also matches null dimensions.
+    Each table is read and grouped once, whatever the number of its terms and formulas, and only from the first to the last
+    of the months, if any are given. Tables meet in a union and one more grouping, which, unlike a full join, also
+    matches null dimensions.
     """
     distinct = list({t.key: t for f in formulas for t in f.terms}.values())
     filters = _filters(model, contract, formulas)
     by_table: dict[str, list[tuple[int, Term]]] = {}
     for i, t in enumerate(distinct):
         by_table.setdefault(t.table, []).append((i, t))
-    parts = [_table_terms(model, table, terms, filters[table], dims, fiscal) for table, terms in by_table.items()]
+    parts = [_table_terms(model, table, terms, filters[table], dims, fiscal, months) for table, terms in by_table.items()]
     panel = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
@@ -134,16 +171,19 @@ def valued(formula: Formula, names: dict[tuple, str]) -> tuple[Column, Column, C
     return num, den, F.try_divide(num, F.nullif(den, F.lit(0.0))) / F.lit(formula.divisor)
 
 
-def kpi_panel(model: Model, contract: Contract, dims: list[str] | None = None, formula: str | None = None, fiscal: bool = False) -> DataFrame:
+Terms = tuple[DataFrame, dict[tuple, str]]
+
+
+def kpi_panel(model: Model, contract: Contract, dims: list[str] | None = None, formula: str | None = None, fiscal: bool = False, terms: Terms | None = None) -> DataFrame:
     """period, the dimensions, num, den, value. Each period follows the definition in force at its end, unless one is given.
 
-    All definitions are computed in one pass over each table.
+    All definitions are computed in one pass over each table, or from terms, if these are there already.
     """
     dims = dims or []
     epochs = [] if formula or not contract.epochs else sorted(contract.epochs, key=lambda e: e.effective_from)
     texts = list(dict.fromkeys(e.formula for e in epochs)) or [formula or contract.formula]
     formulas = {t: parse(t, frozenset(model.facts)) for t in texts}
-    panel, names = term_panel(model, contract, list(formulas.values()), dims, fiscal)
+    panel, names = terms or term_panel(model, contract, list(formulas.values()), dims, fiscal)
     columns = {t: valued(f, names) for t, f in formulas.items()}
     chosen = [columns[texts[0]][i] for i in range(3)]
     if epochs:
@@ -152,7 +192,7 @@ def kpi_panel(model: Model, contract: Contract, dims: list[str] | None = None, f
             panel = panel.join(ends, "period")
             end = F.col("_end")
         else:
-            end = F.last_day(F.to_date(F.concat("period", F.lit("-01"))))
+            end = bounds(F.col("period"))[1]
         for i in range(3):
             for e in epochs[1:]:
                 chosen[i] = F.when(end >= F.lit(e.effective_from), columns[e.formula][i]).otherwise(chosen[i])

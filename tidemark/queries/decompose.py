@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.decompose import concentration, contributions, covering, display, footprint, partition, pvm, recurring_changes, residual, tree
-from tidemark.plans.panel import scoped
+from tidemark.plans.panel import labelled, scoped
 from tidemark.queries import ACCOUNT, SALES, query
 from tidemark.sources.star import CONTRACTS, CURRENT, model, sales, tickets
 
@@ -36,11 +36,12 @@ def ratio(spark, d):
     return contributions(model(spark, d), CONTRACTS["discount_rate"], ["region"], CURRENT, PREVIOUS).select("dimension", "key", F.round("delta", 9).alias("delta"))
 
 
-_ACCOUNTS = f"""{_SIDES}, n AS (SELECT account_id, sum({_V}) AS delta FROM s GROUP BY 1 HAVING sum({_V}) <> 0),
+#: c: the change of each account, and in part what larger ones have of all changes.
+COVERED = f"""{_SIDES}, n AS (SELECT account_id, sum({_V}) AS delta FROM s GROUP BY 1 HAVING sum({_V}) <> 0),
   c AS (SELECT *, coalesce(sum(abs(delta)) OVER (ORDER BY abs(delta) DESC, CAST(account_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(abs(delta)) OVER () AS part FROM n)"""
 
 
-@query("greedy_footprint", f"WITH {_ACCOUNTS} SELECT CAST(account_id AS VARCHAR) AS key, round(delta, 4) AS delta FROM c WHERE part < 0.8")
+@query("greedy_footprint", f"WITH {COVERED} SELECT CAST(account_id AS VARCHAR) AS key, round(delta, 4) AS delta FROM c WHERE part < 0.8")
 def covered(spark, d):
     return footprint(_nodes(spark, d, ["account_id"])).select("key", F.round("delta", 4).alias("delta"))
 
@@ -61,15 +62,47 @@ def concentrated(spark, d):
         one AS (SELECT CASE WHEN (SELECT dimension FROM o WHERE place = 1) = 'region' THEN region ELSE segment END AS a, CASE WHEN (SELECT dimension FROM o WHERE place = 1) = 'region' THEN segment ELSE region END AS b, {_V} AS v FROM s),
         l1 AS (SELECT a, sum(v) AS delta FROM one GROUP BY 1 HAVING sum(v) <> 0),
         c AS (SELECT *, coalesce(sum(abs(delta)) OVER (ORDER BY abs(delta) DESC, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(abs(delta)) OVER () AS part, delta / sum(delta) OVER () AS share FROM l1),
-        l2 AS (SELECT a, b, sum(v) AS delta FROM one GROUP BY 1, 2 HAVING sum(v) <> 0)
+        l2 AS (SELECT a, b, sum(v) AS delta FROM one GROUP BY 1, 2 HAVING sum(v) <> 0),
+        c2 AS (SELECT *, coalesce(sum(abs(delta)) OVER (PARTITION BY a ORDER BY abs(delta) DESC, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(abs(delta)) OVER (PARTITION BY a) AS part FROM l2)
         SELECT a AS path, 1 AS depth, round(delta, 4) AS delta, round(share, 6) AS share FROM c
-        UNION ALL SELECT l2.a || '/' || l2.b, 2, round(l2.delta, 4), round(l2.delta / c.delta, 6) FROM l2 JOIN c ON c.a = l2.a AND c.part < 0.8""",
+        UNION ALL SELECT c2.a || '/' || c2.b, 2, round(c2.delta, 4), round(c2.delta / c.delta, 6) FROM c2 JOIN c ON c.a = c2.a AND c.part < 0.8 AND c2.part < 0.8""",
 )
 def nested(spark, d):
     out = tree(model(spark, d), CONTRACTS["net_sales"], DIMS, CURRENT, PREVIOUS)
     return out.select(F.concat_ws("/", "path").alias("path"), "depth", F.round("delta", 4).alias("delta"), F.round("share", 6).alias("share"))
 
 
+@query(
+    "nested_ratio",
+    f"""WITH {_SIDES}, f AS (SELECT * FROM s WHERE qty <> 1), w AS (SELECT sum(amount_gross) FILTER (WHERE period = '{PREVIOUS}') AS d0, sum(amount_gross) FILTER (WHERE period = '{CURRENT}') AS d1 FROM f),
+        v AS (SELECT region, segment, CASE WHEN period = '{CURRENT}' THEN discount / d1 ELSE -discount / d0 END AS v FROM f, w),
+        nd AS (SELECT 'region' AS dimension, region AS key, sum(v) AS delta FROM v GROUP BY 2 UNION ALL SELECT 'segment', segment, sum(v) FROM v GROUP BY 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY abs(delta) DESC, key) AS n FROM nd),
+        o AS (SELECT dimension, row_number() OVER (ORDER BY sum(abs(delta)) FILTER (WHERE n <= 2) / sum(abs(delta)) DESC, dimension) AS place FROM r GROUP BY 1),
+        one AS (SELECT CASE WHEN (SELECT dimension FROM o WHERE place = 1) = 'region' THEN region ELSE segment END AS a, CASE WHEN (SELECT dimension FROM o WHERE place = 1) = 'region' THEN segment ELSE region END AS b, v FROM v),
+        l1 AS (SELECT a, sum(v) AS delta FROM one GROUP BY 1), l2 AS (SELECT a, b, sum(v) AS delta FROM one GROUP BY 1, 2),
+        c AS (SELECT *, coalesce(sum(abs(delta)) OVER (ORDER BY abs(delta) DESC, a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(abs(delta)) OVER () AS part, delta / sum(delta) OVER () AS share FROM l1),
+        c2 AS (SELECT *, coalesce(sum(abs(delta)) OVER (PARTITION BY a ORDER BY abs(delta) DESC, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(abs(delta)) OVER (PARTITION BY a) AS part FROM l2)
+        SELECT a AS path, 1 AS depth, round(delta, 8) AS delta, round(share, 5) AS share FROM c
+        UNION ALL SELECT c2.a || '/' || c2.b, 2, round(c2.delta, 8), round(c2.delta / c.delta, 5) FROM c2 JOIN c ON c.a = c2.a AND c.part < 0.8 AND c2.part < 0.8""",
+)
+def nested_ratio(spark, d):
+    out = tree(model(spark, d), CONTRACTS["discount_rate"], DIMS, CURRENT, PREVIOUS)
+    return out.select(F.concat_ws("/", "path").alias("path"), "depth", F.round("delta", 8).alias("delta"), F.round("share", 5).alias("share"))
+
+
+@query(
+    "median_contribution",
+    f"""WITH {_SIDES}, n AS (SELECT * FROM s WHERE return_flag = 'N'), m AS (SELECT coalesce(median(amount_gross) FILTER (WHERE period = '{CURRENT}'), 0) / 60 - coalesce(median(amount_gross) FILTER (WHERE period = '{PREVIOUS}'), 0) / 60 AS t FROM n),
+        k AS (SELECT 'region' AS dimension, region AS key, period, amount_gross FROM n UNION ALL SELECT 'segment', segment, period, amount_gross FROM n),
+        g AS (SELECT dimension, key, coalesce(median(amount_gross) FILTER (WHERE period = '{CURRENT}'), 0) / 60 - coalesce(median(amount_gross) FILTER (WHERE period = '{PREVIOUS}'), 0) / 60 AS delta FROM k GROUP BY 1, 2)
+        SELECT dimension, key, round(delta, 7) AS delta, round(delta / nullif(t, 0), 6) AS share FROM g, m WHERE delta <> 0""",
+)
+def medians(spark, d):
+    out = contributions(model(spark, d), CONTRACTS["median_price"], DIMS, CURRENT, PREVIOUS)
+    return out.select("dimension", "key", F.round("delta", 7).alias("delta"), F.round("share", 6).alias("share"))
+
+
 @query(
     "pvm_split",
     f"""WITH {_SIDES}, b AS (SELECT region, account_id, product_id, sum(qty) FILTER (WHERE period = '{PREVIOUS}') AS q0, sum(amount_net) FILTER (WHERE period = '{PREVIOUS}') AS a0,
@@ -100,7 +133,7 @@ def _owners(spark, d):
         SELECT bucket, round(sum(v), 4) AS delta FROM e GROUP BY 1""",
 )
 def buckets(spark, d):
-    changes = recurring_changes(scoped(model(spark, d), "sales", [], []), CURRENT, PREVIOUS)
+    changes = recurring_changes(labelled(scoped(model(spark, d), "sales", [], [], months=(PREVIOUS, CURRENT))), CURRENT, PREVIOUS)
     return partition(changes, _owners(spark, d)).select("bucket", F.round("delta", 4).alias("delta"))
 
 
@@ -117,7 +150,7 @@ def shown(spark, d):
 
 @query("partition_residual", f"WITH {_SIDES}, t AS (SELECT sum(amount_net * CASE WHEN period = '{CURRENT}' THEN 1 ELSE -1 END) AS v FROM s) SELECT round(abs(v - v) / abs(v), 6) AS residual, true AS within FROM t")
 def unexplained(spark, d):
-    lines = scoped(model(spark, d), "sales", [], [])
+    lines = labelled(scoped(model(spark, d), "sales", [], [], months=(PREVIOUS, CURRENT)))
     nodes = partition(recurring_changes(lines, CURRENT, PREVIOUS), _owners(spark, d))
     total = lines.where(F.col("period").isin(CURRENT, PREVIOUS)).agg(F.sum(F.when(F.col("period") == CURRENT, F.col("amount_net")).otherwise(-F.col("amount_net")))).first()[0]
     return residual(nodes, total).select(F.round("residual", 6).alias("residual"), "within")

@@ -6,22 +6,31 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import one_spaced, quotes, tokens
 from tidemark.operators.challenge import as_evidence, dose, locality, matrix, peers, region_peers, timing
+from tidemark.operators.decompose import contributions, footprint
 from tidemark.operators.evidence import incident_scan, price_delta, read_spike, reason_scan, supported_claims, ticket_spike
 from tidemark.operators.retrieval import bm25, cosine, funnel, recall, scope, top
+from tidemark.plans.panel import bounds
 from tidemark.queries import ACCOUNT, SALES, query
-from tidemark.sources.star import accounts, sales, table, tickets
+from tidemark.queries.decompose import COVERED, PREVIOUS
+from tidemark.sources.scratch import settled
+from tidemark.sources.star import CONTRACTS, CURRENT, accounts, model, sales, table, tickets
 
 ERRORS = "category = 'error'"
 WINDOW = ("2024-01-16", "2024-01-31", "2024-01-01", "2024-01-16")
 
 _SPIKE = f"""sp AS (SELECT user_id AS account_id, count(*) FILTER (WHERE ts >= '2024-01-16' AND ts < '2024-01-31') AS window_count, count(*) FILTER (WHERE ts >= '2024-01-01' AND ts < '2024-01-16') AS baseline_count
-  FROM events WHERE event_type = 'error' AND user_id < 120 AND ts >= '2024-01-01' AND ts < '2024-01-31' GROUP BY 1), spike AS (SELECT *, window_count / nullif(CAST(baseline_count AS DOUBLE), 0) AS ratio FROM sp)"""
+  FROM events WHERE event_type = 'error' AND user_id IS NOT NULL AND ts >= '2024-01-01' AND ts < '2024-01-31' GROUP BY 1), spike AS (SELECT *, window_count / nullif(CAST(baseline_count AS DOUBLE), 0) AS ratio FROM sp)"""
 
 
 def _spikes(spark, d):
-    some = accounts(spark, d).where("account_id < 120")
-    zero = spark.range(1).select(F.lit(0).cast("long").alias("account_id"))
-    return ticket_spike(tickets(spark, d).where(ERRORS), some.select("account_id").unionByName(zero), *WINDOW)
+    errors = tickets(spark, d).where(ERRORS)
+    return ticket_spike(errors, errors.select("account_id"), *WINDOW)
+
+
+def _effect(spark, d):
+    """The accounts that cover the movement of net sales."""
+    nodes = contributions(model(spark, d), CONTRACTS["net_sales"], ["account_id"], CURRENT, PREVIOUS)
+    return footprint(nodes).select(F.col("key").cast("long").alias("account_id"))
 
 
 @query("event_spike_ratio", f"WITH {_SPIKE} SELECT account_id, window_count, baseline_count, round(ratio, 9) AS ratio FROM spike")
@@ -60,22 +69,22 @@ def prices(spark, d):
     return price_delta(book, book.where("segment LIKE '%1%'").select("segment"), "2001-07-01", "2001-07-31")
 
 
-_INCIDENTS = """inc AS (SELECT 'I' || (event_id % 50) AS incident_id, min(ts) AS started_at, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE max(ts) END AS resolved_at, string_agg(CAST(user_id AS VARCHAR), '|') AS affected_accounts, any_value('s') AS service
-  FROM events WHERE event_type = 'error' AND event_id % 5 = 0 GROUP BY 1)"""
+_INCIDENTS = """inc AS (SELECT 'I' || (event_id // 200) AS incident_id, min(ts) AS started_at, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE max(ts) END AS resolved_at, string_agg(CAST(user_id AS VARCHAR), '|') AS affected_accounts, any_value('s') AS service
+  FROM events WHERE event_type = 'error' GROUP BY 1)"""
 
 
 @query(
     "incident_overlap_explode",
-    f"""WITH {_INCIDENTS} SELECT DISTINCT incident_id, started_at, resolved_at FROM (SELECT *, unnest(string_split(affected_accounts, '|')) AS a FROM inc) WHERE a IN ('3', '14', '15', '92') AND started_at < '2024-01-03' AND resolved_at >= '2024-01-02'""",
+    f"""WITH {ACCOUNT}, {_INCIDENTS} SELECT DISTINCT incident_id, started_at, resolved_at FROM (SELECT *, unnest(string_split(affected_accounts, '|')) AS a FROM inc)
+        WHERE a IN (SELECT CAST(account_id AS VARCHAR) FROM account WHERE region = 'ASIA') AND started_at < '2024-01-20' AND resolved_at >= '2024-01-02'""",
 )
 def incidents(spark, d):
-    e = tickets(spark, d).where(f"{ERRORS} AND ticket_id % 5 = 0")
-    key = F.concat(F.lit("I"), (F.col("ticket_id") % 50).cast("string"))
+    e = tickets(spark, d).where(ERRORS)
+    key = F.concat(F.lit("I"), F.floor(F.col("ticket_id") / 200).cast("string"))
     inc = e.groupBy(key.alias("incident_id")).agg(
         F.min("created_at").alias("started_at"), F.when(F.count("*") % 3 != 0, F.max("created_at")).alias("resolved_at"), F.array_join(F.collect_list(F.col("account_id").cast("string")), "|").alias("affected_accounts"), F.lit("s").alias("service"), F.lit("high").alias("severity")
-    )
-    some = spark.range(1).select(F.explode(F.array(*map(F.lit, ("3", "14", "15", "92")))).alias("account_id"))
-    return incident_scan(inc, some, "2024-01-02", "2024-01-03").select("incident_id", "started_at", "resolved_at")
+    )  # at most 200 events each
+    return incident_scan(inc, accounts(spark, d).where("region = 'ASIA'"), "2024-01-02", "2024-01-20").select("incident_id", "started_at", "resolved_at")
 
 
 def _documents(spark, d):
@@ -86,10 +95,12 @@ def _documents(spark, d):
 _DOCS = "docs AS (SELECT conv_id || '-' || turn AS doc_id, conv_id % 150 AS account, CAST(DATE '2024-01-01' + CAST(turn % 30 AS INTEGER) AS DATE) AS seen_on, coalesce(text, '') AS text FROM conversations)"
 
 
-@query("scoped_documents", f"WITH {_DOCS} SELECT doc_id, account FROM docs WHERE account < 50 AND seen_on BETWEEN DATE '2024-01-02' AND DATE '2024-01-04'")
+_EUROPE = "account IN (SELECT account_id FROM account WHERE region = 'EUROPE')"
+
+
+@query("scoped_documents", f"WITH {_DOCS}, {ACCOUNT} SELECT doc_id, docs.account FROM docs WHERE docs.{_EUROPE} AND seen_on BETWEEN DATE '2024-01-02' AND DATE '2024-01-04'")
 def scoped(spark, d):
-    few = accounts(spark, d).where("account_id < 50").select("account_id").unionByName(spark.range(1).select(F.lit(0).cast("long").alias("account_id")))
-    return scope(_documents(spark, d), few, "2024-01-03", "2024-01-04", 2).select("doc_id", "account")
+    return scope(_documents(spark, d), accounts(spark, d).where("region = 'EUROPE'"), "2024-01-03", "2024-01-04", 2).select("doc_id", "account")
 
 
 _STOP = "the a an and or of to in on for with is are was were be been it its this that they them their we our you your i at by from as has have had not no but if"
@@ -144,20 +155,20 @@ def found(spark, d):
 
 @query(
     "cosine_topk",
-    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id < 5),
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 20 = 0),
        s AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(v, q) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)), 0), 6) AS score FROM v, q)
        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 15""",
 )
 def nearest(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    q = v.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
     return top(cosine(v, q).withColumn("score", F.round("score", 6)), ["doc_id"])
 
 
-@query("retrieval_funnel", f"WITH {_DOCS}, s AS (SELECT * FROM docs WHERE account < 50 AND seen_on BETWEEN DATE '2024-01-02' AND DATE '2024-01-04') SELECT (SELECT count(*) FROM docs) AS corpus, (SELECT count(*) FROM s) AS scoped, (SELECT count(*) FROM s WHERE length(text) > 100) AS returned, round(1 - (SELECT count(*) FROM s) / (SELECT count(*) FROM docs), 9) AS reduction")
+@query("retrieval_funnel", f"WITH {_DOCS}, {ACCOUNT}, s AS (SELECT * FROM docs WHERE docs.{_EUROPE} AND seen_on BETWEEN DATE '2024-01-02' AND DATE '2024-01-04') SELECT (SELECT count(*) FROM docs) AS corpus, (SELECT count(*) FROM s) AS scoped, (SELECT count(*) FROM s WHERE length(text) > 100) AS returned, round(1 - (SELECT count(*) FROM s) / (SELECT count(*) FROM docs), 9) AS reduction")
 def counts(spark, d):
     docs = _documents(spark, d)
-    inside = docs.where("account < 50 AND at BETWEEN DATE '2024-01-02' AND DATE '2024-01-04'")
+    inside = scope(docs, accounts(spark, d).where("region = 'EUROPE'"), "2024-01-03", "2024-01-04", 2)
     return funnel(docs, inside, inside.where("length(text) > 100")).withColumn("reduction", F.round("reduction", 9))
 
 
@@ -175,34 +186,33 @@ def claims(spark, d):
     return supported_claims(docs.select("doc_id", quote.alias("quote")), docs).select("doc_id")
 
 
-def _causes(spark, d):
-    hot = _spikes(spark, d).where("ratio >= 1.5").select(F.lit("integration").alias("driver"), "account_id")
+def _causes(spark, d, spikes):
+    hot = spikes.where("ratio >= 1.5").select(F.lit("integration").alias("driver"), "account_id")
     asia = accounts(spark, d).where("region = 'ASIA'").select(F.lit("competitor").alias("driver"), "account_id")
     nobody = spark.range(1).select(F.lit("pricing").alias("driver"), F.lit(None).cast("long").alias("account_id"))
     return hot.unionByName(asia).unionByName(nobody)
 
 
-_CAUSES = f"""{_SPIKE}, {ACCOUNT}, causes AS (SELECT 'integration' AS driver, account_id FROM spike WHERE ratio >= 1.5 UNION ALL SELECT 'competitor', account_id FROM account WHERE region = 'ASIA' UNION ALL SELECT 'pricing', NULL),
-  effect AS (SELECT account_id FROM account WHERE account_id BETWEEN 1 AND 60)"""
+_FOOTPRINT = f"{COVERED}, effect AS (SELECT account_id FROM c WHERE part < 0.8)"
+_CAUSES = f"""{_FOOTPRINT}, {_SPIKE}, causes AS (SELECT 'integration' AS driver, account_id FROM spike WHERE ratio >= 1.5 UNION ALL SELECT 'competitor', account_id FROM account WHERE region = 'ASIA' UNION ALL SELECT 'pricing', NULL)"""
 _LOCAL = f"""{_CAUSES}, j AS (SELECT driver, count(DISTINCT c.account_id) AS n_cause, (SELECT count(*) FROM effect) AS n_effect, count(DISTINCT e.account_id) AS n_both FROM causes c LEFT JOIN effect e ON c.account_id = e.account_id GROUP BY 1),
   loc AS (SELECT driver, n_cause, n_effect, n_both / nullif(CAST(n_cause + n_effect - n_both AS DOUBLE), 0) AS overlap FROM j)"""
 
 
 @query("locality_test", f"WITH {_LOCAL} SELECT driver, n_cause, n_effect, round(overlap, 9) AS overlap, CASE WHEN overlap > 0.5 THEN 'pass' WHEN overlap < 0.2 THEN 'refute' ELSE 'inconclusive' END AS outcome FROM loc")
 def where(spark, d):
-    effect = accounts(spark, d).where("account_id BETWEEN 1 AND 60")
-    return locality(_causes(spark, d), effect).withColumn("overlap", F.round("overlap", 9))
+    return locality(_causes(spark, d, _spikes(spark, d)), settled(_effect(spark, d))).withColumn("overlap", F.round("overlap", 9))
 
 
-_TIMING = f"""{SALES}, onset AS (SELECT * FROM (VALUES ('integration', DATE '2001-06-20', 45), ('competitor', DATE '2001-07-10', 90), ('pricing', DATE '2001-05-01', 20), ('unseen', CAST(NULL AS DATE), 30)) v(driver, onset, max_lag_days)),
-  eff AS (SELECT account_id, max(sold_on) AS effect_on FROM sales WHERE account_id <= 60 AND period = '2001-07' GROUP BY 1), lags AS (SELECT driver, date_diff('day', onset, effect_on) AS lag, max_lag_days AS m FROM onset, eff),
+_TIMING = f"""onset AS (SELECT * FROM (VALUES ('integration', DATE '2001-06-20', 45), ('competitor', DATE '2001-07-10', 90), ('pricing', DATE '2001-05-01', 20), ('unseen', CAST(NULL AS DATE), 30)) v(driver, onset, max_lag_days)),
+  eff AS (SELECT account_id, max(sold_on) AS effect_on FROM sales WHERE period = '{CURRENT}' GROUP BY 1), lags AS (SELECT driver, date_diff('day', onset, effect_on) AS lag, max_lag_days AS m FROM onset, eff),
   o AS (SELECT *, CASE WHEN lag < 0 THEN -lag ELSE greatest(lag - m, 0) END AS outside FROM lags)"""
 
 
 @query(
     "timing_lag",
-    f"""WITH {_TIMING} SELECT driver, count(lag) AS n, CAST(max(lag) FILTER (WHERE (outside, lag) = (SELECT (outside, lag) FROM o x WHERE x.driver = o.driver AND lag IS NOT NULL ORDER BY outside DESC, lag DESC LIMIT 1)) AS DOUBLE) AS worst_lag,
-        CASE WHEN count(lag) = 0 THEN 'inconclusive' WHEN max(outside) > 0 THEN 'refute' ELSE 'pass' END AS outcome FROM o GROUP BY 1""",
+    f"""WITH {SALES}, {_TIMING} SELECT driver, count(lag) AS n, CAST(any_value(w) AS DOUBLE) AS worst_lag, CASE WHEN count(lag) = 0 THEN 'inconclusive' WHEN max(outside) > 0 THEN 'refute' ELSE 'pass' END AS outcome
+        FROM (SELECT *, first(lag) OVER (PARTITION BY driver ORDER BY outside DESC NULLS LAST, lag DESC NULLS LAST) AS w FROM o) GROUP BY 1""",
 )
 def when(spark, d):
     return _timing(spark, d).withColumn("worst_lag", F.col("worst_lag").cast("double"))
@@ -211,14 +221,15 @@ def when(spark, d):
 def _timing(spark, d):
     rows = [("integration", "2001-06-20", 45), ("competitor", "2001-07-10", 90), ("pricing", "2001-05-01", 20), ("unseen", None, 30)]
     onset = spark.createDataFrame(rows, "driver string, onset string, max_lag_days int").withColumn("onset", F.col("onset").cast("date"))
-    lines = sales(spark, d).where("account_id <= 60 AND sold_on BETWEEN DATE '2001-07-01' AND DATE '2001-07-31'")
+    start, end = bounds(F.lit(CURRENT))
+    lines = sales(spark, d).where(F.col("sold_on").between(start, end))
     effects = lines.groupBy("account_id").agg(F.max("sold_on").alias("effect_on"))
-    return timing(onset, onset.select("driver").crossJoin(effects))
+    return timing(onset, onset.select("driver").crossJoin(effects))  # four drivers
 
 
-def _dose(spark, d):
-    change = sales(spark, d).where("account_id < 150").groupBy("account_id").agg(F.sum("amount_net").alias("delta"))
-    return dose(_spikes(spark, d).where("ratio IS NOT NULL").select(F.lit("integration").alias("driver"), "account_id", F.col("ratio").alias("intensity")), change)
+def _dose(spark, d, spikes):
+    change = sales(spark, d).groupBy("account_id").agg(F.sum("amount_net").alias("delta"))
+    return dose(spikes.where("ratio IS NOT NULL").select(F.lit("integration").alias("driver"), "account_id", F.col("ratio").alias("intensity")), change)
 
 
 @query(
@@ -228,26 +239,26 @@ def _dose(spark, d):
         SELECT 'integration' AS driver, count(*) AS n, round(corr(rx, ry), 9) AS rho, CASE WHEN corr(rx, ry) > 0.5 THEN 'pass' WHEN corr(rx, ry) < 0 THEN 'refute' ELSE 'inconclusive' END AS outcome FROM m""",
 )
 def how_much(spark, d):
-    return _dose(spark, d).withColumn("rho", F.round("rho", 9))
+    return _dose(spark, d, _spikes(spark, d)).withColumn("rho", F.round("rho", 9))
 
 
-@query("peer_accounts", f"WITH {ACCOUNT}, f AS (SELECT * FROM account WHERE account_id IN (7, 77, 107)) SELECT account_id, region, segment FROM account WHERE (region, segment) IN (SELECT (region, segment) FROM f) AND account_id NOT IN (SELECT account_id FROM f)")
+@query("peer_accounts", f"WITH {_FOOTPRINT}, f AS (SELECT * FROM account WHERE account_id IN (SELECT account_id FROM effect) AND region <> 'ASIA') SELECT account_id, region, segment FROM account WHERE (region, segment) IN (SELECT (region, segment) FROM f) AND account_id NOT IN (SELECT account_id FROM f)")
 def peer_accounts(spark, d):
     a = accounts(spark, d)
-    return peers(a, a.where(F.col("account_id").isin(7, 77, 107))).select("account_id", "region", "segment")
+    return peers(a, settled(a.where("region <> 'ASIA'").join(_effect(spark, d), "account_id", "left_semi"))).select("account_id", "region", "segment")
 
 
-@query("region_peers", f"WITH {ACCOUNT} SELECT account_id FROM account WHERE region IN (SELECT region FROM account WHERE account_id IN (7, 77))")
+@query("region_peers", f"WITH {_SPIKE}, {ACCOUNT} SELECT account_id FROM account WHERE region IN (SELECT region FROM account WHERE account_id IN (SELECT account_id FROM spike WHERE ratio >= 6))")
 def same_region(spark, d):
     a = accounts(spark, d)
-    return region_peers(a, a.where(F.col("account_id").isin(7, 77))).select("account_id")
+    return region_peers(a, _spikes(spark, d).where("ratio >= 6")).select("account_id")
 
 
 def _matrix(spark, d):
     control = spark.range(1).select(F.lit("pass").alias("outcome"))
     drivers = spark.createDataFrame([("integration",), ("competitor",), ("pricing",), ("unseen",)], "driver string")
-    effect = accounts(spark, d).where("account_id BETWEEN 1 AND 60")
-    return matrix({"timing": _timing(spark, d), "locality": locality(_causes(spark, d), effect), "dose": _dose(spark, d)}, drivers, control)
+    spikes, effect = settled(_spikes(spark, d)), settled(_effect(spark, d))
+    return matrix({"timing": _timing(spark, d), "locality": locality(_causes(spark, d, spikes), effect), "dose": _dose(spark, d, spikes)}, drivers, control)
 
 
 _MATRIX = f"""{_LOCAL}, {_TIMING}, drv AS (SELECT unnest(['integration', 'competitor', 'pricing', 'unseen']) AS driver),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import dataclasses
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from tidemark.operators.conform import watermarks
 from tidemark.operators.scan import regions, summary, sweep
 from tidemark.operators.series import movement
-from tidemark.operators.verify import artefacts, completeness, drift, freshness, records, verify
+from tidemark.operators.verify import artefacts, completeness, drift, freshness, records, sparse, verify
 from tidemark.plans.panel import kpi_panel
 from tidemark.queries import ACCOUNT, SALES, query
 from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, accounts, model, table
@@ -89,17 +90,35 @@ def everything(spark, d):
     return out.select("region", F.round("value", 4).alias("value"), F.round("delta", 4).alias("delta"), "complete", "drifted", "artefact", "material", "passed", "ceiling")
 
 
+def _swept(spark, d):
+    m = dataclasses.replace(model(spark, d), views={"accounts_excluded": accounts(spark, d).where("segment = 'MACHINERY'").select("account_id")})
+    return sweep(m, [*CONTRACTS.values()], CURRENT, FIRST)
+
+
 @query("scan_status")
 def scan(spark, d):
-    """The sweep of five contracts over all regions, with a status for each slice."""
-    names = ["gross_sales", "net_sales", "discount_rate", "mean_quantity", "kept_share"]
-    return sweep(model(spark, d), [CONTRACTS[n] for n in names], CURRENT, FIRST).select("case_id", "kpi", "period", "region", F.round("delta", 6).alias("delta"), "status")
+    """The sweep of all contracts over all regions, with a status for each slice."""
+    return _swept(spark, d).select("case_id", "kpi", "period", "region", F.round("delta", 6).alias("delta"), "status")
 
 
 @query("scan_summary")
 def totals(spark, d):
-    names = ["gross_sales", "net_sales", "discount_rate"]
-    return summary(sweep(model(spark, d), [CONTRACTS[n] for n in names], CURRENT, FIRST))
+    return summary(_swept(spark, d))
+
+
+@query(
+    "sparse_baseline",
+    f"""WITH {SALES}, {ACCOUNT}, p AS (SELECT region, period, sum(amount_gross) AS v FROM sales JOIN account USING (account_id) WHERE period IN ('2001-06', '{CURRENT}') GROUP BY 1, 2),
+        m AS (SELECT region, sum(v) FILTER (WHERE period = '{CURRENT}') AS v1, sum(v) FILTER (WHERE period <> '{CURRENT}') AS v0 FROM p GROUP BY 1), r AS (SELECT *, (v1 - v0) / v0 AS rel FROM m),
+        e AS (SELECT a.region, any_value(a.v0) * (1 + median(b.rel)) AS expected, any_value(a.v1) AS v1, any_value(a.v1 - a.v0) AS delta FROM r a JOIN r b ON a.region <> b.region GROUP BY 1)
+        SELECT region, round(expected, 4) AS expected, round((v1 - expected) / expected, 8) AS surprise, abs((v1 - expected) / expected) >= 0.03 AND abs(delta) >= 1000 AS material, 'likely' AS ceiling FROM e""",
+)
+def young(spark, d):
+    """A contract whose history is a day short of two seasons takes its baseline from peers; one of exactly two doesn't."""
+    c = dataclasses.replace(CONTRACTS["gross_sales"], id="young_sales", history_start=date(1999, 8, 2))
+    assert sparse(c, CURRENT) and not sparse(dataclasses.replace(c, history_start=date(1999, 8, 1)), CURRENT)
+    out = verify(model(spark, d), c, ["region"], CURRENT, FIRST)
+    return out.select("region", F.round("expected", 4).alias("expected"), F.round("surprise", 8).alias("surprise"), "material", "ceiling")
 
 
 @query("regions_listed", "SELECT DISTINCT r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
