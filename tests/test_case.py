@@ -1,11 +1,17 @@
+import dataclasses
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.provider import CacheMiss, Replay, Stub, Usage
-from tidemark.operators.investigate import aliased, replayed, run_case
-from tidemark.plans.contract import contract_of
+from tidemark.operators.causes import Footprint
+from tidemark.operators.entitle import NotEntitled
+from tidemark.operators.evidence import EvidenceError
+from tidemark.operators.investigate import aliased, extracted, replayed, run_case, told
+from tidemark.operators.outcome import incoherent, menu, page, report, undecided
+from tidemark.operators.probes import evidence
+from tidemark.plans.contract import Access, Driver, Persona, contract_of
 from tidemark.plans.panel import Fact, Model
 from tidemark.sources.star import CONTRACTS, FIRST, model
 
@@ -31,7 +37,7 @@ def world(spark):
         "renewal": spark.createDataFrame([("A00", date(2024, 3, 20)), ("A01", date(2024, 3, 25))], "account_id string, closed_date date"),
         "price_book": spark.createDataFrame([("enterprise", date(2024, 2, 1))], "segment string, effective_from date"),
         "news_item": spark.createDataFrame([(datetime(2024, 2, 1), "Rival", "West")], "published_at timestamp_ntz, competitor string, region string"),
-        "incident": spark.createDataFrame([], "started_at timestamp_ntz"),
+        "incident": spark.createDataFrame([], "incident_id string, service string, started_at timestamp_ntz, resolved_at timestamp_ntz, severity string, affected_accounts string"),
     }
     contract = contract_of(
         {
@@ -65,6 +71,85 @@ def test_a_case_finds_its_cause(world):
     assert all(r.account.startswith("Account ") for r in aliased(case.footprint).collect())
 
 
+def test_what_probes_found_is_in_the_ledger(spark, world):
+    m, contract, tables = world
+    at = Footprint(spark.createDataFrame([("A00",), ("A01",)], "account_id string"), date(2024, 2, 1), date(2024, 3, 31))
+    got = {r.id: r for r in evidence(tables, [d for d in contract.drivers if d.probe], at).collect()}
+    assert got["ev-integration-A00"].supports == "integration" and "ev-pricing-smb" not in got
+    assert (got["ev-offer-lost_reason_scan"].outcome, got["ev-offer-lost_reason_scan"].coverage) == ("uncheckable", 0.0)
+    lost = spark.createDataFrame([("A00", 0, date(2024, 3, 5), "competitor_price"), ("A01", 0, date(2024, 3, 6), None), ("A01", 1, date(2024, 3, 6), None)], "account_id string, closed_won int, close_date date, lost_reason_code string")
+    more = tables | {
+        "opportunity": lost,
+        "price_book": spark.createDataFrame([("smb", date(2023, 1, 1)), ("smb", date(2024, 3, 1))], "segment string, effective_from date"),
+        "incident": spark.createDataFrame([("I1", "api", datetime(2024, 3, 1), datetime(2024, 3, 2), "high", "A09|A10")], "incident_id string, service string, started_at timestamp_ntz, resolved_at timestamp_ntz, severity string, affected_accounts string"),
+    }
+    got = {r.id: (r.outcome, r.supports, r.contradicts, r.strength, r.denominator) for r in evidence(more, [d for d in contract.drivers if d.probe], at).collect()}
+    assert got["ev-offer-lost_reason_code"] == ("found", "offer", None, 1.0, None)
+    assert got["ev-pricing-smb"] == ("found", "pricing", None, 0.8, None)
+    assert got["ev-supply-incident"] == ("checked_absent", None, "supply", 0.5, 1)
+    with pytest.raises(EvidenceError):
+        evidence(more, [Driver("x", probe="nothing")], at)
+
+
+def test_a_minor_price_cause_has_its_share(spark, world):
+    """One account's price falls a little beside the loss that a cause explains: support was found for it, though a test refutes it."""
+    m, contract, tables = world
+    bills = m.facts["invoice"].df.withColumn("product_id", F.lit("P")).withColumn("qty", F.lit(10.0))
+    priced = dataclasses.replace(m, facts={"invoice": Fact(bills, "invoice_date", "_ingested_at")})
+    tables = tables | {
+        "price_book": spark.createDataFrame([("smb", date(2024, 3, 1))], "segment string, effective_from date"),
+    }
+    case = run_case(priced, contract, "2024-03", {"region": "East"}, "2022-01", tables, provider=Stub({"hypotheses": [{"driver": "integration", "rationale": "tickets"}]}))
+    got = {r.driver: r for r in case.verdict.collect()}
+    assert got["pricing"].status == "minor" and got["pricing"].price_effect is not None
+    assert got["pricing"].share == pytest.approx(got["pricing"].price_effect / got["pricing"].total_delta)
+    assert case.hypotheses[0]["rationale"] == "tickets" and {r.stage for r in case.telemetry.collect()} == {"verify", "decompose", "hypothesise", "probe", "extract", "challenge", "adjudicate"}
+    odd = run_case(priced, contract, "2024-03", {"region": "East"}, "2022-01", tables, provider=Stub({"hypotheses": [{"driver": "sunspots"}]}))
+    assert odd.hypotheses[-1]["driver"] == "unmodelled" and {r.confidence for r in odd.verdict.collect()} == {"undetermined"}
+
+
+def test_a_case_is_told_by_what_a_viewer_may_see(world):
+    m, contract, tables = world
+    access = {"row": {"region": {"cfo": ["*"], "lead": ["own_region"]}}, "column": {"account_name": ["cfo"], "amount_net": ["cfo"]}, "domain": {"segment": {"lead": ["mid"]}}}
+    open_to = dataclasses.replace(contract, access=Access(**access))
+    case = run_case(m, open_to, "2024-03", {"region": "East"}, "2022-01", tables)
+    cfo, lead, west = Persona("c", "cfo"), Persona("l", "lead", "Lead", "East"), Persona("w", "lead", "Lead", "West")
+    sections, nodes, said = told(case, open_to, cfo, {"region": "East"}, "2024-03", accounts=m.accounts, domain="segment")
+    assert "A00" in sections["action"] and said.startswith("No redactions") and nodes.where("dimension = 'account_id'").count() > 2
+    sections, nodes, said = told(case, open_to, lead, {"region": "East"}, "2024-03", Stub({"headline": "{kpi} lost {delta} in {period}", "explanation": "It lost 1700."}), accounts=m.accounts, domain="segment")
+    assert "A00" not in sections["action"] and sections["headline"] == "Revenue lost −under ₹1 Cr in 2024-03" and "1700" not in sections["explanation"]
+    assert "segment" in said and "account_name" in said and "amount_net" in said
+    assert [r.key for r in nodes.where("dimension = 'account_id'").collect()] and "restricted" in nodes.where("dimension = 'account_id'").first().key
+    with pytest.raises(NotEntitled):
+        told(case, open_to, west, {"region": "East"}, "2024-03")
+
+
+def test_quotes_that_arent_in_their_document_are_dropped(spark, world):
+    m, contract, tables = world
+    tickets = spark.createDataFrame([("T1", "A00", datetime(2024, 3, 2), "Integration", "the integration  is late again"), ("T2", "A01", datetime(2024, 3, 3), "Other", "integration works")], "ticket_id string, account_id string, created_at timestamp_ntz, subject string, body_text string")
+    more = {"ticket": tickets, "ticket_message": spark.createDataFrame([], "message_id string, ticket_id string, author_user_id string, created_at timestamp_ntz, body_text string")}
+    at = Footprint(spark.createDataFrame([("A00",), ("A01",)], "account_id string"), date(2024, 2, 1), date(2024, 3, 31))
+    said = Stub({"claims": [{"doc_id": "T1", "quote": "integration is late"}, {"doc_id": "T2", "quote": "is late"}, {"doc_id": "T9", "quote": "x"}]})
+    found, used = extracted(more, [Driver("integration", evidence_sources=("tickets",), max_lag_days=45)], at, said)
+    assert found == [("ev-integration-doc-001", "integration", "T1", "integration is late")] and len(used) == 1
+
+
+def test_pages_say_what_keeps_a_case_open():
+    case = {"kpi": "net_sales", "period": "2024-03", "delta": -2.5e7, "relative": -0.08, "confidence": "contested", "causes": [{"driver": "price_change", "status": "unresolved", "share": 0.4, "timing": "pass", "locality": "inconclusive"}, {"driver": "b", "status": "eliminated", "timing": "refute"}]}
+    c = contract_of({"id": "net_sales", "formula": "SUM(a.x)", "materiality": {"relative": 0.1, "absolute": 1}, "access": {"column": {"amount_net": ["cfo"]}}})
+    assert undecided(case) == "price change: the test of locality could not decide" and undecided(case | {"confidence": "likely"}) == ""
+    assert menu(case, c, Persona("c", "cfo"))["delta"] == "−₹2.5 Cr" and menu(case, c, Persona("v", "vp"))["delta"] == "−₹1–5 Cr"
+    assert page(case, c, Persona("c", "cfo"), {}, set())["explanation"].endswith("Not decided: price change: the test of locality could not decide.")
+
+
+def test_verdicts_that_contradict_themselves(spark):
+    rows = [("a", "likely", "primary"), ("b", "likely", "eliminated"), ("c", "contested", "primary"), ("d", "undetermined", "unresolved"), ("e", "undetermined", "unresolved")]
+    df = spark.createDataFrame(rows, "case_id string, confidence string, status string")
+    assert {r.case_id for r in incoherent(df).collect()} == {"b", "c"}
+    assert {r.case_id for r in incoherent(df, df.where("case_id = 'e'")).collect()} == {"b", "c", "d"}
+    assert "verdict likely" in report({"case_id": "x", "kpi": "k", "period": "p", "delta": 1.0, "relative": 0.1, "confidence": "likely", "priority": 2.0, "causes": [{"status": "primary", "driver": "d", "share": 0.5}]})
+
+
 def test_a_case_without_a_movement_closes(world):
     m, contract, tables = world
     case = run_case(m, contract, "2024-02", {"region": "East"}, "2022-01", tables)

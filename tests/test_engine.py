@@ -4,7 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import band, minutes_crossed, quotes, scrubbed, tokens
+from tidemark.functions.columns import band, crore, minutes_crossed, percent, quotes, scrubbed, tokens
 from tidemark.operators.challenge import locality, timing
 from tidemark.operators.conform import ConformanceError, conform_keys, fiscal_calendar, flag_tests
 from tidemark.operators.decompose import contributions, covering, tree
@@ -155,6 +155,8 @@ def test_covering_keys_in_steps(spark):
 
 def test_columns(spark):
     assert values(spark, lambda x: band(x.cast("double")), "0", "-12000000", "49999999", "50000000", "250000000", "-1e9", None) == ["under ₹1 Cr", "−₹1–5 Cr", "₹1–5 Cr", "₹5–25 Cr", "₹25–100 Cr", "−over ₹100 Cr", None]
+    assert values(spark, lambda x: crore(x.cast("double")), "-26642279", "0", None) == ["−₹2.7 Cr", "₹0.0 Cr", None]
+    assert values(spark, lambda x: percent(x.cast("double")), "-0.0814", "0.5") == ["−8.1%", "50.0%"] and values(spark, lambda x: percent(x.cast("double"), 0), "0.256") == ["26%"]
     assert values(spark, tokens, "The competitors' stories, running deferred; it is 24/7 classes", None) == [["competitors'", "story", "run", "defer", "24", "7", "class"], []]
     assert values(spark, lambda x: scrubbed(x, ["Acme", "Acme Corp (EU)"]), "acme corp (eu) and ACME paid 1,200.50 or 54321 in 2026-04") == ["[restricted] and [restricted] paid [amount restricted] or [amount restricted] in 2026-04"]
     assert values(spark, lambda x: quotes(x, F.lit(" two  words ")), "has two\n words", "has twowords", None) == [True, False, None]

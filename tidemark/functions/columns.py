@@ -35,10 +35,10 @@ def alias(account_id: Column) -> Column:
 
 
 def scrubbed(text: Column, names: list[str], name_marker: str = "[restricted]", money_marker: str = "[amount restricted]") -> Column:
-    """Prose without restricted names, in any case, longest first, and without amounts."""
-    for name in sorted(names, key=lambda n: (-len(n), n)):
-        quoted = "(?i)" + "".join(c if c.isalnum() else ("\\" + c if c.isascii() else c) for c in name)
-        text = F.regexp_replace(text, F.lit(quoted), F.lit(name_marker))
+    """Prose without restricted names, in any case, longest first, and without amounts: one pass each."""
+    if names:
+        quoted = ("".join(c if c.isalnum() else ("\\" + c if c.isascii() else c) for c in n) for n in sorted(names, key=lambda n: (-len(n), n)))
+        text = F.regexp_replace(text, F.lit(f"(?i)(?:{'|'.join(quoted)})"), F.lit(name_marker))
     return F.regexp_replace(text, F.lit(MONEY), F.lit(money_marker))
 
 
@@ -76,9 +76,13 @@ def minutes_crossed(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MINUTE", F.date_trunc("MINUTE", start), F.date_trunc("MINUTE", end))
 
 
+def _formatted(value: Column, pattern: str) -> Column:
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def crore(amount: Column) -> Column:
-    return F.concat(F.when(amount < 0, F.lit("−")).otherwise(F.lit("")), F.lit("₹"), F.format_number(F.abs(amount) / CRORE, "0.0"), F.lit(" Cr"))
+    return F.concat(F.when(amount < 0, F.lit("−")).otherwise(F.lit("")), F.lit("₹"), _formatted(F.abs(amount) / CRORE, "0.0"), F.lit(" Cr"))
 
 
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.concat(F.when(value < 0, F.lit("−")).otherwise(F.lit("")), F.format_number(F.abs(value) * 100, "0." + "0" * digits if digits else "0"), F.lit("%"))
+    return F.concat(F.when(value < 0, F.lit("−")).otherwise(F.lit("")), _formatted(F.abs(value) * 100, "0." + "0" * digits if digits else "0"), F.lit("%"))

@@ -88,6 +88,12 @@ class Contract:
     seasonal_period_days: int = 365
     source: str = ""
     cadence: str = "daily"
+    definition: str = ""
+    unit: str = ""
+    direction: str = "up_is_good"
+    grain: tuple[str, ...] = ()
+    calendar: str = ""
+    lineage_of: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def parsed(self) -> Formula:
@@ -158,9 +164,39 @@ def _built(kind: type, raw: dict[str, Any] | None, source: str) -> Any:
         raise ContractError(source, [str(e)]) from e
 
 
-def contract_of(raw: dict[str, Any], source: str = "contract") -> Contract:
-    """A contract from plain values; unknown keys are errors."""
+def _plain(raw: dict[str, Any], source: str) -> dict[str, Any]:
+    """The vocabulary of contract files in that of Contract: refresh, data_quality, decomposition_dims, probe_sql, edges and parts of lineage."""
     raw = dict(raw)
+    both = [f"{a} and {b} say the same" for a, b in (("quality", "data_quality"), ("dimensions", "decomposition_dims")) if a in raw and b in raw]
+    if both:
+        raise ContractError(source, both)
+    refresh = dict(raw.pop("refresh", {}))
+    quality = dict(raw.pop("data_quality", raw.get("quality", {})))
+    if "sla_hours" in refresh:
+        quality["sla_hours"] = refresh.pop("sla_hours")
+    raw["quality"] = quality
+    if unknown := sorted(set(refresh) - {"source", "cadence"}):
+        raise ContractError(source, [f"unknown key {k!r} in refresh" for k in unknown])
+    raw |= refresh
+    raw["dimensions"] = raw.pop("decomposition_dims", raw.get("dimensions", ()))
+    raw["composition"] = [c["kpi"] if isinstance(c, dict) else c for c in raw.get("composition") or ()]
+    drivers = []
+    for d in raw.get("drivers") or ():
+        d = dict(d)
+        if d.get("probe_sql"):
+            d["probe"] = Path(d["probe_sql"]).stem
+        d.pop("probe_sql", None)
+        drivers.append(d)
+    raw["drivers"] = drivers
+    if isinstance(lineage := raw.get("lineage"), dict):
+        raw["lineage_of"] = {k: tuple(v) for k, v in lineage.items()}
+        raw["lineage"] = [line for k in ("upstream", "joins") for line in lineage.get(k, ())]
+    return raw
+
+
+def contract_of(raw: dict[str, Any], source: str = "contract") -> Contract:
+    """A contract from plain values, as they stand in a contract file or named as Contract's fields are; unknown keys are errors."""
+    raw = _plain(raw, source)
     raw["materiality"] = _built(Materiality, raw.get("materiality"), source)
     raw["quality"] = _built(Quality, raw.get("quality"), source)
     raw["access"] = _built(Access, raw.get("access"), source)
@@ -171,7 +207,7 @@ def contract_of(raw: dict[str, Any], source: str = "contract") -> Contract:
         lever = lever and _built(Lever, lever | {"save_rate": tuple(lever.get("save_rate", (0.0, 1.0)))}, source)
         drivers.append(_built(Driver, d | {"lever": lever, "evidence_sources": tuple(d.get("evidence_sources", ()))}, source))
     raw["drivers"] = tuple(drivers)
-    for name in ("filters", "dimensions", "composition", "lineage"):
+    for name in ("filters", "dimensions", "composition", "lineage", "grain"):
         raw[name] = tuple(raw.get(name, ()))
     if "history_start" in raw:
         raw["history_start"] = _day(raw["history_start"])
