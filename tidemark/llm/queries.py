@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.dedup_stream import exact_groups
 from tidemark.llm.language import identify
@@ -62,6 +63,28 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the mix has no chance in it."""
+    return op2_pivotal_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' counts without the tokeniser's."""
+    return op8_tokeniser_fertility_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of each base kind a text has."""
+    return op3_pii_anchor_expansion(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's pieces hold each of its ids once, and no sequence is over its bound: the arithmetic of packing."""
+    p = op1_harmonic_packing(spark, sf_dir)
+    each = p.groupBy("doc_id").agg((F.sum("length") == F.first("doc_tokens")).alias("whole"), (F.sum(F.col("start") + F.col("length")) - F.sum("start") == F.max("doc_tokens")).alias("gapless"))
+    return each.select("doc_id", (F.col("whole") & F.col("gapless")).alias("whole"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -73,9 +96,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
     "op9_separator_scan": op9_separator_scan,
     "op10_ppm_scoring": op10_ppm_scoring,
+    "mix_targets": mix_targets,
+    "rules_base": rules_base,
+    "pii_base": pii_base,
+    "packed_tokens": packed_tokens,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[length(d) + 1 - i] AS INTEGER) ELSE CAST(d[length(d) + 1 - i] AS INTEGER) * 2 - CASE WHEN d[length(d) + 1 - i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+
 ORACLES: dict[str, str] = {
+    # caps are three times a source's size; a source at its cap leaves its share to the others, by weight, until none is above: as many rounds as sources at most
+    "mix_targets": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, length({_WORDS}) AS size FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight FROM d GROUP BY 1),
+             o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source IS NULL, source) AS r, sum(source_size) OVER () AS total FROM s),
+             l AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER (ORDER BY r DESC)) AS level FROM o),
+             f AS (SELECT min(r) AS r FROM l WHERE level * weight <= 3 * source_size),
+             t AS (SELECT source, source_size, least(3.0 * source_size, weight * coalesce((SELECT level FROM l JOIN f USING (r)), 1e300)) AS target FROM l)
+        SELECT doc_id, size, source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+    "rules_base": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+             g AS (SELECT k, i, list_aggregate(w[i:i + 4], 'string_agg', chr(10)) AS g FROM (SELECT k, w, unnest(range(1, greatest(length(w) - 3, 1))) AS i FROM d)),
+             c AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g),
+             r AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY 1),
+             b AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+        SELECT doc_id, length(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+               coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * length(w) AS base_failed
+        FROM d LEFT JOIN b USING (k) LEFT JOIN r USING (k)""",
+    "pii_base": f"""
+        WITH f AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS ip,
+                          regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+') AS card, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM f),
+             e AS (SELECT doc_id, email, list_filter(ip, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda p: length(ltrim(p, '0')) < 4 AND CAST('0' || right(p, 3) AS INTEGER) <= 255))) AS ip,
+                          list_filter(list_transform(card, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 14 AND 19 AND {_LUHN}) AS card,
+                          list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15) AS phone FROM m)
+        SELECT doc_id, length(email) AS n_email, length(ip) AS n_ip, length(card) AS n_card, length(phone) AS n_phone FROM e""",
+    "packed_tokens": "SELECT doc_id, true AS whole FROM documents",
     "op4_streaming_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
