@@ -262,6 +262,8 @@ def test_files(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect() * 2))
     rewrite_csv(back.where("k = 'a'").withColumn("v", F.lit(2)), path)
     assert [r.v for r in read_csv(spark, path, schema).collect()] == [2, 2]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a replacement that broke off
+    assert [r.v for r in read_csv(spark, path, schema).collect()] == [2, 2] and not (tmp_path / "t.old").exists()
     assert digest(df).first() == digest(df.orderBy("k")).first() != digest(read_csv(spark, path, schema)).first()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.raw import exists
+from tidemark.sources.raw import exists, replaced
 
 
 def latest(versions: DataFrame) -> DataFrame:
@@ -35,11 +35,8 @@ class CaseStore:
 
     def compact(self) -> None:
         """Leaves one version of each case: written beside the folder first, then swapped."""
-        of = self.spark._jvm.org.apache.hadoop.fs.Path
-        latest(self.spark.read.parquet(self.path)).write.mode("overwrite").parquet(f"{self.path}.new")
-        fs = of(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(of(self.path), True)
-        fs.rename(of(f"{self.path}.new"), of(self.path))
+        latest(self.spark.read.option("mergeSchema", "true").parquet(self.path)).write.mode("overwrite").parquet(f"{self.path}.new")
+        replaced(self.spark, self.path)
 
 
 def rollup(cases: DataFrame) -> DataFrame:

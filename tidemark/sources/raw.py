@@ -43,9 +43,27 @@ INGESTED = {
 }
 
 
+def _files(spark: SparkSession, path: str):
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of, of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    """Whether there is something at path; where a replacement broke off between its two renames, the old folder is put back first."""
+    of, fs = _files(spark, path)
+    if not fs.exists(of(path)) and fs.exists(of(f"{path}.old")):
+        fs.rename(of(f"{path}.old"), of(path))
+    return fs.exists(of(path))
+
+
+def replaced(spark: SparkSession, path: str) -> None:
+    """Puts the folder path.new in the place of path. At each moment one of the two is whole under path or path.old."""
+    of, fs = _files(spark, path)
+    if exists(spark, path):
+        fs.delete(of(f"{path}.old"), True)
+        fs.rename(of(path), of(f"{path}.old"))
+    fs.rename(of(f"{path}.new"), of(path))
+    fs.delete(of(f"{path}.old"), True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -65,12 +83,8 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 def rewrite_csv(df: DataFrame, path: str) -> None:
     """Replaces a CSV folder by rows that may come from it: written beside it first, then swapped."""
-    spark, beside = df.sparkSession, f"{path}.new"
-    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(beside)
-    of = spark._jvm.org.apache.hadoop.fs.Path
-    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(of(path), True)
-    fs.rename(of(beside), of(path))
+    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{path}.new")
+    replaced(df.sparkSession, path)
 
 
 def digest(df: DataFrame) -> DataFrame:
