@@ -12,7 +12,7 @@ from tidemark.operators.series import decomposed, material, movement, peer_expec
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import parse
 from tidemark.plans.gathered import gathered
-from tidemark.plans.panel import Model, Terms, joined, kpi_panel, term_panel, valued, with_spine
+from tidemark.plans.panel import Model, Terms, _months_between, joined, kpi_panel, term_panel, valued
 from tidemark.sources.scratch import settled
 
 HISTORY = 36
@@ -140,10 +140,10 @@ def verify_all(model: Model, contracts: list[Contract], dims: list[str], period:
     rules, slices = F.broadcast(_rules(spark, contracts, len(dims), period)), ["kpi", *dims]  # a row a contract
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
     named = lambda df, c: df.withColumn("kpi", F.lit(c.id))
-    terms = {c.id: found.terms(c) for c in contracts}
-    values = union([named(kpi_panel(model, c, dims, terms=terms[c.id]).select("period", *dims, "value"), c) for c in contracts])
-    panel = with_spine(values, slices, first, period, None).join(rules, "kpi").withColumn("value", F.coalesce("value", "_empty"))
-    panel = settled(panel)
+    values = found.panels(contracts)
+    months = F.explode(F.array(*(F.lit(m) for m in _months_between(first, period))))
+    panel = joined(values.select(*slices).distinct().withColumn("period", months), values, [*slices, "period"])  # as many rows as a full panel
+    panel = settled(panel.join(rules, "kpi").withColumn("value", F.coalesce("value", "_empty")))
     out = _material(panel, slices, period)
     if any(len(dims) == 1 and sparse(c, period) for c in contracts):
         peers = peer_expectation(movement(panel.where("_borrowed"), slices), dims[0], period, by=["kpi"])
@@ -151,21 +151,19 @@ def verify_all(model: Model, contracts: list[Contract], dims: list[str], period:
         out = out.withColumn("material", F.when(F.col("_borrowed"), F.coalesce("_of_peers", F.lit(False))).otherwise(F.col("material"))).drop("_of_peers")
     else:
         out = out.withColumn("expected", F.lit(None).cast("double")).withColumn("surprise", F.lit(None).cast("double"))
-    additive = [c for c in contracts if c.parsed.is_additive]
-    of = union([named(found.records(c), c) for c in additive]) if additive else values.where("false").select("period", *slices, F.col("value").alias("largest"), F.col("value").alias("slipped"))
-    out = artefacts(out, of, slices, F.col("_share"))
+    out = artefacts(out.drop("largest", "slipped"), panel.where("largest IS NOT NULL"), slices, F.col("_share"))
     redefined = [c for c in contracts if len({e.formula for e in c.epochs}) > 1]
     if redefined:
-        out = joined(out, union([named(drift(model, c, dims, terms[c.id]), c) for c in redefined]), ["period", *slices])
+        out = joined(out, union([named(drift(model, c, dims, found.terms(c)), c) for c in redefined]), ["period", *slices])
     else:
         out = out.withColumn("earlier_relative", F.lit(None).cast("double")).withColumn("drifted", F.lit(False))
     out = out.withColumn("drifted", F.coalesce("drifted", F.lit(False)))
-    measured = {c.id: full for c in contracts if (full := found.completeness(c)) is not None}
-    if measured:
-        full = union([named(measured[c.id], c) for c in contracts if c.id in measured]).select("period", "kpi", F.col("share").alias("complete_share"), "complete")
-        out = out.join(full, ["period", "kpi"], "left").withColumn("complete", F.coalesce("complete", ~F.col("kpi").isin(*measured)))
-    else:
+    full = found.completenesses(contracts)
+    if full is None:
         out = out.withColumn("complete_share", F.lit(None).cast("double")).withColumn("complete", F.lit(True))
+    else:
+        unmeasured = [c.id for c in contracts if not found.measured(c)]
+        out = out.join(full, ["period", "kpi"], "left").withColumn("complete", F.coalesce("complete", F.col("kpi").isin(unmeasured) if unmeasured else F.lit(False)))
     out = out.withColumn("passed", (F.col("status") == "ok") & F.col("complete") & ~F.col("drifted") & ~F.col("artefact") & F.col("material"))
     stale = F.lit(False)
     if marks is not None:

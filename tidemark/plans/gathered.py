@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import Formula, Term, parse
-from tidemark.plans.panel import Model, Terms, _filters, _to_be_joined, labelled, scoped
+from tidemark.plans.panel import Model, Terms, _filters, _to_be_joined, bounds, in_force, labelled, scoped, valued
 
 #: Days after a period in which its records may still come in, beyond the agreed hours.
 GRACE_DAYS, LATE_DAYS = 1, 2
@@ -27,6 +27,7 @@ class Base:
 
     table: str
     subqueries: tuple[str, ...] = ()
+    medians: bool = False  # apart, as they keep all values and would slow down the sums beside them
 
 
 class Gathered:
@@ -40,7 +41,7 @@ class Gathered:
         for c in contracts:
             for t in dict.fromkeys(t for f in definitions(c) for t in f.terms):
                 self._term(c, t)
-            for name, _ in self._measured(c):
+            for name, _ in self.measured(c):
                 self._late(c, name)
         parts = [self._grouped(b) for b in self.columns]
         self.rows = parts[0]
@@ -72,7 +73,8 @@ class Gathered:
         if term.aggregate == "AVG":
             out |= {"sum": self._ask(base, ("sum", term.inner, condition), F.sum(F.when(when, inner)), "sum"), "n": self._ask(base, ("n", term.inner, condition), F.count(F.when(when, inner)), "sum")}
         else:
-            out["value"] = self._ask(base, (term.sql, condition), F.expr(term.sql + only).cast("double"), "none" if term.aggregate == "MEDIAN" else "sum")
+            of = replace(base, medians=True) if term.aggregate == "MEDIAN" else base
+            out["value"] = self._ask(of, (term.sql, condition), F.expr(term.sql + only).cast("double"), "none" if term.aggregate == "MEDIAN" else "sum")
         out["largest"] = self._ask(base, ("largest", term.aggregate == "COUNT", term.inner, condition), F.max(F.when(when, size)), "max")
         came = self.model.facts[term.table].ingested
         if came:
@@ -81,7 +83,7 @@ class Gathered:
             out["slipped"] = self._ask(base, ("slipped", term.aggregate == "COUNT", term.inner, condition), F.sum(F.when(late, size)), "sum")
         return out
 
-    def _measured(self, contract: Contract) -> list[tuple[str, str]]:
+    def measured(self, contract: Contract) -> list[tuple[str, str]]:
         """The numerator's tables that say when rows came in, and where they say it."""
         tables = dict.fromkeys(t.table for t in contract.parsed.numerator)
         return [(t, self.model.facts[t].ingested) for t in tables if self.model.facts[t].ingested]
@@ -105,13 +107,50 @@ class Gathered:
             return labelled(wide.groupBy(*keys).agg(*((F.max if merge == "max" else F.sum)(name).alias(name) for name, _, merge in asked)))
         return labelled(scoped(self.model, base.table, [*base.subqueries], self.dims, months=self.months, known=_KNOWN).groupBy(*keys).agg(*first))
 
-    def _there(self, contract: Contract, formulas: list[Formula]) -> DataFrame:
-        """The slices and periods in which a table of the formulas has a row that counts."""
-        counts = {self._term(contract, t)["there"] for f in formulas for t in f.terms}
+    def _some(self, contract: Contract, formulas: list[Formula]) -> Column:
+        """Whether a table of the formulas has a row that counts, in a slice and period."""
         some = F.lit(False)
-        for c in sorted(counts):
+        for c in sorted({self._term(contract, t)["there"] for f in formulas for t in f.terms}):
             some = some | (F.coalesce(c, F.lit(0)) > 0)
-        return self.rows.where(F.col(_KNOWN) & some)
+        return some
+
+    def _there(self, contract: Contract, formulas: list[Formula]) -> DataFrame:
+        return self.rows.where(F.col(_KNOWN) & self._some(contract, formulas))
+
+    def _value(self, contract: Contract, term: Term) -> Column:
+        c = self._term(contract, term)
+        return F.col(c["value"]) if "value" in c else F.try_divide(F.col(c["sum"]), F.nullif(F.col(c["n"]).cast("double"), F.lit(0.0)))
+
+    def _records(self, contract: Contract) -> tuple[Column, Column]:
+        columns = [self._term(contract, t) for t in contract.parsed.terms]
+        largest = [F.col(c["largest"]) for c in columns]
+        slipped = sum((F.coalesce(c["slipped"], F.lit(0.0)) for c in columns if "slipped" in c), F.lit(0.0))
+        return F.greatest(*largest) if len(largest) > 1 else largest[0], slipped
+
+    def panels(self, contracts: list[Contract]) -> DataFrame:
+        """kpi, period, the slice, value under the definition in force, largest and slipped (null unless additive) of all contracts, in one pass over the rows."""
+        each = []
+        for c in contracts:
+            formulas = {f.text: f for f in definitions(c)}
+            epochs = sorted(c.epochs, key=lambda e: e.effective_from)
+            values = {t: valued(f, {x.key: self._value(c, x) for x in f.terms}) for t, f in formulas.items()}
+            value = in_force(epochs, epochs[0].formula if epochs else c.formula, values, bounds(F.col("period"))[1])[2]
+            used = [formulas[t] for t in dict.fromkeys(e.formula for e in epochs)] or [formulas[c.formula]]
+            largest, slipped = self._records(c) if c.parsed.is_additive else (F.lit(None), F.lit(None))
+            each.append(F.struct(F.lit(c.id).alias("kpi"), self._some(c, used).alias("_some"), value.alias("value"), largest.cast("double").alias("largest"), slipped.cast("double").alias("slipped")))
+        return self.rows.where(_KNOWN).select("period", *self.dims, F.inline(F.array(*each))).where("_some").drop("_some")
+
+    def completenesses(self, contracts: list[Contract]) -> DataFrame | None:
+        """kpi, period, complete_share and complete of the contracts that are measured, in one pass over the rows; None without any."""
+        pairs = {c.id: [self._late(c, t) for t, _ in self.measured(c)] for c in contracts}
+        columns = sorted({n for of in pairs.values() for p in of for n in p})
+        if not columns:
+            return None
+        sums = self.rows.groupBy("period").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in columns))
+        added = lambda c, i: sum((F.col(p[i]) for p in pairs[c.id]), F.lit(0))
+        each = [F.struct(F.lit(c.id).alias("kpi"), F.try_divide(added(c, 1).cast("double"), F.nullif(added(c, 0).cast("double"), F.lit(0.0))).alias("complete_share"), F.lit(c.quality.min_completeness).alias("_least")) for c in contracts if pairs[c.id]]
+        out = sums.select("period", F.inline(F.array(*each))).where("complete_share IS NOT NULL")
+        return out.withColumn("complete", F.col("complete_share") >= F.col("_least")).drop("_least")
 
     def terms(self, contract: Contract, formulas: list[Formula] | None = None) -> Terms:
         """As term_panel(), of all formulas of a contract or of those that are given."""
@@ -119,24 +158,20 @@ class Gathered:
         names, out = {}, {}
         for i, t in enumerate(dict.fromkeys(t for f in formulas for t in f.terms)):
             if t.key not in names:
-                c = self._term(contract, t)
                 names[t.key] = f"t{i}"
-                out[f"t{i}"] = F.col(c["value"]) if "value" in c else F.try_divide(F.col(c["sum"]), F.nullif(F.col(c["n"]).cast("double"), F.lit(0.0)))
+                out[f"t{i}"] = self._value(contract, t)
         return self._there(contract, formulas).select("period", *self.dims, *(v.alias(n) for n, v in out.items())), names
 
     def records(self, contract: Contract) -> DataFrame:
         """period, the slice, largest and slipped, for contracts that add up over their records."""
-        formula = contract.parsed
-        if not formula.is_additive:
+        if not contract.parsed.is_additive:
             raise ValueError(f"{contract.id} doesn't add up over its records")
-        columns = [self._term(contract, t) for t in formula.terms]
-        largest = [F.col(c["largest"]) for c in columns]
-        slipped = sum((F.coalesce(c["slipped"], F.lit(0.0)) for c in columns if "slipped" in c), F.lit(0.0))
-        return self._there(contract, [formula]).select("period", *self.dims, (F.greatest(*largest) if len(largest) > 1 else largest[0]).alias("largest"), slipped.alias("slipped"))
+        largest, slipped = self._records(contract)
+        return self._there(contract, [contract.parsed]).select("period", *self.dims, largest.alias("largest"), slipped.alias("slipped"))
 
     def completeness(self, contract: Contract) -> DataFrame | None:
         """period, n_rows, on_time, share, complete; None if no table says when its rows came in. Neither filters nor slices apply."""
-        pairs = [self._late(contract, t) for t, _ in self._measured(contract)]
+        pairs = [self._late(contract, t) for t, _ in self.measured(contract)]
         if not pairs:
             return None
         added = [sum((F.coalesce(F.sum(p[i]), F.lit(0)) for p in pairs), F.lit(0)).cast("long") for i in (0, 1)]

@@ -155,14 +155,14 @@ def term_panel(model: Model, contract: Contract, formulas: list[Formula], dims:
     return panel, {t.key: f"t{i}" for i, t in enumerate(distinct)}
 
 
-def _side(terms: tuple[Term, ...], names: dict[tuple, str]) -> Column:
+def _side(terms: tuple[Term, ...], names: dict[tuple, str | Column]) -> Column:
     total = F.lit(0.0)
     for t in terms:
-        total = total + F.lit(float(t.sign)) * F.coalesce(F.col(names[t.key]), F.lit(0.0))
+        total = total + F.lit(float(t.sign)) * F.coalesce(names[t.key], F.lit(0.0))
     return total
 
 
-def valued(formula: Formula, names: dict[tuple, str]) -> tuple[Column, Column, Column]:
+def valued(formula: Formula, names: dict[tuple, str | Column]) -> tuple[Column, Column, Column]:
     """num, den and value: an empty sum is 0, a ratio over 0 is null."""
     num = _side(formula.numerator, names)
     if not formula.denominator:
@@ -185,18 +185,20 @@ def kpi_panel(model: Model, contract: Contract, dims: list[str] | None = None, f
     formulas = {t: parse(t, frozenset(model.facts)) for t in texts}
     panel, names = terms or term_panel(model, contract, list(formulas.values()), dims, fiscal)
     columns = {t: valued(f, names) for t, f in formulas.items()}
-    chosen = [columns[texts[0]][i] for i in range(3)]
-    if epochs:
-        if fiscal:
-            ends = model.calendar.groupBy(F.col("period_label").alias("period")).agg(F.max("day").alias("_end"))
-            panel = panel.join(ends, "period")
-            end = F.col("_end")
-        else:
-            end = bounds(F.col("period"))[1]
-        for i in range(3):
-            for e in epochs[1:]:
-                chosen[i] = F.when(end >= F.lit(e.effective_from), columns[e.formula][i]).otherwise(chosen[i])
-    return panel.select("period", *dims, chosen[0].alias("num"), chosen[1].alias("den"), chosen[2].alias("value"))
+    end = bounds(F.col("period"))[1]
+    if epochs and fiscal:
+        ends = model.calendar.groupBy(F.col("period_label").alias("period")).agg(F.max("day").alias("_end"))
+        panel, end = panel.join(ends, "period"), F.col("_end")
+    num, den, value = in_force(epochs, texts[0], columns, end)
+    return panel.select("period", *dims, num.alias("num"), den.alias("den"), value.alias("value"))
+
+
+def in_force(epochs: list, first: str, columns: dict[str, tuple[Column, Column, Column]], end: Column) -> list[Column]:
+    """num, den and value under the definition in force at a period's end: columns by formula, the first one's before any epoch."""
+    chosen = list(columns[first])
+    for e in epochs[1:]:
+        chosen = [F.when(end >= F.lit(e.effective_from), now).otherwise(before) for now, before in zip(columns[e.formula], chosen, strict=True)]
+    return chosen
 
 
 def months(spark, first: str, last: str) -> DataFrame:
