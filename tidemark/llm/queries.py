@@ -115,7 +115,7 @@ ORACLES: dict[str, str] = {
              f AS (SELECT min(r) AS r FROM l WHERE level * weight <= 3 * source_size),
              t AS (SELECT source, source_size, least(3.0 * source_size, weight * coalesce((SELECT level FROM l JOIN f USING (r)), 1e300)) AS target FROM l)
         SELECT doc_id, size, source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
-    "rules_base": f"""
+    "rules_base": rf"""
         WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
              g AS (SELECT k, i, list_aggregate(w[i:i + 4], 'string_agg', chr(10)) AS g FROM (SELECT k, w, unnest(range(1, greatest(length(w) - 3, 1))) AS i FROM d)),
              c AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g),
@@ -124,7 +124,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, length(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
                coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * length(w) AS base_failed
         FROM d LEFT JOIN b USING (k) LEFT JOIN r USING (k)""",
-    "pii_base": f"""
+    "pii_base": rf"""
         WITH f AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
              m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS ip,
                           regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+') AS card, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM f),
