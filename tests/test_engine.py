@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import band, crore, minutes_crossed, percent, quotes, scrubbed, tokens
 from tidemark.operators.challenge import locality, timing
 from tidemark.operators.conform import ConformanceError, conform_keys, fiscal_calendar, flag_tests
-from tidemark.operators.decompose import contributions, covering, tree
+from tidemark.operators.decompose import contributions, covering, pair, tree
 from tidemark.operators.entitle import NotEntitled, allowed, check_case, masked, statement
 from tidemark.operators.evidence import EvidenceError, broken, probe
 from tidemark.operators.feedback import enumerated, promoted
@@ -135,7 +135,7 @@ def test_a_sweep_is_saved(spark, sf, tmp_path):
 
 
 def test_periods_reach_the_scan(spark, sf):
-    plan = contributions(model(spark, sf), CONTRACTS["net_sales"], ["region"], CURRENT, "2001-06")._jdf.queryExecution().executedPlan().toString()
+    plan = pair(model(spark, sf), CONTRACTS["net_sales"], ["region"], CURRENT, "2001-06")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate,2001-06-01T00:00)" in plan
 
 
