@@ -1,4 +1,8 @@
-"""A corpus from documents to training sequences: rules, exact and near duplicates, mixing, packing."""
+"""A corpus from documents to training sequences: rules, exact and near duplicates, mixing, packing.
+
+Every stage takes a null text as the empty one, keeps all columns whatever they are called (but for the last, whose rows are
+pieces), takes rows that repeat as rows of their own, and of an empty table makes an empty one.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,27 @@ from tidemark.llm.simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules of operator 8 reject go."""
+    """Documents that the rules of operator 8 reject go, each judged alone: null, empty and blank texts have too few words and go; repeated rows and null ids share no fate."""
     return filtered(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
+    """Of equal texts, the document with the largest doc_id stays; null ids are the least, and of rows that tie, the last by place stays. Null and empty texts are equal."""
     return deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints, the one with the smallest doc_id stays."""
+    """Of documents linked by near fingerprints, the one with the smallest doc_id stays; null ids are the greatest, and of rows that tie, the first by place stays. Texts without a word are linked."""
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, 0 to 3 times, and one of a source cut at a word. Null sources are one source, texts without a word aren't taken, rows that repeat are drawn each."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences: a null or empty text is its end alone, a null id stays null, repeated rows are packed each."""
     return pack(docs)
 
 
