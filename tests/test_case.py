@@ -8,6 +8,7 @@ from tidemark.functions.provider import CacheMiss, Replay, Stub, Usage
 from tidemark.operators.causes import Footprint
 from tidemark.operators.entitle import NotEntitled
 from tidemark.operators.evidence import EvidenceError
+from tidemark.operators.incremental import next_batch
 from tidemark.operators.investigate import aliased, extracted, replayed, run_case, told
 from tidemark.operators.outcome import incoherent, menu, page, report, undecided
 from tidemark.operators.probes import evidence
@@ -162,6 +163,28 @@ def test_periods_are_replayed(spark, sf):
     assert len(out) == 10 and {r.period for r in out} == {"2001-06", "2001-07"}
 
 
+def test_batches_come_in_after_the_replay(spark):
+    invoice = "invoice_id string, account_id string, invoice_date date, currency string, amount_gross double, amount_net double, _ingested_at timestamp_ntz"
+    line = "invoice_id string, line_no long, invoice_date date, account_id string, qty long, unit_price double, amount_gross double, discount double, amount_net double, is_recurring int, _ingested_at timestamp_ntz"
+    months = [date(2023, m, 28) for m in range(1, 13)]
+    at = lambda d: datetime(d.year, d.month, d.day)
+    heads = spark.createDataFrame([(f"I{i}-{d.month}", f"A{i}", d, "INR", 200.0, 190.0, at(d)) for d in months for i in range(3)], invoice)
+    lines = spark.createDataFrame([(f"I{i}-{d.month}", n, d, f"A{i}", 2, 50.0, 100.0, 5.0, 95.0, n - 1, at(d)) for d in months for i in range(2) for n in (1, 2)], line)
+    accounts = spark.createDataFrame([(f"A{i}", "East") for i in range(3)], "account_id string, region string")
+    m = Model({"invoice": Fact(heads, "invoice_date", "_ingested_at"), "invoice_line": Fact(lines, "invoice_date", "_ingested_at")}, accounts)
+    period, grown = next_batch(m, 7)
+    new = {r.invoice_id: r for r in grown.facts["invoice"].df.where("invoice_date >= '2024-01-01'").collect()}
+    assert period == "2024-01" and new.keys() == {f"I{i}-12-202401" for i in range(3)} and new["I2-12-202401"].amount_net == 0.0
+    sums = {r.invoice_id: r.s for r in grown.facts["invoice_line"].df.groupBy("invoice_id").agg(F.round(F.sum("amount_net"), 2).alias("s")).collect()}
+    assert all(abs(new[k].amount_net - sums[k]) < 0.005 and 150 < sums[k] < 230 for k in new if k in sums)
+    contracts = [contract_of({"id": k, "formula": f"SUM({t}.amount_net)", "history_start": "2023-01-01", "materiality": {"relative": 0.1, "absolute": 1.0}}) for k, t in (("billed", "invoice"), ("lines", "invoice_line"))]
+    out = replayed(m, contracts, ["2023-12"], "2023-01", batches=2, seed=7).collect()
+    assert sorted((r.period, r.kpi) for r in out) == [(p, k) for p in ("2023-12", "2024-01", "2024-02") for k in ("billed", "lines")]
+    assert all(r.value and r.status != "unverifiable" for r in out)
+    with pytest.raises(ValueError):
+        replayed(Model({"invoice": m.facts["invoice"]}, accounts), contracts[:1], [], "2023-01", batches=1)
+
+
 def test_providers(tmp_path):
     with pytest.raises(CacheMiss):
         Replay(tmp_path).complete("s", "u", {})

@@ -9,7 +9,7 @@ from tidemark.operators.challenge import locality, timing
 from tidemark.operators.conform import ConformanceError, conform_keys, fiscal_calendar, flag_tests
 from tidemark.operators.decompose import contributions, covering, pair, tree
 from tidemark.operators.entitle import NotEntitled, allowed, check_case, masked, statement
-from tidemark.operators.evidence import EvidenceError, broken, probe
+from tidemark.operators.evidence import EvidenceError, broken, probe, sql_probe, ticket_spike
 from tidemark.operators.feedback import enumerated, promoted
 from tidemark.operators.incremental import continued
 from tidemark.operators.outcome import adjudicate, narrated, recommend
@@ -21,7 +21,7 @@ from tidemark.plans.formula import FormulaError
 from tidemark.plans.gathered import gathered
 from tidemark.plans.panel import Fact, Model, kpi_panel, sliceable
 from tidemark.queries.outcome import CONTRACT
-from tidemark.sources.raw import append_csv, build, digest, read_csv, read_documents, rewrite_csv
+from tidemark.sources.raw import append_csv, build, connect, digest, read_csv, read_documents, rewrite_csv, save, write_fixture
 from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, model
 from tidemark.streaming.scheduled import on_arrival, stream_of, windowed_counts
 
@@ -267,6 +267,33 @@ def test_files(spark, tmp_path):
     assert digest(df).first() == digest(df.orderBy("k")).first() != digest(read_csv(spark, path, schema)).first()
 
 
+def test_fixtures_are_the_same_however_they_are_dealt(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, 0.5, True, datetime(2024, 1, 1, 6)), ("a", 1, 1e-7, False, None), (None, None, None, None, None), ('x,"y"\n', 3, 2.0, None, datetime(2024, 1, 1, 6, 0, 0, 5))], "k string, v int, d double, f boolean, at timestamp_ntz")
+    one, two = (write_fixture({"raw/t": part, "none": df.where("false")}, tmp_path / str(n)) for n, part in enumerate((df.repartition(3, "k"), df.coalesce(1).orderBy(F.desc("v")))))
+    assert one == two and one.keys() == {"raw/t", "none"}
+    text = (tmp_path / "0" / "raw" / "t.csv").read_text()
+    assert text.startswith("k,v,d,f,at\n,,,,\na,1,1e-07,false,\nb,2,0.5,true,2024-01-01 06:00:00\n") and (tmp_path / "0" / "none.csv").read_text() == "k,v,d,f,at\n"
+    assert (tmp_path / "1" / "manifest.sha256").read_text() == "".join(f"{one[n]}  {n}.csv\n" for n in sorted(one))
+
+
+def test_probes_of_sql_files(spark, tmp_path):
+    file = tmp_path / "quiet.sql"
+    file.write_text("""-- Tickets of a footprint in a window, and before it.
+SELECT account_id, count_if(created_at >= :start) AS window_count, count_if(created_at < :start) AS baseline_count
+FROM {ticket} WHERE account_id IN (SELECT account_id FROM {accounts}) AND created_at >= :before AND created_at < :end
+GROUP BY account_id;
+""")
+    ticket = spark.createDataFrame([("A", datetime(2024, 1, d)) for d in range(1, 20)] + [("B", datetime(2024, 1, 12)), ("C", datetime(2024, 1, 12))], "account_id string, created_at timestamp_ntz")
+    tables = {"ticket": ticket, "accounts": spark.createDataFrame([("A",), ("B",), ("B",)], "account_id string")}
+    at = {"before": date(2024, 1, 2), "start": date(2024, 1, 11), "end": date(2024, 1, 16)}
+    got = sql_probe(spark, str(file), tables, at)
+    want = ticket_spike(ticket, tables["accounts"], "2024-01-11", "2024-01-16", "2024-01-02", "2024-01-11")
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r)[:3] for r in want.collect()) == [("A", 5, 9), ("B", 1, 0)]
+    for lacking in (lambda: sql_probe(spark, str(file), {"ticket": ticket}, at), lambda: sql_probe(spark, str(file), tables, {"start": at["start"]}), lambda: sql_probe(spark, str(tmp_path / "none.sql"), tables, at)):
+        with pytest.raises(EvidenceError):
+            lacking()
+
+
 def test_documents_with_front_matter(spark, tmp_path):
     (tmp_path / "a.md").write_text("---\ndoc_id: D1\ntable: ticket\ndate: 2024-01-01\nrole: signal: strong\n---\nBody\n\ntext.\n")
     r = read_documents(spark, f"file://{tmp_path}/*.md").first()
@@ -299,6 +326,17 @@ def test_a_warehouse_of_raw_files(spark, tmp_path):
     assert [(r.period, r.region, r.value) for r in kpi_panel(w.model(), c, ["region"]).collect()] == [("2024-01", "East", 70.0)]
     assert [(r.period, r.value) for r in kpi_panel(w.model(), c, fiscal=True).collect()] == [("FY2024-P10", 70.0)]
     assert {(r.source, r.n_rows) for r in w.watermark.collect()} == {("billing", 3), ("crm", 2), ("product_ops", 0)}
+    c2 = kpi_panel(w.model(), c, ["region"]).collect()
+    with pytest.raises(FileNotFoundError):
+        connect(spark, str(tmp_path / "saved"))
+    for _ in range(2):  # a rebuild takes the place of what is there
+        save(w, str(tmp_path / "saved"))
+    back = connect(spark, str(tmp_path / "saved"))
+    assert back.as_of == w.as_of and back.tables.keys() == w.tables.keys() and kpi_panel(back.model(), c, ["region"]).collect() == c2
+    assert not {f.name for f in tmp_path.iterdir()} & {"saved.new", "saved.old"}
+    assert all(sorted(map(str, back.tables[t].collect())) == sorted(map(str, w.tables[t].collect())) for t in w.tables)
+    pushed = back.tables["invoice_line"].where("invoice_date BETWEEN date'2024-01-01' AND date'2024-01-31'")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(invoice_date" in pushed
     again = [continued(w.tables["invoice_line"], 7).orderBy("invoice_id").collect() for _ in range(2)]
     assert again[0] == again[1] and [(str(r.invoice_date), r.is_recurring) for r in again[0]] == [("2024-02-10", 1), ("2024-02-10", 0)] and again[0][0].amount_net == 100.0
 

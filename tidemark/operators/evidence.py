@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import quotes
@@ -67,6 +68,18 @@ def probe(name: str) -> Callable[..., DataFrame]:
     return PROBES[name]
 
 
+def sql_probe(spark: SparkSession, path: str, tables: dict[str, DataFrame], values: dict[str, object]) -> DataFrame:
+    """The rows of a probe that is a file of SQL, which names its frames in braces, {ticket}, and its values by colons, :start.
+
+    The accounts of a footprint are a frame too, however many there are. A file, frame or value that isn't there is an error.
+    """
+    try:
+        sql = spark.read.text(path, wholetext=True).first()
+        return spark.sql(sql.value if sql else "", args=values, **tables)
+    except (AnalysisException, KeyError) as e:
+        raise EvidenceError(f"{path}: {e}") from e
+
+
 def broken(items: DataFrame) -> DataFrame:
     """Evidence items that break an invariant, with why: id, outcome, denominator, coverage, method and quote are read."""
     why = F.array_compact(

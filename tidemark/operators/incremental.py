@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.panel import Model
+from tidemark.sources.scratch import settled
+
 #: How far usage may move from the month before, in quantity and in price.
 QUANTITY, PRICE = 0.04, 0.02
 
@@ -39,3 +44,25 @@ def continued(lines: DataFrame, seed: int, keys: tuple[str, ...] = ("invoice_id"
 
 def resynced(rows: DataFrame, column: str, as_of: Column) -> DataFrame:
     return rows.withColumn(column, as_of.cast("timestamp_ntz"))
+
+
+def next_batch(model: Model, seed: int) -> tuple[str, Model]:
+    """The month after the newest one of invoice_line, and the model with its rows: lines one month on and, if the model has
+    invoices, those of the newest month one month on with the sums of their lines, 0 without any.
+
+    Only the new rows are written. A model without a line to continue is an error.
+    """
+    lines, heads = model.facts.get("invoice_line"), model.facts.get("invoice")
+    period = lines and next_period(lines.df, lines.period).first().period
+    if not period:
+        raise ValueError("no invoice_line to continue")
+    more = settled(continued(lines.df, seed, at=lines.period))
+    facts = dict(model.facts) | {"invoice_line": dataclasses.replace(lines, df=lines.df.unionByName(more))}
+    if heads:
+        at = heads.period
+        moved = heads.df.withColumn(at, F.add_months(at, 1)).where(F.date_format(at, "yyyy-MM") == period)
+        moved = moved.withColumn("invoice_id", F.concat("invoice_id", F.lit("-"), F.date_format(at, "yyyyMM"))).withColumn("_ingested_at", F.col(at).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+        sums = more.groupBy("invoice_id").agg(*(F.round(F.sum(c), 2).alias(f"_{c}") for c in ("amount_gross", "amount_net")))
+        moved = moved.join(sums, "invoice_id", "left").withColumns({c: F.coalesce(f"_{c}", F.lit(0.0)) for c in ("amount_gross", "amount_net")})
+        facts["invoice"] = dataclasses.replace(heads, df=heads.df.unionByName(settled(moved.select(*heads.df.columns))))
+    return period, dataclasses.replace(model, facts=facts)

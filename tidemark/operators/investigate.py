@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 import json
 import re
 import time
@@ -21,6 +22,7 @@ from tidemark.operators.decompose import contributions, covering, pvm
 from tidemark.operators.entitle import check_case, collapse, statement
 from tidemark.operators.evidence import supported_claims
 from tidemark.operators.feedback import UNMODELLED, enumerated
+from tidemark.operators.incremental import next_batch
 from tidemark.operators.outcome import FALLBACKS, adjudicate, menu, page, priority, questions, recommend
 from tidemark.operators.retrieval import SOURCES, bm25, documents, scope, top
 from tidemark.operators.scan import sweep
@@ -276,10 +278,11 @@ def aliased(footprint: DataFrame) -> DataFrame:
     return footprint.withColumn("account", alias(F.col("account_id"))).drop("account_id")
 
 
-def replayed(model: Model, contracts: list[Contract], periods: list[str], first: str) -> DataFrame:
-    """The sweep of each of several periods, as it would have run at the time."""
-    out = None
-    for p in periods:
-        part = sweep(model, contracts, p, first)
-        out = part if out is None else out.unionByName(part)
-    return out
+def replayed(model: Model, contracts: list[Contract], periods: list[str], first: str, batches: int = 0, seed: int = 0) -> DataFrame:
+    """The sweep of each of several periods, as it would have run at the time, and then of a number of simulated ones, each
+    after its month of billing came in (next_batch())."""
+    out = [sweep(model, contracts, p, first) for p in periods]
+    for n in range(batches):
+        period, model = next_batch(model, seed + n)
+        out.append(sweep(model, contracts, period, first))
+    return functools.reduce(DataFrame.unionByName, out)

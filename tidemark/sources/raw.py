@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from pathlib import Path
@@ -99,6 +101,28 @@ def write_text(path: Path | str, text: str) -> str:
     return hashlib.sha256(raw).hexdigest()
 
 
+def _cell(value: object) -> str:
+    return "" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def write_fixture(tables: dict[str, DataFrame], folder: Path | str) -> dict[str, str]:
+    """Small tables as CSV files of the driver, folder/name.csv, and the SHA-256 of each by name, which manifest.sha256 lists too.
+
+    Rows are ordered by all their columns, nulls first, so equal rows make equal files however they are partitioned. A
+    null is an empty field, as is an empty string. Rows go through the driver one partition at a time.
+    """
+    out = {}
+    for name, df in sorted(tables.items()):
+        text = io.StringIO()
+        to = csv.writer(text, lineterminator="\n")
+        to.writerow(df.columns)
+        to.writerows([_cell(v) for v in r] for r in df.orderBy(*df.columns).toLocalIterator())
+        (at := Path(folder) / f"{name}.csv").parent.mkdir(parents=True, exist_ok=True)
+        out[name] = write_text(at, text.getvalue())
+    write_text(Path(folder) / "manifest.sha256", "".join(f"{h}  {n}.csv\n" for n, h in out.items()))
+    return out
+
+
 def read_documents(spark: SparkSession, glob: str, required: tuple[str, ...] = ("doc_id", "table", "date", "role")) -> DataFrame:
     """Markdown files with front matter between --- lines: fields, a map, and body. A missing key or a repeated doc_id is an error."""
     text = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
@@ -139,3 +163,31 @@ def build(spark: SparkSession, folder: str, alias: DataFrame, tests: DataFrame,
     tables["invoice_line"] = tables["invoice_line"].drop("overridden")
     sources = {t: (source, raw[t], INGESTED.get(t)) for source, of in TABLES.items() for t in of}
     return Warehouse(tables, fiscal_calendar(spark, *history), watermarks(sources, as_of), overrides, as_of)
+
+
+#: The frames of a warehouse that aren't one of its raw tables, as they are named when it is saved.
+_BESIDE = ("calendar", "watermark", "overrides")
+
+
+def save(warehouse: Warehouse, folder: str) -> None:
+    """Writes a warehouse as Parquet, a folder a table, in the place of what was there; keys are conformed once for all reads.
+
+    Tables with a period are dealt out and ordered by its column, so that a range of days reads few row groups; days with
+    many rows are split by a hash of the row. The old warehouse stays readable until all of the new one is written.
+    """
+    spark = warehouse.calendar.sparkSession
+    for name, df in {**warehouse.tables, **{n: getattr(warehouse, n) for n in _BESIDE}}.items():
+        if name in PERIODS:
+            df = df.repartitionByRange(F.col(PERIODS[name]), F.xxhash64(*df.columns)).sortWithinPartitions(PERIODS[name])
+        df.write.mode("overwrite").parquet(f"{folder}.new/{name}")
+    spark.createDataFrame([(warehouse.as_of,)], "as_of timestamp_ntz").write.mode("overwrite").parquet(f"{folder}.new/as_of")
+    replaced(spark, folder)
+
+
+def connect(spark: SparkSession, folder: str) -> Warehouse:
+    """A saved warehouse, to be read only: nothing is conformed or checked again. A missing one is an error."""
+    if not exists(spark, folder):
+        raise FileNotFoundError(folder)
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    tables = {t: read(t) for of in TABLES.values() for t in of}
+    return Warehouse(tables, *map(read, _BESIDE), read("as_of").first().as_of)
