@@ -4,9 +4,10 @@ from fractions import Fraction
 import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm.dedup_stream import deduplicated
-from tidemark.llm.mixing import _mix, mix, mixed, targets
+from tidemark.llm.mixing import _mix, _running, mix, mixed, targets
 from tidemark.llm.shared import located, settings as conf, shared_dir, written
 from tidemark.llm.simhash import one_of_each
 
@@ -37,6 +38,26 @@ def test_targets(spark, sizes):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
 
 
+def test_targets_of_many_sources_in_ranges(spark):
+    sizes = {f"host-{i:05d}": (i * i) % 97 * (1000 if i % 50 == 0 else 1) for i in range(4000)} | {None: 12, "": 5}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    with conf(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}):
+        got = {r.source: r.target for r in targets(df).collect()}
+        folder = shared_dir(spark)
+        rows = _running(df, [F.col("source").isNull(), F.col("source")], {"before": F.lit(1), "sum": F.col("source_size")}, folder).collect()
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+    rows.sort(key=lambda r: (r.source is None, r.source))
+    assert [r.before for r in rows] == list(range(4002)) and all(b.sum == a.sum + a.source_size for a, b in zip(rows, rows[1:], strict=False))
+    most = spark.read.parquet(folder).groupBy("_range").count().agg(F.count("*"), F.max("count")).first()
+    assert most[0] > 8 and most[1] < 1000
+
+
+def test_one_hot_source_among_many(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 5 AS INT)) AS text", "IF(id % 3 = 0, NULL, concat('h', id)) AS source")
+    check(docs, mix(docs).collect())
+
+
 def check(docs, rows):
     texts = docs.collect()
     size = lambda t: len(regex.findall(r"[^\x20\x09-\x0D]+", t or ""))

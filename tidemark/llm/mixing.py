@@ -11,8 +11,6 @@ from tidemark.llm.shared import PLACE, WORD, located, looked_up, shared_dir, wri
 MOST = 3
 #: About as many fractional documents are rounded one after the other in a step of the reduction tree.
 FAN_IN = 64
-#: Up to this many sources are broadcast to the documents; more are joined.
-BROADCAST_SOURCES = 100_000
 
 
 def _uniform(*parts: Column | int) -> Column:
@@ -20,30 +18,40 @@ def _uniform(*parts: Column | int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*(F.lit(p) if isinstance(p, int) else p for p in parts)), 11) / F.lit(float(2**53))
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column], folder: str) -> DataFrame:
+    """df with the sums of columns over all rows before each, in an order without ties.
+
+    Rows are dealt out by ranges of the order and written, which fixes the ranges; then only a row for each
+    range, of which there are as many as shuffle partitions, meets the others in one task.
+    """
+    ranged = written(df.withColumns(sums).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), folder)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("_range").agg(*(F.sum(n).alias(n) for n in sums))
+    start = whole.select("_range", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(start), "_range").select(*df.columns, *((F.col(f"_{n}") + F.coalesce(F.sum(n).over(within), F.lit(0))).alias(n) for n in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """sizes: source and source_size, one row a source. Adds target.
+    """sizes: source and source_size, one row a source, and any others. Adds target.
 
     Sources in order of code points, null last, weigh as weights say, repeating. A source's target is its
     share of the sum of all sizes, at most `most` times its size; what is above is shared anew by weight. The
     fixed point is min(cap, level * weight): sorted by cap over weight, the level is found with running sums.
-    One window without a key orders the sources, of which a mix names each.
+    No task sees more than a range of the sources, so there may be as many as there are hosts.
     """
-    everything = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(everything) - 1) % len(weights) + 1).cast("int")))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.encode("source", "UTF-8"))
-    whole = Window.partitionBy().orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    filled = (
-        weighed.withColumn("cap", F.lit(most) * F.col("source_size"))
-        .withColumn("total", F.sum("source_size").over(whole))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("rank", F.row_number().over(by_cap))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("left"))  # if all sources before are at their cap and none after
-    )
-    # the first source that isn't over its cap at its level sets the level of all after it
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("rank", "level"))).over(whole)["level"]
-    return filled.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level * F.col("weight"), F.col("cap").cast("double")))).select("source", "source_size", "target")
+    folder, by_name = shared_dir(sizes.sparkSession), [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    ranked = _running(sizes, by_name, {"rank": F.lit(1)}, f"{folder}/names")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = ranked.select(*sizes.columns, weight.alias("weight"), (F.lit(most) * F.col("source_size")).alias("cap"))
+    by_cap = [F.col("cap") / F.col("weight"), *by_name]
+    before = _running(weighed, by_cap, {"place": F.lit(1), "capped": F.col("cap"), "weighed": F.col("weight")}, f"{folder}/caps")
+    # the level if all sources before are at their cap and none after; the first source that isn't over its cap at its level sets that of all after it
+    total = weighed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    filled = before.crossJoin(F.broadcast(total)).withColumn("level", (F.col("total") - F.col("capped")) / (F.col("weights") - F.col("weighed")))
+    first = filled.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("place", "level"))["level"].alias("level"))
+    target = F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.col("cap").cast("double"))
+    return weighed.crossJoin(F.broadcast(first)).select(*sizes.columns, target.alias("target"))
 
 
 def _block_rounded(items: Column, seed: int, level: int) -> Column:
@@ -117,13 +125,11 @@ def _mix(placed: DataFrame, folder: str, weights: tuple[int, ...], seed: int, fa
     )
     sized = written(sized, f"{folder}/sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("filled"), F.count("*").alias("n_rows"))
-    plan = targets(sources.select("source", "source_size"), weights).withColumn("times", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-    plan = plan.join(sources.select(F.col("source").alias("s"), "filled", "n_rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = written(plan, f"{folder}/plan")
-    n, most, total = plan.agg(F.count("*"), F.max("filled"), F.sum("n_rows")).first()
-    right = plan.withColumnRenamed("source", "s").drop("n_rows")
-    keyed = _keyed(sized, total or 0, folder)
-    rows = keyed.join(F.broadcast(right) if n <= BROADCAST_SOURCES else right, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = targets(sources, weights).withColumn("times", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+    at = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source has a key too
+    plan = written(plan.withColumn("at", at).drop("source"), f"{folder}/plan")
+    most, total = plan.agg(F.max("filled"), F.sum("n_rows")).first()
+    rows = looked_up(_keyed(sized, total or 0, folder).withColumn("at", at), plan, "at", "n_rows", total or 0).drop("at", "n_rows")
     rows = rows.withColumn("whole", F.floor("times")).withColumn("open", F.col("times") - F.col("whole"))
     fractional = (F.col("open") > 0) & (F.col("size") > 0)
     known = ["source_size", "target", "whole"]
