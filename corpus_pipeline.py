@@ -12,7 +12,7 @@ from tidemark.llm.dedup_stream import deduplicated
 from tidemark.llm.mixing import mixed
 from tidemark.llm.packing import pack
 from tidemark.llm.rules import filtered
-from tidemark.llm.shared import shared_dir, written
+from tidemark.llm.shared import removed, shared_dir, working_in, written
 from tidemark.llm.simhash import one_of_each
 
 
@@ -54,8 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written to the shared folder and reread."""
+    """Applies the stages to documents; each stage's rows are written to the shared folder and reread.
+
+    Once a stage's rows are written, its own tables and the rows of the stage before go, so the folder never holds more
+    than two stages' rows and one stage's tables. The last stage is read from the rows of the one before.
+    """
     folder, docs = shared_dir(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES[:-1]):
-        docs = written(stage(spark, docs, sf_dir), f"{folder}/stage-{n}")
+        with working_in(f"{folder}/work-{n}"):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/stage-{n}")
+        for done in (f"{folder}/work-{n}", f"{folder}/stage-{n - 1}"):
+            removed(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)

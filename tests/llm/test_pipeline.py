@@ -1,7 +1,7 @@
 from collections import Counter
 
 from tidemark.llm.rules import Fertility, judged
-from tidemark.llm.shared import shared_dir, words, written
+from tidemark.llm.shared import shared_dir, words, working_in, written
 
 
 def applied(spark, docs, upto):
@@ -49,3 +49,15 @@ def test_odd_rows(spark, odd, nothing):
     rules, exact, near, _, _ = applied(spark, written(odd, shared_dir(spark)), 5)
     assert [r.doc_id for r in exact.collect()] == [7] == [r.doc_id for r in near.collect()] and rules.count() == 4
     assert near.columns == odd.columns
+
+
+def test_a_run_clears_what_it_no_longer_reads(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    with working_in(f"file://{tmp_path}"):
+        pieces = corpus_pipeline.run(spark, sf)
+    (last,) = (p for p in tmp_path.rglob("*") if p.name.startswith(("stage-", "work-")))
+    mix = spark.read.parquet(f"file://{last}")
+    assert last.name == "stage-3" and mix.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+    assert pieces.where("start = 0").count() == mix.count() > 0
+    assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -24,11 +25,24 @@ _TO_SPACE = str.maketrans(dict.fromkeys(BLANKS, " "))
 HOT_SHARE = 1 / 1000
 
 
+_within: ContextVar[str | None] = ContextVar("within", default=None)
+
+
+@contextmanager
+def working_in(folder: str) -> Iterator[None]:
+    """While this holds, new folders are made below folder, so that one removal clears them all."""
+    before = _within.set(folder)
+    try:
+        yield
+    finally:
+        _within.reset(before)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, a local master gets a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir, or where working_in() says. Where the setting is unset, a local master gets a temporary one."""
+    top = _within.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", top)
