@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import re
 import tempfile
 import uuid
@@ -38,14 +39,19 @@ def working_in(folder: str) -> Iterator[None]:
         _within.reset(before)
 
 
+@functools.cache
+def _own() -> str:
+    """A temporary folder of this process, for a local master only."""
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, or where working_in() says. Where the setting is unset, a local master gets a temporary one."""
     top = _within.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _own()
     return f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
