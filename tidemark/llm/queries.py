@@ -14,6 +14,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.pii import personal_data
 from tidemark.llm.ppm import scores
 from tidemark.llm.repeats import without_repeats
+from tidemark.llm.resampling import resampled
 from tidemark.llm.rules import quality
 from tidemark.llm.separators import token_counts
 from tidemark.llm.simhash import near_groups
@@ -63,6 +64,11 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_table(spark, sf_dir, "documents"))
 
 
+def op12_crc_ring_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' weights towards the benchmark's texts, and the ranks of the 5 % that are drawn."""
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the mix has no chance in it."""
     return op2_pivotal_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
     "op9_separator_scan": op9_separator_scan,
     "op10_ppm_scoring": op10_ppm_scoring,
+    "op12_crc_ring_resampling": op12_crc_ring_resampling,
     "mix_targets": mix_targets,
     "rules_base": rules_base,
     "pii_base": pii_base,
