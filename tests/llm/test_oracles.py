@@ -17,7 +17,8 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     df, got = QUERIES[name](spark, sf), con.execute(ORACLES[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(df.columns)

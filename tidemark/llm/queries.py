@@ -18,6 +18,7 @@ from tidemark.llm.resampling import resampled
 from tidemark.llm.rules import quality
 from tidemark.llm.separators import token_counts
 from tidemark.llm.simhash import near_groups
+from tidemark.llm.topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,11 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_block_max_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of each vector whose id is divisible by 100 with all others."""
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_crc_ring_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' weights towards the benchmark's texts, and the ranks of the 5 % that are drawn."""
     return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokeniser_fertility_rules": op8_tokeniser_fertility_rules,
     "op9_separator_scan": op9_separator_scan,
     "op10_ppm_scoring": op10_ppm_scoring,
+    "op11_block_max_top_k": op11_block_max_top_k,
     "op12_crc_ring_resampling": op12_crc_ring_resampling,
     "mix_targets": mix_targets,
     "rules_base": rules_base,
@@ -113,6 +120,12 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[length(d) + 1 - i] AS INTEGER) ELSE CAST(d[length(d) + 1 - i] AS INTEGER) * 2 - CASE WHEN d[length(d) + 1 - i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
 
 ORACLES: dict[str, str] = {
+    "op11_block_max_top_k": """
+        WITH v AS (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.k, q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v AS q JOIN v ON q.k <> v.k WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     # caps are three times a source's size; a source at its cap leaves its share to the others, by weight, until none is above: as many rounds as sources at most
     "mix_targets": f"""
         WITH RECURSIVE d AS (SELECT doc_id, source, length({_WORDS}) AS size FROM documents),
