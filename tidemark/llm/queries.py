@@ -11,6 +11,7 @@ from tidemark.llm.dedup_stream import exact_groups
 from tidemark.llm.language import identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
+from tidemark.llm.phrases import collocations
 from tidemark.llm.pii import personal_data
 from tidemark.llm.ppm import scores
 from tidemark.llm.repeats import without_repeats
@@ -75,6 +76,11 @@ def op12_crc_ring_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_bitmap_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases of two and three words in all documents."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the mix has no chance in it."""
     return op2_pivotal_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ppm_scoring": op10_ppm_scoring,
     "op11_block_max_top_k": op11_block_max_top_k,
     "op12_crc_ring_resampling": op12_crc_ring_resampling,
+    "op13_bitmap_collocations": op13_bitmap_collocations,
     "mix_targets": mix_targets,
     "rules_base": rules_base,
     "pii_base": pii_base,
@@ -158,6 +165,21 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    # phrases and their parts have one space between words, so a phrase is found by its string
+    "op13_bitmap_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+             t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+             g AS (SELECT lang, unnest([w[i:i + j] FOR i IN range(1, len(w) - j + 1)]) AS g FROM (SELECT lang, w, unnest(range(3)) AS j FROM w) WHERE len(w) > j),
+             f AS (SELECT lang, g, list_aggregate(g, 'string_agg', ' ') AS s, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY 1, 2),
+             k AS (SELECT lang, g, s AS phrase, a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1 AND a >= 10),
+             c AS (SELECT k.lang, g, phrase, k.a, k, l.a AS l, r.a AS r, 1000000 * k.a * k.a // (l.a * r.a) AS score FROM k
+                   JOIN (SELECT lang, s, a FROM f) AS l ON l.lang = k.lang AND l.s = list_aggregate(g[:k], 'string_agg', ' ') JOIN (SELECT lang, s, a FROM f) AS r ON r.lang = k.lang AND r.s = list_aggregate(g[k + 1:], 'string_agg', ' ')),
+             b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             x AS (SELECT lang, list_aggregate(g[i:i + 1], 'string_agg', ' ') AS phrase, max(a) AS most FROM (SELECT lang, g, a, unnest([1, 2]) AS i FROM b WHERE len(g) = 3) GROUP BY 1, 2),
+             q AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, b.a DESC, phrase) AS rank FROM b LEFT JOIN x USING (lang, phrase) WHERE len(g) = 3 OR most IS NULL OR 100 * most < 50 * b.a)
+        SELECT lang, rank, phrase, CAST(q.a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM q JOIN t USING (lang) WHERE rank <= 2000""",
     # bytes as two hex digits each: all 50-byte strings, those that start in a smaller doc_id too, their runs, and what is between these
     "op6_bwt_repeats": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
