@@ -19,7 +19,7 @@ from tidemark.llm.exchange import SCHEMA as LETTERS
 from tidemark.llm.shared import cleaned_shuffles, located, on_workers, shared_dir, written
 
 #: Bytes of text in a shard, and of a text that is cut at its pieces before it is dealt out.
-BLOCK, LONG = 8_000_000, 2_000_000
+BLOCK, LONG = 5_000_000, 2_000_000
 #: Entries of first words' bitmaps that are extended at once, to bound the memory.
 AT_ONCE = 1 << 17
 _ENDS = r"[.,;:!?\x0A-\x0D]"
@@ -202,29 +202,37 @@ def _dealt(names: list[bytes], buckets: int) -> dict[int, list[int]]:
     return out
 
 
-_INDEX = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("names", pa.binary()), ("langs", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))), ("node", pa.int64()), ("heads", pa.binary()), ("body", pa.binary())])
-_INDEX_SQL = "block long, words binary, names binary, langs array<struct<lang: string, n: long>>, node long, heads binary, body binary"
+_INDEX = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("langs", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
+_INDEX_SQL = "block long, words binary, names binary, counts binary, langs array<struct<lang: string, n: long>>"
 _CANDIDATES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("ids", pa.list_(pa.int64())), *((n, pa.int64()) for n in ("a", "l", "r", "score"))])
 _CANDIDATES_SQL = "lang string, phrase string, ids array<long>, a long, l long, r long, score long"
 
 
-def _indexed(buckets: int, fan: int) -> Callable[[pa.Table], pa.Table]:
-    """A shard's row: its words in order, their names and the number of words by language; and the counts of its words, to the buckets."""
+def _indexed(t: pa.Table) -> pa.Table:
+    """A shard's row: its words in order, their names and counts, and the number of words by language."""
+    seq, names = read_words(zip(t.column("lang").to_pylist(), t.column("text").to_pylist(), strict=True))
+    counts, langs = np.bincount(seq, minlength=len(names)), Counter()
+    for name, n in zip(names[1:], counts[1:].tolist(), strict=True):
+        langs[name.rpartition(b" ")[2]] += n
+    row = {"block": t.column("block")[0].as_py(), "words": zlib.compress(seq.tobytes(), 1), "names": zlib.compress(b"\n".join(names), 1), "counts": counts.astype("<u4").tobytes()}
+    return table([row | {"langs": [{"lang": unquote(x.decode()), "n": n} for x, n in langs.items()]}], _INDEX)
 
-    def run(t: pa.Table) -> pa.Table:
-        seq, names = read_words(zip(t.column("lang").to_pylist(), t.column("text").to_pylist(), strict=True))
-        block, counts = t.column("block")[0].as_py(), np.bincount(seq, minlength=len(names))
-        langs = Counter()
-        for name, n in zip(names[1:], counts[1:].tolist(), strict=True):
-            langs[name.rpartition(b" ")[2]] += n
-        row = {"block": block, "words": zlib.compress(seq.tobytes(), 1), "names": zlib.compress(b"\n".join(names), 1), "langs": [{"lang": unquote(x.decode()), "n": n} for x, n in langs.items()]}
-        messages = ((block, b, bundled(b"\n".join([names[i] for i in own]), counts[own].astype("<u4").tobytes())) for b, own in _dealt(names, buckets).items())
-        return table([row, *sent(block, messages, fan)], _INDEX)
+
+def _sent_words(buckets: int, fan: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The counts of each shard's words, to the buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                names, counts, block = _names(one), np.frombuffer(one.column("counts")[0].as_py(), "<u4"), one.column("block")[0].as_py()
+                messages = ((block, b, bundled(b"\n".join([names[i] for i in own]), counts[own].tobytes())) for b, own in _dealt(names, buckets).items())
+                yield from table(sent(block, messages, fan)).to_batches()
 
     return run
 
 
-def _names(index: pa.Table) -> list[bytes]:
+def _names(index: pa.Table | pa.RecordBatch) -> list[bytes]:
     return zlib.decompress(index.column("names")[0].as_py()).split(b"\n")
 
 
@@ -334,11 +342,11 @@ def candidates(docs: DataFrame, longest: int = 3, least: int = 10, block_bytes:
     block = F.pmod(F.xxhash64("place.file", "place.row", F.shiftright("piece", 12)), F.lit(n)).alias("block")
     dealt = pieces.select(block, "lang", F.col("text").cast("binary").alias("text"))
     with cleaned_shuffles(spark):
-        first = written(dealt.groupBy("block").applyInArrow(_indexed(n, fan), _INDEX_SQL), f"{folder}/index")
-        index = first.where("node IS NULL").select("block", "words", "names", "langs")
+        index = written(dealt.groupBy("block").applyInArrow(_indexed, _INDEX_SQL), f"{folder}/index")
         sums = index.select(F.explode("langs").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
-        words = delivered(first.where("node IS NOT NULL").select("node", "heads", "body"), n, f"{folder}/words", fan)
+        words = delivered(index.select("block", "names", "counts").mapInArrow(_sent_words(n, fan), LETTERS), n, f"{folder}/words", fan)
         answers = delivered(words.groupBy("node").applyInArrow(_answered_words(least, n, fan), LETTERS), n, f"{folder}/known-1", fan).withColumn("level", F.lit(1))
+        forgotten(spark, f"{folder}/words")
         for length in range(2, longest + 1):
             both = index.select("block", "words", "names").groupBy("block").cogroup(answers.groupBy("node"))
             found = delivered(both.applyInArrow(_sent_phrases(length, n, fan), LETTERS), n, f"{folder}/phrases-{length}", fan)
