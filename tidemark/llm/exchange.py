@@ -57,15 +57,15 @@ def table(rows: Iterable[dict], schema: pa.Schema = ARROW) -> pa.Table:
     return pa.Table.from_pylist([*rows], schema)
 
 
-def delivered(rows: DataFrame, nodes: int, folder: str, fan: int = FAN) -> DataFrame:
+def delivered(rows: DataFrame, nodes: int, folder: str, fan: int = FAN, how: dict[str, str] | None = None) -> DataFrame:
     """Written rows of ARROW that are where they belong, from those that nodes sent in step 0."""
-    rows, step = written(rows, f"{folder}-0"), 1
+    rows, step = written(rows, f"{folder}-0", how), 1
 
     def relay(step: int):
         return lambda t: table(sent(t.column("node")[0].as_py(), received(t), fan, step))
 
     while fan**step < nodes:
-        rows = written(rows.groupBy("node").applyInArrow(relay(step), SCHEMA), f"{folder}-{step}")
+        rows = written(rows.groupBy("node").applyInArrow(relay(step), SCHEMA), f"{folder}-{step}", how)
         removed(rows.sparkSession, f"{folder}-{step - 1}")
         step += 1
     return rows

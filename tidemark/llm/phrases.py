@@ -14,12 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.exchange import FAN, bundled, delivered, forgotten, received, sent, table, unbundled
+from tidemark.llm.exchange import bundled, delivered, forgotten, received, sent, table, unbundled
 from tidemark.llm.exchange import SCHEMA as LETTERS
-from tidemark.llm.shared import cleaned_shuffles, located, on_workers, shared_dir, written
+from tidemark.llm.shared import WIDE_ROWS, cleaned_shuffles, located, on_workers, shared_dir, written
 
 #: Bytes of text in a shard, and of a text that is cut at its pieces before it is dealt out.
 BLOCK, LONG = 5_000_000, 2_000_000
+#: Messages go in one step among up to so many shards; shards are small, as their words and phrases are all that is in memory.
+FAN = 256
 #: Entries of first words' bitmaps that are extended at once, to bound the memory.
 AT_ONCE = 1 << 17
 _ENDS = r"[.,;:!?\x0A-\x0D]"
@@ -342,16 +344,16 @@ def candidates(docs: DataFrame, longest: int = 3, least: int = 10, block_bytes:
     block = F.pmod(F.xxhash64("place.file", "place.row", F.shiftright("piece", 12)), F.lit(n)).alias("block")
     dealt = pieces.select(block, "lang", F.col("text").cast("binary").alias("text"))
     with cleaned_shuffles(spark):
-        index = written(dealt.groupBy("block").applyInArrow(_indexed, _INDEX_SQL), f"{folder}/index")
+        index = written(dealt.groupBy("block").applyInArrow(_indexed, _INDEX_SQL), f"{folder}/index", WIDE_ROWS)
         sums = index.select(F.explode("langs").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
-        words = delivered(index.select("block", "names", "counts").mapInArrow(_sent_words(n, fan), LETTERS), n, f"{folder}/words", fan)
-        answers = delivered(words.groupBy("node").applyInArrow(_answered_words(least, n, fan), LETTERS), n, f"{folder}/known-1", fan).withColumn("level", F.lit(1))
+        words = delivered(index.select("block", "names", "counts").mapInArrow(_sent_words(n, fan), LETTERS), n, f"{folder}/words", fan, WIDE_ROWS)
+        answers = delivered(words.groupBy("node").applyInArrow(_answered_words(least, n, fan), LETTERS), n, f"{folder}/known-1", fan, WIDE_ROWS).withColumn("level", F.lit(1))
         forgotten(spark, f"{folder}/words")
         for length in range(2, longest + 1):
             both = index.select("block", "words", "names").groupBy("block").cogroup(answers.groupBy("node"))
-            found = delivered(both.applyInArrow(_sent_phrases(length, n, fan), LETTERS), n, f"{folder}/phrases-{length}", fan)
+            found = delivered(both.applyInArrow(_sent_phrases(length, n, fan), LETTERS), n, f"{folder}/phrases-{length}", fan, WIDE_ROWS)
             known = found.groupBy("node").applyInArrow(_answered_phrases(length, least, length == longest, fan), LETTERS)
-            answers = answers.unionByName(delivered(known, n, f"{folder}/known-{length}", fan).withColumn("level", F.lit(length)))
+            answers = answers.unionByName(delivered(known, n, f"{folder}/known-{length}", fan, WIDE_ROWS).withColumn("level", F.lit(length)))
             forgotten(spark, f"{folder}/phrases-{length}")
         both = index.select("block", "names").groupBy("block").cogroup(answers.groupBy("node"))
         return written(both.applyInArrow(_told(longest, n), _CANDIDATES_SQL), f"{folder}/candidates"), written(sums, f"{folder}/langs")

@@ -55,9 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+#: For rows of many kB: Parquet's pages and groups stay small, where it would look at a page's size every 100 rows only.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
+
+
+def written(df: DataFrame, path: str, how: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet and rereads it: cuts the lineage at files that outlive any executor."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**how or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
