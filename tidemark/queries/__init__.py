@@ -33,5 +33,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _part in ("metric", "series", "verify", "decompose", "evidence", "outcome"):
+for _part in ("metric", "series", "verify", "decompose", "evidence", "outcome", "swept"):
     import_module(f"tidemark.queries.{_part}")

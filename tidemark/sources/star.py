@@ -24,6 +24,11 @@ def accounts(spark: SparkSession, folder: str) -> DataFrame:
     return customer.join(places, customer.c_nationkey == places.n_nationkey).select(F.col("c_custkey").alias("account_id"), "region", F.col("c_mktsegment").alias("segment"))
 
 
+def regions_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The regions that have accounts."""
+    return accounts(spark, folder).select("region").distinct()
+
+
 def sales(spark: SparkSession, folder: str) -> DataFrame:
     line, order = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     joined = line.join(order, line.l_orderkey == order.o_orderkey)
