@@ -12,6 +12,8 @@ from tidemark.operators.incremental import next_batch
 from tidemark.operators.investigate import aliased, extracted, replayed, run_case, told
 from tidemark.operators.outcome import incoherent, menu, page, report, undecided
 from tidemark.operators.probes import evidence
+from tidemark.operators.scan import scan
+from tidemark.operators.store import CaseStore, rollup
 from tidemark.plans.contract import Access, Driver, Persona, contract_of
 from tidemark.plans.panel import Fact, Model
 from tidemark.sources.star import CONTRACTS, FIRST, model
@@ -125,6 +127,31 @@ def test_a_case_is_told_by_what_a_viewer_may_see(world):
         told(case, open_to, west, {"region": "East"}, "2024-03")
 
 
+def test_any_item_of_a_large_ledger_may_be_cited(spark, world):
+    m, contract, tables = world
+    case = run_case(m, contract, "2024-03", {"region": "East"}, "2022-01", tables)
+    many = dataclasses.replace(case, evidence=spark.range(1500).selectExpr("concat('ev-integration-', id) AS id"))
+    say = lambda i: told(many, contract, Persona("c", "cfo"), {"region": "East"}, "2024-03", Stub({"explanation": f"Tickets piled up [ev-integration-{i}]."}))[0]["explanation"]
+    assert all(say(i).startswith(f"Tickets piled up [ev-integration-{i}].") for i in (0, 1499))
+    assert say(1500).startswith("Confidence: Likely.") and "1500" not in say(1500)
+
+
+def test_a_scan_investigates_what_it_opens(spark, world, tmp_path):
+    m, contract, tables = world
+    store, as_of = CaseStore(spark, str(tmp_path / "cases")), datetime(2024, 4, 2)
+    contract = dataclasses.replace(contract, source="billing")
+    marks = spark.createDataFrame([("billing", datetime(2024, 3, 31, 12))], "source string, watermark timestamp_ntz")
+    for version in (1, 2):
+        cases, verdicts = scan(m, [contract], "2022-01", tables, marks, as_of, store=store)
+        got = {r.region: (r.status, r.driver, r.confidence) for r in cases.collect()}
+        assert got == {"East": ("open", "integration", "likely"), "West": ("unverifiable", None, None)}
+        assert {r.driver for r in verdicts.collect()} == {"integration", "pricing", "offer", "supply"}
+        kept = {r.region: r for r in store.cases().collect()}
+        assert {r.version for r in kept.values()} == {version} and kept["East"].confidence == "likely" and kept["East"].priority > 0
+    totals = rollup(store.cases()).first()
+    assert (totals.n_cases, totals.n_open, totals.n_needs_decision) == (2, 1, 0) and totals.open_delta == pytest.approx(abs(kept["East"].delta))
+
+
 def test_quotes_that_arent_in_their_document_are_dropped(spark, world):
     m, contract, tables = world
     tickets = spark.createDataFrame([("T1", "A00", datetime(2024, 3, 2), "Integration", "the integration  is late again"), ("T2", "A01", datetime(2024, 3, 3), "Other", "integration works")], "ticket_id string, account_id string, created_at timestamp_ntz, subject string, body_text string")

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 from datetime import date, datetime
 
@@ -13,15 +14,15 @@ from tidemark.operators.evidence import EvidenceError, broken, probe, sql_probe,
 from tidemark.operators.feedback import enumerated, promoted
 from tidemark.operators.incremental import continued
 from tidemark.operators.outcome import adjudicate, narrated, recommend
-from tidemark.operators.scan import sweep
-from tidemark.operators.store import CaseStore
+from tidemark.operators.scan import ScanError, closed_periods, sweep
+from tidemark.operators.store import CaseStore, rollup
 from tidemark.operators.verify import sparse, verify
 from tidemark.plans.contract import Driver, Persona, contract_of
 from tidemark.plans.formula import FormulaError
 from tidemark.plans.gathered import gathered
 from tidemark.plans.panel import Fact, Model, kpi_panel, sliceable
 from tidemark.queries.outcome import CONTRACT
-from tidemark.sources.raw import append_csv, build, connect, digest, read_csv, read_documents, rewrite_csv, save, write_fixture
+from tidemark.sources.raw import append_csv, build, connect, digest, exists, read_csv, read_documents, replaced, rewrite_csv, save, write_fixture
 from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, model
 from tidemark.streaming.scheduled import on_arrival, stream_of, windowed_counts
 
@@ -130,8 +131,38 @@ def test_a_sweep_is_that_of_each_contract(spark, sf):
 
 def test_a_sweep_is_saved(spark, sf, tmp_path):
     store = CaseStore(spark, str(tmp_path / "cases"))
-    swept = sweep(model(spark, sf), [CONTRACTS["net_sales"]], CURRENT, FIRST, store=store).collect()
-    assert sorted(r.case_id for r in store.cases().collect()) == sorted(r.case_id for r in swept) and len(swept) == 5
+    m, c = model(spark, sf), [CONTRACTS["net_sales"]]
+    with pytest.raises(ScanError, match="as_of"):
+        sweep(m, c, CURRENT, FIRST, store=store)
+    for n in (1, 2):  # one time for both: the second's versions are the next ones
+        swept = sweep(m, c, CURRENT, FIRST, as_of=datetime(2001, 9, 1), store=store).collect()
+        kept = store.cases().collect()
+        assert sorted(r.case_id for r in kept) == sorted(r.case_id for r in swept) and {r.version for r in kept} == {n} and len(swept) == 5
+    totals = rollup(store.cases()).first()
+    assert totals.n_cases == 5 and totals.n_needs_decision == 0
+
+
+def test_a_replacement_that_breaks_off_is_taken_up_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    put = lambda n, to: spark.createDataFrame([(n,)], "n int").coalesce(1).write.parquet(f"{path}{to}")
+    put(1, ".old")  # broke off between the two renames
+    put(2, ".new")
+    assert exists(spark, path) and spark.read.parquet(path).first().n == 1
+    replaced(spark, path)
+    assert spark.read.parquet(path).first().n == 2 and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+    with pytest.raises(OSError):  # there is no new one: what was there stays whole
+        replaced(spark, path)
+    assert exists(spark, path) and spark.read.parquet(path).first().n == 2
+
+
+def test_a_source_without_a_watermark_is_an_error(spark):
+    marks = spark.createDataFrame([("billing", datetime(2024, 4, 30, 9)), ("crm", datetime(2024, 4, 29)), ("ops", None)], "source string, watermark timestamp_ntz")
+    of = lambda s: contract_of({"id": s, "formula": "SUM(a.x)", "source": s, "refresh": {"source": s}, "materiality": {"relative": 0.1, "absolute": 1.0}})
+    c = [dataclasses.replace(of(s), source=s) for s in ("billing", "crm", "ops", "none")]
+    assert closed_periods(marks, c[:2]) == {"billing": "2024-04", "crm": "2024-03"}
+    for broken in c[2:]:
+        with pytest.raises(ScanError, match="no watermark"):
+            closed_periods(marks, [broken])
 
 
 def test_periods_reach_the_scan(spark, sf):

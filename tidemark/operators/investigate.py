@@ -23,7 +23,7 @@ from tidemark.operators.entitle import check_case, collapse, statement
 from tidemark.operators.evidence import supported_claims
 from tidemark.operators.feedback import UNMODELLED, enumerated
 from tidemark.operators.incremental import next_batch
-from tidemark.operators.outcome import FALLBACKS, adjudicate, menu, page, priority, questions, recommend
+from tidemark.operators.outcome import FALLBACKS, adjudicate, cited, menu, page, priority, questions, recommend
 from tidemark.operators.retrieval import SOURCES, bm25, documents, scope, top
 from tidemark.operators.scan import sweep
 from tidemark.operators.verify import verify
@@ -269,8 +269,9 @@ def told(case: Case, contract: Contract, persona: Persona, dims: dict[str, str],
         if not may("amount_net"):
             nodes = nodes.withColumn("delta", band(F.col("delta")))
             withheld.append(("column", "amount_net", nodes.count()))
-    ids = {r.id for r in case.evidence.select("id").limit(1000).collect()} if case.evidence is not None else set()
     answer = provider.complete("narrate", json.dumps(menu(facts, contract, persona), sort_keys=True, ensure_ascii=False), dict.fromkeys(FALLBACKS, "string"))[0] if provider else {}
+    asked = sorted(cited(answer))  # as many as the written text has
+    ids = {r.id for r in case.evidence.where(F.col("id").isin(asked)).select("id").distinct().collect()} if case.evidence is not None and asked else set()
     return page(facts, contract, persona, answer, ids), nodes, statement(withheld)
 
 

@@ -126,6 +126,11 @@ FALLBACKS = {
 }
 
 
+def cited(written: dict[str, str]) -> set[str]:
+    """The evidence ids that written sections cite, known or not."""
+    return {i for text in written.values() for i in _CITED.findall(str(text))}
+
+
 def narrated(section: str, text: str, facts: dict[str, str], evidence: set[str]) -> str:
     """A written section with its tokens filled in, if all tokens and citations are known and it has no digit of its own; else the fallback."""
     own = _CITED.sub("", _TOKEN.sub("", text))

@@ -24,6 +24,13 @@ class CaseStore:
     def save(self, cases: DataFrame) -> None:
         cases.write.mode("append").parquet(self.path)
 
+    def numbered(self, cases: DataFrame) -> DataFrame:
+        """cases with version, one more than the newest in the store, 1 for those that aren't there."""
+        if not exists(self.spark, self.path):
+            return cases.withColumn("version", F.lit(1).cast("long"))
+        known = self.spark.read.option("mergeSchema", "true").parquet(self.path).groupBy("case_id").agg(F.max("version").alias("_known"))
+        return cases.join(known, "case_id", "left").withColumn("version", F.coalesce("_known", F.lit(0)) + F.lit(1).cast("long")).drop("_known")
+
     def cases(self, open_only: bool = False) -> DataFrame:
         if not exists(self.spark, self.path):
             raise FileNotFoundError(self.path)

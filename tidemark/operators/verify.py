@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import decomposed, material, movement, peer_expectation, persistence, robust_z, since_gap
+from tidemark.operators.kept import KeptPanel
+from tidemark.operators.series import decomposed, material, movement, of_month_before, peer_expectation, persistence, robust_z, since_gap
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import parse
 from tidemark.plans.gathered import gathered
@@ -47,18 +48,16 @@ def drift(model: Model, contract: Contract, dims: list[str], terms: Terms | None
     if len(formulas) < 2:
         return kpi_panel(model, contract, dims).where("false").select("period", *dims, F.lit(None).cast("double").alias("earlier_relative"), F.lit(None).cast("boolean").alias("drifted"))
     terms, names = terms or term_panel(model, contract, list(formulas.values()), dims)
-    w = Window.partitionBy(*dims).orderBy("period")
     now, out = terms, F.lit(None).cast("double")
-    before_period = F.lag("period").over(w)
     for i, e in enumerate(epochs[1:], 1):
         earlier = next((x.formula for x in reversed(epochs[:i]) if x.formula != e.formula), None)
         if earlier is None:
             continue
         value = valued(formulas[earlier], names)[2]
-        now = now.withColumn(f"v{i}", value).withColumn(f"v{i}_before", F.lag(f"v{i}").over(w))
+        now = now.withColumn(f"v{i}", value).withColumn(f"v{i}_before", of_month_before(f"v{i}", dims))
         here = F.col("period") == e.effective_from.strftime("%Y-%m")
         out = F.when(here, F.try_divide(F.col(f"v{i}") - F.col(f"v{i}_before"), F.nullif(F.col(f"v{i}_before"), F.lit(0.0)))).otherwise(out)
-    found = now.withColumn("_before", before_period).withColumn("earlier_relative", out).where("earlier_relative IS NOT NULL")
+    found = now.withColumn("earlier_relative", out).where("earlier_relative IS NOT NULL")
     return found.select("period", *dims, "earlier_relative", (F.abs("earlier_relative") < contract.materiality.relative).alias("drifted"))
 
 
@@ -76,8 +75,7 @@ def artefacts(moves: DataFrame, of: DataFrame, dims: list[str], limit: float | C
 
     The largest record counts over the period and the one before. No movement is no artefact.
     """
-    w = Window.partitionBy(*dims).orderBy("period")
-    two = of.withColumn("largest", F.greatest("largest", F.coalesce(F.lag("largest").over(w), F.lit(0.0))))
+    two = of.withColumn("largest", F.greatest("largest", F.coalesce(of_month_before("largest", dims), F.lit(0.0))))
     out = joined(moves, two.select("period", *dims, "largest", "slipped"), ["period", *dims])
     size = F.nullif(F.abs("delta"), F.lit(0.0))
     out = out.withColumn("record_share", F.try_divide("largest", size)).withColumn("slipped_share", F.try_divide("slipped", size))
@@ -127,16 +125,18 @@ def verify(model: Model, contract: Contract, dims: list[str], period: str, first
     return verify_all(model, [contract], dims, period, first, marks, as_of).drop("kpi")
 
 
-def verify_all(model: Model, contracts: list[Contract], dims: list[str], period: str, first: str, marks: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
+def verify_all(model: Model, contracts: list[Contract], dims: list[str], period: str, first: str, marks: DataFrame | None = None, as_of: datetime | None = None, kept: KeptPanel | None = None) -> DataFrame:
     """verify() of several contracts: kpi and a row a slice each, in one plan.
 
     Each table is read once, in one grouping for all contracts, and no more than the history that the checks look at;
     the rest is plans over a row a slice and month. ceiling is 'likely' where the data are stale or the baseline is
     borrowed from peers, which happens to slices with under two seasons of history, if there is one dimension to find peers in.
+    With a kept panel of these contracts and dimensions, its rows are merged instead of the tables' read.
     """
     spark = next(iter(model.facts.values())).df.sparkSession
     first = max(first, _back(period, HISTORY))
-    found = gathered(model, contracts, dims, first, period, write=True)
+    found = kept.gathered(model, first, period) if kept else gathered(model, contracts, dims, first, period)
+    found.rows = settled(found.rows)  # several plans read it
     rules, slices = F.broadcast(_rules(spark, contracts, len(dims), period)), ["kpi", *dims]  # a row a contract
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
     named = lambda df, c: df.withColumn("kpi", F.lit(c.id))

@@ -13,7 +13,7 @@ from tidemark.plans.panel import Model, Terms, _filters, _to_be_joined, bounds,
 
 #: Days after a period in which its records may still come in, beyond the agreed hours.
 GRACE_DAYS, LATE_DAYS = 1, 2
-_KNOWN = "_known"
+KNOWN = "_known"
 
 
 def definitions(contract: Contract) -> list[Formula]:
@@ -49,7 +49,7 @@ class Gathered:
             for p in parts[1:]:
                 self.rows = self.rows.unionByName(p, allowMissingColumns=True)
             names = [n for asked in self.columns.values() for n, *_ in asked.values()]
-            self.rows = self.rows.groupBy("period", *dims, _KNOWN).agg(*(F.max(n).alias(n) for n in names))
+            self.rows = self.rows.groupBy("period", *dims, KNOWN).agg(*(F.max(n).alias(n) for n in names))
 
     def _where(self, contract: Contract, table: str) -> tuple[Base, str]:
         texts = self.filters[contract.id].get(table, [])
@@ -95,17 +95,17 @@ class Gathered:
         return self._ask(Base(table), ("rows",), F.count(F.lit(1)), "sum"), self._ask(Base(table), ("on time", seconds), F.count_if(came <= end), "sum")
 
     def _grouped(self, base: Base) -> DataFrame:
-        asked, keys = [*self.columns[base].values()], ["period", *self.dims, _KNOWN]
+        asked, keys = [*self.columns[base].values()], ["period", *self.dims, KNOWN]
         first = [value.alias(name) for name, value, _ in asked]
         missing = _to_be_joined(self.model, base.table, self.dims)
         if missing and all(merge != "none" for *_, merge in asked):
             # the join to accounts will shuffle: a row an account and month first
             direct = [d for d in self.dims if d not in missing]
             small = scoped(self.model, base.table, [*base.subqueries], direct, months=self.months).groupBy("period", "account_id", *direct).agg(*first)
-            of = self.model.accounts.select("account_id", *missing).withColumn(_KNOWN, F.lit(True))
-            wide = small.join(of, "account_id", "left").withColumn(_KNOWN, F.coalesce(_KNOWN, F.lit(False)))
+            of = self.model.accounts.select("account_id", *missing).withColumn(KNOWN, F.lit(True))
+            wide = small.join(of, "account_id", "left").withColumn(KNOWN, F.coalesce(KNOWN, F.lit(False)))
             return labelled(wide.groupBy(*keys).agg(*((F.max if merge == "max" else F.sum)(name).alias(name) for name, _, merge in asked)))
-        return labelled(scoped(self.model, base.table, [*base.subqueries], self.dims, months=self.months, known=_KNOWN).groupBy(*keys).agg(*first))
+        return labelled(scoped(self.model, base.table, [*base.subqueries], self.dims, months=self.months, known=KNOWN).groupBy(*keys).agg(*first))
 
     def _some(self, contract: Contract, formulas: list[Formula]) -> Column:
         """Whether a table of the formulas has a row that counts, in a slice and period."""
@@ -115,7 +115,7 @@ class Gathered:
         return some
 
     def _there(self, contract: Contract, formulas: list[Formula]) -> DataFrame:
-        return self.rows.where(F.col(_KNOWN) & self._some(contract, formulas))
+        return self.rows.where(F.col(KNOWN) & self._some(contract, formulas))
 
     def _value(self, contract: Contract, term: Term) -> Column:
         c = self._term(contract, term)
@@ -138,7 +138,7 @@ class Gathered:
             used = [formulas[t] for t in dict.fromkeys(e.formula for e in epochs)] or [formulas[c.formula]]
             largest, slipped = self._records(c) if c.parsed.is_additive else (F.lit(None), F.lit(None))
             each.append(F.struct(F.lit(c.id).alias("kpi"), self._some(c, used).alias("_some"), value.alias("value"), largest.cast("double").alias("largest"), slipped.cast("double").alias("slipped")))
-        return self.rows.where(_KNOWN).select("period", *self.dims, F.inline(F.array(*each))).where("_some").drop("_some")
+        return self.rows.where(KNOWN).select("period", *self.dims, F.inline(F.array(*each))).where("_some").drop("_some")
 
     def completenesses(self, contracts: list[Contract]) -> DataFrame | None:
         """kpi, period, complete_share and complete of the contracts that are measured, in one pass over the rows; None without any."""
@@ -180,11 +180,6 @@ class Gathered:
         return out.withColumn("share", share).withColumn("complete", F.col("share") >= contract.quality.min_completeness)
 
 
-def gathered(model: Model, contracts: list[Contract], dims: list[str], first: str | None = None, last: str | None = None, write: bool = False) -> Gathered:
-    """What is asked of the tables by all contracts. Written at once if several plans are to read it: a row a slice and period."""
-    out = Gathered(model, contracts, dims, first, last)
-    if write:
-        from tidemark.sources.scratch import settled
-
-        out.rows = settled(out.rows)
-    return out
+def gathered(model: Model, contracts: list[Contract], dims: list[str], first: str | None = None, last: str | None = None) -> Gathered:
+    """What is asked of the tables by all contracts."""
+    return Gathered(model, contracts, dims, first, last)

@@ -30,6 +30,17 @@ def lagged(spark, d):
     return out.select("period", "region", *(F.round(c, 4).alias(c) for c in ("value", "previous", "delta")), F.round("relative", 9).alias("relative"), "status")
 
 
+@query(
+    "movement_over_gap",
+    f"""WITH {_PANEL}, g AS (SELECT *, CAST(period || '-01' AS DATE) AS m FROM panel WHERE period NOT LIKE '%-04')
+        SELECT g.period, g.region, round(g.value, 4) AS value, round(b.value, 4) AS previous, CASE WHEN b.value IS NULL OR b.value = 0 THEN 'unverifiable' ELSE 'ok' END AS status FROM g LEFT JOIN g AS b ON b.region = g.region AND b.m = g.m - INTERVAL 1 MONTH""",
+)
+def lagged_over_gap(spark, d):
+    """A month that is missing in the middle leaves the next one unverifiable, not compared with the one before the gap."""
+    out = movement(_panel(spark, d).where("period NOT LIKE '%-04'"), ["region"])
+    return out.select("period", "region", F.round("value", 4).alias("value"), F.round("previous", 4).alias("previous"), "status")
+
+
 _Z = f"""{_PANEL}, a AS (SELECT *, value - median(value) OVER (PARTITION BY region) AS r FROM panel), b AS (SELECT *, median(abs(r)) OVER (PARTITION BY region) AS mad, avg(abs(r)) OVER (PARTITION BY region) AS mean FROM a),
   scored AS (SELECT period, region, value, CASE WHEN mad > 0 THEN r / (1.4826 * mad) WHEN mean > 0 THEN r / (1.2533 * mean) ELSE 0 END AS z FROM b)"""
 

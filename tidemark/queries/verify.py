@@ -8,11 +8,13 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators.conform import watermarks
+from tidemark.operators.kept import KeptPanel
 from tidemark.operators.scan import regions, summary, sweep
 from tidemark.operators.series import movement
 from tidemark.operators.verify import artefacts, completeness, drift, freshness, records, sparse, verify
 from tidemark.plans.panel import kpi_panel
 from tidemark.queries import ACCOUNT, SALES, query
+from tidemark.sources.scratch import scratch
 from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, accounts, model, table
 
 AS_OF = datetime(2001, 12, 1)
@@ -124,3 +126,25 @@ def young(spark, d):
 @query("regions_listed", "SELECT DISTINCT r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def listed(spark, d):
     return regions(accounts(spark, d))
+
+
+_LATE = "(ingested_on < date_trunc('month', sold_on) OR ingested_on > last_day(sold_on) + 2)"
+
+
+@query(
+    "late_batch_upgrade",
+    f"""WITH {SALES}, {ACCOUNT}, s AS (SELECT * FROM sales JOIN account USING (account_id))
+        SELECT 'net_sales' AS kpi, period, region, round(sum(amount_net) - coalesce(sum(amount_net) FILTER (WHERE return_flag = 'R'), 0), 4) AS value, round(max(amount_net), 4) AS largest,
+               round(coalesce(sum(amount_net) FILTER (WHERE {_LATE}), 0) + coalesce(sum(amount_net) FILTER (WHERE {_LATE} AND return_flag = 'R'), 0), 4) AS slipped FROM s GROUP BY ALL
+        UNION ALL SELECT 'discount_rate', period, region, round(sum(discount) / sum(amount_gross), 4), NULL, NULL FROM s WHERE qty <> 1 GROUP BY ALL
+        UNION ALL SELECT 'mean_quantity', period, region, round(avg(qty), 4), NULL, NULL FROM s GROUP BY ALL""",
+)
+def kept(spark, d):
+    """A panel kept from two batches, of which the second is late for most months and the first came twice, is that of all rows."""
+    m, contracts = model(spark, d), [CONTRACTS[n] for n in ("net_sales", "discount_rate", "mean_quantity")]
+    panel = KeptPanel(spark, scratch(spark), contracts, ["region"])
+    for version, when in ((1, "ingested_on <= '1998-06-30'"), (2, "ingested_on > '1998-06-30'"), (1, "ingested_on <= '1998-06-30'")):
+        for name in ("sales", "refunds"):
+            panel.add(m, name, m.facts[name].df.where(when), version)
+    out = panel.gathered(m, "1990-01", "2010-12").panels(contracts)
+    return out.select("kpi", "period", "region", *(F.round(c, 4).alias(c) for c in ("value", "largest", "slipped")))

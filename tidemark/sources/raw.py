@@ -50,21 +50,44 @@ def _files(spark: SparkSession, path: str):
     return of, of(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder, none if it isn't there."""
+    of, fs = _files(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(of(path))) if exists(spark, path) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    of, fs = _files(spark, path)
+    fs.delete(of(path), True)
+
+
+def _renamed(fs, source, target) -> None:
+    """Hadoop's rename says false where others raise."""
+    if not fs.rename(source, target):
+        raise OSError(f"{source} couldn't be renamed to {target}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is something at path; where a replacement broke off between its two renames, the old folder is put back first."""
     of, fs = _files(spark, path)
     if not fs.exists(of(path)) and fs.exists(of(f"{path}.old")):
-        fs.rename(of(f"{path}.old"), of(path))
+        _renamed(fs, of(f"{path}.old"), of(path))
     return fs.exists(of(path))
 
 
 def replaced(spark: SparkSession, path: str) -> None:
-    """Puts the folder path.new in the place of path. At each moment one of the two is whole under path or path.old."""
+    """Puts the folder path.new in the place of path. At each moment one of the two is whole under path or path.old.
+
+    A rename that fails raises and leaves both; the next call of this or of exists() goes on from there.
+    """
     of, fs = _files(spark, path)
+    if not fs.exists(of(f"{path}.new")):
+        raise FileNotFoundError(f"{path}.new")
     if exists(spark, path):
-        fs.delete(of(f"{path}.old"), True)
-        fs.rename(of(path), of(f"{path}.old"))
-    fs.rename(of(f"{path}.new"), of(path))
+        if fs.exists(of(f"{path}.old")):
+            fs.delete(of(f"{path}.old"), True)  # of a replacement that was whole but for this
+        _renamed(fs, of(path), of(f"{path}.old"))
+    _renamed(fs, of(f"{path}.new"), of(path))
     fs.delete(of(f"{path}.old"), True)
 
 
