@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.dedup_stream import ExactDeduplicator, deduplicated, differing, exact_groups
+from tidemark.llm.dedup_stream import ExactDeduplicator, deduplicated, differing, exact_groups, sha256
 from tidemark.llm.shared import shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,3 +92,14 @@ def test_the_rows_that_stay_have_all_their_columns(spark):
     got = deduplicated(docs)
     assert got.columns == docs.columns and {r.at for r in got.collect()} <= {2, 3, 4} and got.count() == 2
     assert all(r.place == r._place == "keep" and r.run == 8 for r in got.collect())
+
+
+def test_more_digests_than_are_broadcast(spark, monkeypatch):
+    """One hot text among many pairs: the joined way finds the same groups."""
+    rows = [(i, "Hot TEXT" if i % 3 else f"pair {i // 6}") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in exact_groups(docs).collect())
+    monkeypatch.setattr("tidemark.llm.dedup_stream.BROADCAST_DIGESTS", 0)
+    assert sorted(tuple(r) for r in exact_groups(docs).collect()) == want
+    shared = lambda c: F.substring(sha256(c), 1, 1)  # noqa: E731  texts that differ under one digest
+    assert sorted(tuple(r)[:4] for r in exact_groups(docs, digest=shared).collect()) == [x[:4] for x in want]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.shared import ascii_lower, exists, looked_up, removed, settings, shared_dir, touched, without, written
+from tidemark.llm.shared import WIDE_ROWS, ascii_lower, exists, looked_up, removed, settings, shared_dir, touched, without, written
 
 #: Many small stores: changes are uploaded as they are, no file takes more disk than it has content, the stores of
 #: an executor share a bound on memory, and each is closed when its task has committed.
@@ -17,7 +17,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 SEEN = "run int, at long, doc_id long, digest binary"
@@ -62,7 +62,7 @@ class ExactDeduplicator:
         while exists(self.spark, f"{self.inbox}/run={run}/_whole"):
             run += 1
         rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("at"), self.digest(normal(F.col("text"))).alias("digest"), F.struct("*").alias("row"))
-        rows.write.mode("overwrite").parquet(f"{self.inbox}/run={run}")  # what a run left that broke off is written over
+        rows.write.mode("overwrite").options(**WIDE_ROWS).parquet(f"{self.inbox}/run={run}")  # what a run left that broke off is written over
         touched(self.spark, f"{self.inbox}/run={run}/_whole")
         self.row = docs.schema
         files = len(self.spark.read.schema("at long").parquet(f"{self.inbox}/run={run}").inputFiles())
@@ -101,11 +101,12 @@ def differing(rows: DataFrame, groups: DataFrame) -> DataFrame:
     size asks for, and the kept text, fetched by its locator, goes to each of the salts.
     """
     repeated = groups.where("group_size > 1").select("digest", "kept", "group_size")
-    n = repeated.count()
+    n, total = groups.agg(F.count_if(F.col("group_size") > 1), F.sum("group_size")).first()
     if not n:
         return rows.where("false").withColumn("content", normal(F.col("text")))
-    small = n <= BROADCAST_DIGESTS
-    hits = rows.join(F.broadcast(repeated) if small else repeated, "digest").withColumn("content", normal(F.col("text"))).drop("text")
+    # of more than can be broadcast, only the hot ones are: the others have few rows each
+    hits = rows.join(F.broadcast(repeated), "digest") if n <= BROADCAST_DIGESTS else looked_up(rows, repeated, "digest", "group_size", total).where("group_size IS NOT NULL")
+    hits = hits.withColumn("content", normal(F.col("text"))).drop("text")
     salts = F.ceil(F.col("group_size") / COPIES_A_TASK)
     located = (F.col("run") == F.col("kept.run")) & (F.col("at") == F.col("kept.at"))
     fetched = hits.where(located).select("digest", F.col("content").alias("content_kept"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
