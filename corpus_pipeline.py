@@ -12,7 +12,7 @@ from tidemark.llm.dedup_stream import deduplicated
 from tidemark.llm.mixing import mixed
 from tidemark.llm.packing import pack
 from tidemark.llm.rules import filtered
-from tidemark.llm.shared import removed, shared_dir, working_in, written
+from tidemark.llm.shared import WIDE_ROWS, removed, shared_dir, working_in, written
 from tidemark.llm.simhash import one_of_each
 
 
@@ -62,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, docs = shared_dir(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES[:-1]):
         with working_in(f"{folder}/work-{n}"):
-            docs = written(stage(spark, docs, sf_dir), f"{folder}/stage-{n}")
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/stage-{n}", WIDE_ROWS)
         for done in (f"{folder}/work-{n}", f"{folder}/stage-{n - 1}"):
             removed(spark, done)
     return STAGES[-1][1](spark, docs, sf_dir)
