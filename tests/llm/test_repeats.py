@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import repeats
-from tidemark.llm.repeats import cut, earlier, first_seen, intervals, runs, without_repeats
+from tidemark.llm.repeats import cut, earlier, first_seen, intervals, period, runs, without_repeats
 
 N = repeats.LENGTH
 
@@ -114,3 +115,25 @@ def test_query(spark, sf, odd, nothing):
     assert without_repeats(odd).count() == 11 and without_repeats(nothing).count() == 0
     kept = {r.doc_id: r.kept for r in without_repeats(docs, with_text=True).collect()}
     assert {hashlib.sha256(k).hexdigest() for k in kept.values()} == {r.kept_sha256 for r in without_repeats(docs).collect()}
+
+
+def test_strings_that_repeat_themselves_are_indexed_once():
+    assert [period(x) for x in (b"=" * 300, b"- " * 200, b"abc" * 100, b"x" + b"=" * 300, b"=" * 300 + b"x", b"=" * 60)] == [1, 2, 3, 0, 0, 0]
+    strings = [b"=" * (250 + i) for i in range(40)] + [b"ab" * 150, b"ba" * 140, b"q" + b"=" * 300, bytes(range(60, 120)) * 6, bytes(range(60, 120)) * 2]
+    docs = np.array([(7 * i) % 45 for i in range(len(strings))])
+    keys = np.zeros(len(strings), np.uint64)
+    least = {}
+    for s, d in zip(strings, docs.tolist(), strict=True):
+        for i in range(len(s) - 49):
+            least[s[i : i + 50]] = min(d, least.get(s[i : i + 50], d))
+    want = [least[s[i : i + 50]] < d for s, d in zip(strings, docs.tolist(), strict=True) for i in range(len(s) - 49)]
+    assert earlier(strings, docs, keys).tolist() == want
+
+
+def test_a_hot_key_of_padding_is_small():
+    strings, docs = [b"=" * (20_000 + i) for i in range(2_000)], np.arange(2_000)  # 40 MB under one key
+    tracemalloc.start()
+    found = earlier(strings, docs, np.zeros(2_000, np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found[: 20_000 - 49].any() and found[20_000 - 49 :].all() and peak < 3 * len(found)

@@ -205,11 +205,18 @@ def first_seen(strings: list[bytes], docs: np.ndarray) -> np.ndarray:
     return least[ends[string] - 1 - np.arange(len(text)) >= LENGTH]
 
 
+def period(s: bytes) -> int:
+    """The period of a long string that repeats itself from end to end, found by where its first passage stands again; else 0."""
+    p = s.find(s[:LENGTH], 1) if len(s) > 4 * LENGTH else 0
+    return p if p > 0 and s[p:] == s[: len(s) - p] else 0
+
+
 def earlier(strings: list[bytes], docs: np.ndarray, keys: np.ndarray, index: int = INDEX) -> np.ndarray:
     """For each passage of each distinct string: whether a string of a smaller doc has it.
 
     Only strings under one key can share a passage. Strings alone under their key go into no index; the
-    others are indexed in parts by key of about `index` bytes.
+    others are indexed in parts by key of about `index` bytes. Of one that repeats itself from end to end, as rules and
+    padding do, its first passages up to the period are all that differ, and all that is indexed.
     """
     n = np.array([len(s) - LENGTH + 1 for s in strings])
     out = np.zeros(int(n.sum()), bool)
@@ -219,13 +226,19 @@ def earlier(strings: list[bytes], docs: np.ndarray, keys: np.ndarray, index: int
     if not len(several):
         return out
     rank = np.cumsum(count > 1)[at[several]] - 1
-    volume = np.bincount(rank, weights=[len(strings[i]) for i in several.tolist()])
+    periods = np.array([period(strings[i]) for i in several.tolist()])
+    own_n = np.where(periods > 0, periods, n[several])  # passages that are indexed
+    volume = np.bincount(rank, weights=own_n + LENGTH)
     part = (np.cumsum(volume) // index).astype(int)[rank]
     for p in np.unique(part):
-        own = several[part == p]
-        least = first_seen([strings[i] for i in own.tolist()], docs[own])
-        places = np.repeat(begin[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(len(least))
-        out[places] = least < np.repeat(docs[own], n[own])
+        own, m = several[part == p], own_n[part == p]
+        least = first_seen([strings[i][: k + LENGTH - 1] for i, k in zip(own.tolist(), m.tolist(), strict=True)], docs[own])
+        flags, at_cut = least < np.repeat(docs[own], m), np.cumsum(m) - m
+        whole = np.repeat(m == n[own], m)
+        places = np.repeat(begin[own] - at_cut, m) + np.arange(len(flags))
+        out[places[whole]] = flags[whole]
+        for i in np.flatnonzero(m < n[own]).tolist():  # passages that come again and again
+            out[begin[own[i]] : begin[own[i]] + n[own[i]]] = np.resize(flags[at_cut[i] : at_cut[i] + m[i]], n[own[i]])
     return out
 
 
