@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import tokens
@@ -75,8 +75,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, epsi
     mean = weights.agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
-    weighed = asked.join(weights, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "avgdl", idf.alias("idf"))  # one row
-    hit = words.select("doc_id", size.alias("dl"), F.explode("words").alias("term")).join(F.broadcast(weighed), "term")  # the words of a stated set of queries
+    weighed = settled(asked.join(weights, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "avgdl", idf.alias("idf")))  # one row; then Spark knows its size
+    hit = words.select("doc_id", size.alias("dl"), F.explode("words").alias("term")).join(weighed, "term")
     tf = hit.groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("avgdl").alias("avgdl"), F.first("idf").alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return tf.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
@@ -88,16 +88,57 @@ def top(scores: DataFrame, ties: list[str], k: int = TOP) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score for every query vector over all vectors: a stated, broadcast-sized set of queries.
+class KeptIndex:
+    """Postings of a corpus that grows by batches: a text is tokenised once, when it comes in, and searches read words only.
 
-    vectors: doc_id, v; queries: query_id, q. Both as arrays; a zero vector scores null.
+    postings: term, doc_id, tf, by parts of the terms' hash; lengths: doc_id, dl; terms: term, df. Each batch writes its own
+    folder, so one that comes again replaces itself. A document comes in one batch. One writer at a time.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda c: F.sqrt(dot(c, c))
-    left = vectors.withColumn("_n", unit(F.col("v")))
-    right = queries.withColumn("_m", unit(F.col("q")))
-    return left.crossJoin(right).select("query_id", "doc_id", F.try_divide(dot(F.col("v"), F.col("q")), F.nullif(F.col("_n") * F.col("_m"), F.lit(0.0))).alias("score"))
+
+    PARTS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, docs: DataFrame, version: int) -> None:
+        """Takes in doc_id and text of a batch."""
+        words = settled(docs.select("doc_id", tokens(F.col("text")).alias("words")))
+        to = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={version}")
+        to(words.select("doc_id", F.greatest(F.size("words"), F.lit(1)).alias("dl")), "lengths")
+        counts = settled(words.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+        to(counts.groupBy("term").agg(F.count("*").alias("df")), "terms")
+        parts = counts.withColumn("part", self._part("term")).repartition("part")
+        parts.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/batch={version}")
+
+    def _part(self, term: str):
+        return F.pmod(F.xxhash64(term), F.lit(self.PARTS)).cast("int")
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}").drop("batch")
+
+    def search(self, queries: DataFrame, scope: DataFrame | None = None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+        """query_id, doc_id, score as by bm25() over the documents of scope (doc_id), or of all.
+
+        Document counts and mean length are the scope's own. Of the postings, all terms' document counts are kept; only a
+        scope asks for a pass over the postings' ids, and no search for a text. Of the others only parts that have a query's term are read.
+        """
+        lengths, postings = self._read("lengths"), self._read("postings")
+        if scope is None:
+            counted = self._read("terms").groupBy("term").agg(F.sum("df").alias("df"))
+        else:
+            ids = settled(scope.select("doc_id").distinct())
+            lengths, postings = lengths.join(ids, "doc_id", "left_semi"), postings.join(ids, "doc_id", "left_semi")
+            counted = postings.groupBy("term").agg(F.count("*").alias("df"))
+        stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = settled(counted.crossJoin(F.broadcast(stats)).withColumn("raw", raw))  # one row
+        asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+        idf = F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw"))
+        mean = F.broadcast(weights.agg(F.avg("raw").alias("mean_idf")))  # one row
+        weighed = settled(asked.join(weights, "term").crossJoin(mean).select("query_id", "term", self._part("term").alias("part"), "avgdl", idf.alias("idf")))
+        hit = postings.join(weighed, ["part", "term"]).join(lengths, "doc_id")
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def recall(ranked: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from tidemark.functions.columns import one_spaced, quotes, tokens
 from tidemark.operators.challenge import as_evidence, dose, locality, matrix, peers, region_peers, timing
 from tidemark.operators.decompose import contributions, footprint
 from tidemark.operators.evidence import incident_scan, price_delta, read_spike, reason_scan, supported_claims, ticket_spike
-from tidemark.operators.retrieval import bm25, cosine, funnel, recall, scope, top
+from tidemark.operators.nearest import nearest as nearest_of
+from tidemark.operators.retrieval import KeptIndex, bm25, funnel, recall, scope, top
 from tidemark.plans.panel import bounds
 from tidemark.queries import ACCOUNT, SALES, query
 from tidemark.queries.decompose import COVERED, PREVIOUS
-from tidemark.sources.scratch import settled
+from tidemark.sources.scratch import scratch, settled
 from tidemark.sources.star import CONTRACTS, CURRENT, accounts, model, sales, table, tickets
 
 ERRORS = "category = 'error'"
@@ -144,6 +145,16 @@ def search(spark, d):
     return _ranked(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("bm25_index_topk", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 15")
+def search_index(spark, d):
+    """The same ranking from an index that two batches filled, of which one came twice."""
+    docs, index = _documents(spark, d), KeptIndex(spark, scratch(spark))
+    for version, when in ((1, "at < '2024-01-03'"), (2, "at >= '2024-01-03'"), (1, "at < '2024-01-03'")):
+        index.add(docs.where(when), version)
+    scores = index.search(spark.createDataFrame(_QUERIES, "query_id int, query string")).withColumn("score", F.round("score", 8))
+    return top(scores, ["doc_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 _WANTED = "wanted AS (SELECT CAST(conv_id % 3 + 1 AS INTEGER) AS query_id, conv_id || '-' || turn AS doc_id FROM conversations WHERE length(text) > 300 AND turn < 2)"
 
 
@@ -162,7 +173,7 @@ def found(spark, d):
 def nearest(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    return top(cosine(v, q).withColumn("score", F.round("score", 6)), ["doc_id"])
+    return nearest_of(v, q)
 
 
 @query("retrieval_funnel", f"WITH {_DOCS}, {ACCOUNT}, s AS (SELECT * FROM docs WHERE docs.{_EUROPE} AND seen_on BETWEEN DATE '2024-01-02' AND DATE '2024-01-04') SELECT (SELECT count(*) FROM docs) AS corpus, (SELECT count(*) FROM s) AS scoped, (SELECT count(*) FROM s WHERE length(text) > 100) AS returned, round(1 - (SELECT count(*) FROM s) / (SELECT count(*) FROM docs), 9) AS reduction")
