@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.challenge import control
 from tidemark.operators.decompose import pair
+from tidemark.operators.ranks import median_selected
 from tidemark.operators.series import daily, decomposed, false_alarms, jaccard, material, movement, onsets, peer_expectation, persistence, placebo, price_volume_mix, robust_z, since_gap, spearman
 from tidemark.operators.verify import materiality
 from tidemark.plans.contract import Materiality
@@ -86,6 +87,13 @@ def gap(spark, d):
     return since_gap(panel, ["region"]).select("region", "period", F.round("value", 4).alias("value"))
 
 
+@query("median_selected", f"WITH {SALES}, {ACCOUNT} SELECT region, period, count(amount_gross) AS n, round(median(amount_gross), 4) AS median FROM sales JOIN account USING (account_id) GROUP BY ALL")
+def selected(spark, d):
+    """Medians by selection instead of by gathering a group's values."""
+    rows = sales(spark, d).join(accounts(spark, d), "account_id").select("region", F.date_format("sold_on", "yyyy-MM").alias("period"), "amount_gross")
+    return median_selected(rows, ["region", "period"], "amount_gross").withColumn("median", F.round("median", 4))
+
+
 @query(
     "peer_expectation",
     f"""WITH {_MOVES}, h AS (SELECT *, (value - previous) / previous AS rel FROM moves WHERE period = '{CURRENT}' AND previous IS NOT NULL AND previous <> 0),
