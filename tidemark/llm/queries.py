@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.dedup_stream import exact_groups
@@ -97,10 +97,14 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document's pieces hold each of its ids once, and no sequence is over its bound: the arithmetic of packing."""
+    """What holds of every packing, by document: its pieces follow one another without a gap or an overlap and have all its
+    ids, and each of the sequences that they are in is filled from 0 on without a gap or an overlap, up to 4096 ids."""
     p = op1_harmonic_packing(spark, sf_dir)
-    each = p.groupBy("doc_id").agg((F.sum("length") == F.first("doc_tokens")).alias("whole"), (F.sum(F.col("start") + F.col("length")) - F.sum("start") == F.max("doc_tokens")).alias("gapless"))
-    return each.select("doc_id", (F.col("whole") & F.col("gapless")).alias("whole"))
+    of_doc, of_sequence = Window.partitionBy("doc_id").orderBy("start"), Window.partitionBy("sequence_id").orderBy("offset")
+    follows = lambda at, w: F.col(at) == F.coalesce(F.lag(F.col(at) + F.col("length")).over(w), F.lit(0))
+    each = p.withColumns({"_in_doc": follows("start", of_doc), "_in_sequence": follows("offset", of_sequence), "_end": F.col("start") + F.col("length")})
+    fits = F.col("_in_sequence") & (F.col("length") > 0) & (F.col("offset") + F.col("length") <= 4096)
+    return each.groupBy("doc_id").agg(F.max("_end").alias("n"), F.max("doc_tokens").alias("of"), F.bool_and("_in_doc").alias("gapless"), F.bool_and(fits).alias("bounded")).select("doc_id", (F.col("n") == F.col("of")).alias("whole"), "gapless", "bounded")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -159,7 +163,7 @@ ORACLES: dict[str, str] = {
                           list_filter(list_transform(card, lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 14 AND 19 AND {_LUHN}) AS card,
                           list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15) AS phone FROM m)
         SELECT doc_id, length(email) AS n_email, length(ip) AS n_ip, length(card) AS n_card, length(phone) AS n_phone FROM e""",
-    "packed_tokens": "SELECT doc_id, true AS whole FROM documents",
+    "packed_tokens": "SELECT doc_id, true AS whole, true AS gapless, true AS bounded FROM documents",
     "op4_streaming_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -168,7 +172,8 @@ ORACLES: dict[str, str] = {
     # phrases and their parts have one space between words, so a phrase is found by its string
     "op13_bitmap_collocations": r"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
              w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
              t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
              g AS (SELECT lang, unnest([w[i:i + j] FOR i IN range(1, len(w) - j + 1)]) AS g FROM (SELECT lang, w, unnest(range(3)) AS j FROM w) WHERE len(w) > j),
