@@ -124,14 +124,13 @@ def _owners(spark, d):
     ]
 
 
-@query(
-    "cross_kpi_partition",
-    f"""WITH {_SIDES}, ch AS (SELECT account_id, sum(CASE WHEN is_recurring = 1 THEN amount_net * CASE WHEN period = '{CURRENT}' THEN 1 ELSE -1 END END) AS rec, sum(CASE WHEN is_recurring = 0 THEN amount_net * CASE WHEN period = '{CURRENT}' THEN 1 ELSE -1 END END) AS oth FROM s GROUP BY 1),
+_BUCKETS = f"""{_SIDES}, ch AS (SELECT account_id, sum(CASE WHEN is_recurring = 1 THEN amount_net * CASE WHEN period = '{CURRENT}' THEN 1 ELSE -1 END END) AS rec, sum(CASE WHEN is_recurring = 0 THEN amount_net * CASE WHEN period = '{CURRENT}' THEN 1 ELSE -1 END END) AS oth FROM s GROUP BY 1),
         churned AS (SELECT DISTINCT user_id AS a FROM events WHERE event_type = 'error' AND value > 60), launched AS (SELECT account_id AS a FROM sales GROUP BY 1 HAVING min(sold_on) >= DATE '1996-01-01'), expanded AS (SELECT DISTINCT user_id AS a FROM events WHERE event_type = 'purchase'),
         e AS (SELECT CASE WHEN account_id IN (SELECT a FROM churned) THEN 'churned' WHEN account_id IN (SELECT a FROM launched) THEN 'launched' WHEN account_id IN (SELECT a FROM expanded) THEN 'expanded' ELSE 'non_recurring' END AS bucket, coalesce(rec, 0) AS v FROM ch
-              UNION ALL SELECT 'non_recurring', coalesce(oth, 0) FROM ch)
-        SELECT bucket, round(sum(v), 4) AS delta FROM e GROUP BY 1""",
-)
+              UNION ALL SELECT 'non_recurring', coalesce(oth, 0) FROM ch)"""
+
+
+@query("cross_kpi_partition", f"WITH {_BUCKETS} SELECT bucket, round(sum(v), 4) AS delta FROM e GROUP BY 1")
 def buckets(spark, d):
     changes = recurring_changes(labelled(scoped(model(spark, d), "sales", [], [], months=(PREVIOUS, CURRENT))), CURRENT, PREVIOUS)
     return partition(changes, _owners(spark, d)).select("bucket", F.round("delta", 4).alias("delta"))
@@ -148,10 +147,11 @@ def shown(spark, d):
     return out.select("dimension", "key", F.when(F.col("key") == "others", F.round("share", 4)).otherwise(F.round("share", 5)).alias("share"), "n_keys")
 
 
-@query("partition_residual", f"WITH {_SIDES}, t AS (SELECT sum(amount_net * CASE WHEN period = '{CURRENT}' THEN 1 ELSE -1 END) AS v FROM s) SELECT round(abs(v - v) / abs(v), 6) AS residual, true AS within FROM t")
+@query("partition_residual", f"WITH {_BUCKETS}, r AS (SELECT abs(sum(v) - sum(v) FILTER (WHERE bucket <> 'non_recurring')) / nullif(abs(sum(v)), 0) AS residual FROM e) SELECT round(residual, 6) AS residual, residual <= 0.02 AS within FROM r")
 def unexplained(spark, d):
+    """What the buckets of recurring changes leave of the whole movement."""
     lines = labelled(scoped(model(spark, d), "sales", [], [], months=(PREVIOUS, CURRENT)))
-    nodes = partition(recurring_changes(lines, CURRENT, PREVIOUS), _owners(spark, d))
+    nodes = partition(recurring_changes(lines, CURRENT, PREVIOUS), _owners(spark, d)).where("bucket <> 'non_recurring'")
     total = lines.where(F.col("period").isin(CURRENT, PREVIOUS)).agg(F.sum(F.when(F.col("period") == CURRENT, F.col("amount_net")).otherwise(-F.col("amount_net")))).first()[0]
     return residual(nodes, total).select(F.round("residual", 6).alias("residual"), "within")
 

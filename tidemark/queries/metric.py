@@ -98,9 +98,11 @@ def _calendar(spark):
     return fiscal_calendar(spark, date(1994, 1, 1), date(2002, 12, 31), date(1994, 3, 28))
 
 
-@query("fiscal_445_calendar", f"WITH {_FISCAL} SELECT strftime(day, '%Y-%m-%d') AS day, fiscal_year, fiscal_quarter, fiscal_period, fiscal_week, 'FY' || fiscal_year || '-P' || lpad(CAST(fiscal_period AS VARCHAR), 2, '0') AS period_label FROM fiscal")
+@query("fiscal_445_calendar", f"WITH {_FISCAL} SELECT strftime(day, '%Y-%m-%d') AS day, fiscal_year, fiscal_quarter, fiscal_period, fiscal_week, 'FY' || fiscal_year || '-P' || lpad(CAST(fiscal_period AS VARCHAR), 2, '0') AS period_label, count(*) AS n_orders FROM fiscal JOIN orders ON CAST(o_orderdate AS DATE) = day GROUP BY ALL")
 def calendar(spark, d):
-    return _calendar(spark).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    """Each day that has orders in the calendar, with their number."""
+    days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n_orders"))
+    return _calendar(spark).join(days, "day").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.challenge import control
 from tidemark.operators.decompose import pair
+from tidemark.operators.bitmaps import bitmaps
+from tidemark.operators.bitmaps import overlaps as overlaps_of
 from tidemark.operators.ranks import median_selected
-from tidemark.operators.series import daily, decomposed, false_alarms, jaccard, material, movement, onsets, peer_expectation, persistence, placebo, price_volume_mix, robust_z, since_gap, spearman
+from tidemark.operators.series import daily, decomposed, false_alarms, material, movement, onsets, peer_expectation, persistence, placebo, price_volume_mix, robust_z, since_gap, spearman
 from tidemark.operators.verify import materiality
 from tidemark.plans.contract import Materiality
 from tidemark.plans.panel import kpi_panel, with_spine
 from tidemark.queries import ACCOUNT, SALES, query
+from tidemark.sources.scratch import settled
 from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, accounts, model, sales, table, tickets
 from tidemark.streaming.scheduled import windowed_counts
 
@@ -141,9 +144,8 @@ def changes(spark, d):
        SELECT a.category AS a, b.category AS b, round(len(list_intersect(a.ids, b.ids)) / nullif(len(list_distinct(list_concat(a.ids, b.ids))), 0), 9) AS overlap FROM s a JOIN s b ON a.category < b.category""",
 )
 def overlaps(spark, d):
-    sets = tickets(spark, d).where("value > 80").groupBy("category").agg(F.collect_set("account_id").alias("ids"))
-    a, b = sets.select(F.col("category").alias("a"), F.col("ids").alias("x")), sets.select(F.col("category").alias("b"), F.col("ids").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 9).alias("overlap"))
+    sets = settled(bitmaps(tickets(spark, d).where("value > 80"), "category", "account_id"))
+    return overlaps_of(sets, sets, "category").where("a < b").select("a", "b", F.round("overlap", 9).alias("overlap"))
 
 
 @query(
@@ -224,8 +226,8 @@ def windows(spark, d):
 
 @query("false_alarm_calibration")
 def alarms(spark, d):
-    """Simulation of stable series under a contract's gates: random draws by trial, not SQL."""
-    return false_alarms(spark, 400, 36, 0.02, 0.1, Materiality(0.03, 1.0)).select("trials", F.round("rate", 6).alias("rate"))
+    """A simulated stable series for each customer, under a contract's gates: random draws by id, not SQL."""
+    return false_alarms(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 36, 0.02, 0.1, Materiality(0.03, 1.0)).select("trials", F.round("rate", 6).alias("rate"))
 
 
 @query(
