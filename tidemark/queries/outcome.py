@@ -10,6 +10,7 @@ from tidemark.operators.challenge import TESTS
 from tidemark.operators.entitle import collapse, redactions, rows, rows_by_rule
 from tidemark.operators.feedback import gates, priors, reordered
 from tidemark.operators.incremental import continued, next_period
+from tidemark.operators.names import without_names
 from tidemark.operators.outcome import adjudicate, priority, questions, recommend
 from tidemark.operators.store import latest, noise_share, rollup, telemetry
 from tidemark.plans.contract import Persona, contract_of
@@ -156,6 +157,21 @@ def prose(spark, d):
     return table(spark, d, "customer").select("c_custkey", scrubbed(t, ["customer", "customer number"]).alias("prose"))
 
 
+@query(
+    "scrub_names",
+    """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_custkey % 50 + 1 AS o FROM customer), a AS (SELECT c_custkey AS k, c_name AS n, 'Account ' || left(sha256(CAST(c_custkey AS VARCHAR)), 4) AS alias FROM customer)
+       SELECT c.k AS c_custkey, 'From ' || x.alias || ' (buyer ' || c.k || ' of ' || y.alias || '), not ' || c.n || 'x, by ' || y.alias || '.' AS prose FROM c JOIN a x ON x.k = c.k JOIN a y ON y.k = c.o""",
+)
+def named(spark, d):
+    """All customers' names, in two spellings, out of texts that have some of them; a longer word that begins like a name stays."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 50 + 1).alias("o"))
+    other = c.select(F.col("c_custkey").alias("o"), F.col("c_name").alias("m"))
+    text = F.concat(F.lit("From "), F.upper("c_name"), F.lit(" (buyer "), F.col("c_custkey").cast("string"), F.lit(" of "), "m", F.lit("), not "), "c_name", F.lit("x, by partner "), F.col("o").cast("string"), F.lit("."))
+    docs = c.join(other, "o").select("c_custkey", text.alias("prose"))
+    names = c.select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("name")).unionByName(c.select(F.col("c_custkey").alias("account_id"), F.concat(F.lit("Partner "), F.col("c_custkey").cast("string")).alias("name")))
+    return without_names(docs, names, "prose")
+
+
 @query("redactions_stated", f"WITH {ACCOUNT} SELECT * FROM (SELECT 'row' AS surface, 'region' AS field, count(*) AS n FROM account WHERE region <> 'ASIA' UNION ALL SELECT 'domain', 'segment', count(*) FROM account WHERE segment NOT IN ('BUILDING', 'MACHINERY')) WHERE n > 0")
 def stated(spark, d):
     return redactions(accounts(spark, d), CONTRACT, Persona("vp_asia", "vp_sales", region="ASIA"), ["region"], CONTRACT.access.domain["segment"] and {"segment": CONTRACT.access.domain["segment"]["support"]})
