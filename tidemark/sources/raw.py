@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import uuid
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,24 @@ def removed(spark: SparkSession, path: str) -> None:
     fs.delete(of(path), True)
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file that is whole at once, unless there is one of that name: whether this one was first."""
+    jvm, (of, fs) = spark._jvm, _files(spark, path)
+    aside = of(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(of(path).toUri(), spark._jsc.hadoopConfiguration()).rename(aside, of(path), spark.sparkContext._gateway.new_array(rename, 0))
+        return True
+    except Py4JJavaError:
+        fs.delete(aside, False)
+        if fs.exists(of(path)):
+            return False
+        raise
+
+
 def _renamed(fs, source, target) -> None:
     """Hadoop's rename says false where others raise."""
     if not fs.rename(source, target):
