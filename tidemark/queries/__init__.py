@@ -23,6 +23,12 @@ ACCOUNT = """account AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
+def month_before(value: str) -> str:
+    """SQL of a value in the month before, of panels by region and period; null where that month has no row."""
+    w = "OVER (PARTITION BY region ORDER BY period)"
+    return f"CASE WHEN lag(period) {w} = strftime(CAST(period || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m') THEN lag({value}) {w} END"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f

@@ -13,14 +13,14 @@ from tidemark.operators.series import daily, decomposed, false_alarms, material,
 from tidemark.operators.verify import materiality
 from tidemark.plans.contract import Materiality
 from tidemark.plans.panel import kpi_panel, with_spine
-from tidemark.queries import ACCOUNT, SALES, query
+from tidemark.queries import ACCOUNT, SALES, month_before, query
 from tidemark.sources.scratch import settled
 from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, accounts, model, sales, table, tickets
 from tidemark.streaming.scheduled import windowed_counts
 
 _PANEL = f"""{SALES}, {ACCOUNT}, panel AS (SELECT period, region, sum(amount_net) - coalesce(sum(amount_net) FILTER (WHERE return_flag = 'R'), 0) AS value
   FROM sales JOIN account USING (account_id) WHERE period <= '{CURRENT}' GROUP BY 1, 2)"""
-_MOVES = f"""{_PANEL}, moves AS (SELECT *, lag(value) OVER (PARTITION BY region ORDER BY period) AS previous FROM panel)"""
+_MOVES = f"""{_PANEL}, moves AS (SELECT *, {month_before('value')} AS previous FROM panel)"""
 RULES = Materiality(0.02, 100.0, 1, 1.0)
 
 
@@ -65,7 +65,7 @@ def run(spark, d):
 
 @query(
     "materiality_gate",
-    f"""WITH {_RUN}, m AS (SELECT region, value, lag(value) OVER (PARTITION BY region ORDER BY period) AS previous, period FROM panel),
+    f"""WITH {_RUN}, m AS (SELECT region, value, {month_before('value')} AS previous, period FROM panel),
         g AS (SELECT region, last_z, run, value - previous AS delta, CASE WHEN coalesce(previous, 0) = 0 THEN 0 ELSE abs((value - previous) / previous) END AS rel FROM m JOIN runs USING (region) WHERE period = '{CURRENT}')
         SELECT region, coalesce(abs(last_z) > 1.0, false) AND run >= 1 AND rel >= 0.02 AND coalesce(abs(delta) >= 100, false) AS material,
           concat_ws(',', CASE WHEN NOT coalesce(abs(last_z) > 1.0, false) THEN 'score' END, CASE WHEN run < 1 THEN 'persistence' END, CASE WHEN rel < 0.02 THEN 'relative' END, CASE WHEN NOT coalesce(abs(delta) >= 100, false) THEN 'absolute' END) AS reasons FROM g""",

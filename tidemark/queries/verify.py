@@ -13,7 +13,7 @@ from tidemark.operators.scan import regions, summary, sweep
 from tidemark.operators.series import movement
 from tidemark.operators.verify import artefacts, completeness, drift, freshness, records, sparse, verify
 from tidemark.plans.panel import kpi_panel
-from tidemark.queries import ACCOUNT, SALES, query
+from tidemark.queries import ACCOUNT, SALES, month_before, query
 from tidemark.sources.scratch import scratch
 from tidemark.sources.star import CONTRACTS, CURRENT, FIRST, accounts, model, table
 
@@ -63,8 +63,8 @@ def slipped(spark, d):
 @query(
     "artefact_check",
     f"""WITH {_RECORDS}, p AS (SELECT period, region, sum(amount_net) - coalesce(sum(amount_net) FILTER (WHERE return_flag = 'R'), 0) AS value FROM sales JOIN account USING (account_id) GROUP BY 1, 2),
-        m AS (SELECT period, region, value - lag(value) OVER (PARTITION BY region ORDER BY period) AS delta FROM p),
-        t AS (SELECT period, region, greatest(largest, coalesce(lag(largest) OVER (PARTITION BY region ORDER BY period), 0)) AS largest, slipped FROM rec)
+        m AS (SELECT period, region, value - {month_before('value')} AS delta FROM p),
+        t AS (SELECT period, region, greatest(largest, coalesce({month_before('largest')}, 0)) AS largest, slipped FROM rec)
         SELECT period, region, round(largest / nullif(abs(delta), 0), 6) AS record_share, greatest(coalesce(largest / nullif(abs(delta), 0), 0), coalesce(slipped / nullif(abs(delta), 0), 0)) > 0.35 AS artefact
         FROM m JOIN t USING (period, region)""",
 )
@@ -77,7 +77,7 @@ def artefact(spark, d):
 @query(
     "definition_drift",
     f"""WITH {SALES}, {ACCOUNT}, t AS (SELECT period, region, sum(amount_gross) AS g, coalesce(sum(amount_net) FILTER (WHERE return_flag = 'R'), 0) AS r FROM sales JOIN account USING (account_id) GROUP BY 1, 2),
-        v AS (SELECT period, region, g, lag(g) OVER w AS g0, g - r AS h, lag(g - r) OVER w AS h0 FROM t WINDOW w AS (PARTITION BY region ORDER BY period))
+        v AS (SELECT period, region, g, {month_before('g')} AS g0, g - r AS h, {month_before('g - r')} AS h0 FROM t)
         SELECT period, region, round(CASE period WHEN '1998-01' THEN (g - g0) / g0 ELSE (h - h0) / h0 END, 9) AS earlier_relative, abs(CASE period WHEN '1998-01' THEN (g - g0) / g0 ELSE (h - h0) / h0 END) < 0.03 AS drifted
         FROM v WHERE period IN ('1998-01', '2000-01')""",
 )
