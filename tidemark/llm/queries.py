@@ -27,42 +27,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 ids; null texts, empty tables and ties as in pack()."""
     return pack(_table(spark, sf_dir, "documents"))
 
 
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; null sources and texts, empty tables and ties as in mix()."""
     return mix(_table(spark, sf_dir, "documents"))
 
 
 def op3_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text; null and very long texts as in personal_data()."""
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
 def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one of its equal texts that stays; nulls, ties and repeated rows as in exact_groups()."""
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def op5_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, by what the others' labels teach; nulls and texts without a letter as in identify()."""
     return identify(_table(spark, sf_dir, "documents"))
 
 
 def op6_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without the 50-byte strings of earlier documents; nulls and repeated rows as in without_repeats()."""
     return without_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the least id that near fingerprints reach; texts without a word and null ids as in near_groups()."""
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
 def op8_tokeniser_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of each text, and whether its rules and fertility keep it; nulls, repeated rows and texts without a letter as in quality(), an empty table gives no row."""
     return quality(_table(spark, sf_dir, "documents"))
 
 
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of each document by the separators in flat token files; nulls and special tokens as in token_counts()."""
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
 def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of each whole text under PPM and a unigram; nulls, repeated rows and an empty training set as in scores()."""
     return scores(_table(spark, sf_dir, "documents"))
 
 
