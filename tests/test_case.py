@@ -1,5 +1,5 @@
 import dataclasses
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from tidemark.operators.store import CaseStore, rollup
 from tidemark.plans.contract import Access, Driver, Persona, contract_of
 from tidemark.plans.panel import Fact, Model
 from tidemark.sources.star import CONTRACTS, FIRST, model
+from tidemark.streaming.scheduled import repeated
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +95,26 @@ def test_what_probes_found_is_in_the_ledger(spark, world):
         evidence(more, [Driver("x", probe="nothing")], at)
 
 
+def test_a_contract_may_have_a_probe_of_its_own(spark, world, tmp_path):
+    m, contract, tables = world
+    path = tmp_path / "busy.sql"
+    path.write_text("SELECT account_id AS about, 'found' AS outcome, count(*) > 100 AS supported, 0.7 AS strength, NULL AS denominator, concat(account_id, ': ', count(*)) AS claim FROM {ticket} JOIN {footprint} USING (account_id) WHERE created_at >= :start AND created_at < :end GROUP BY account_id")
+    own = dataclasses.replace(contract, drivers=(*contract.drivers, Driver("busy", probe=str(path), max_lag_days=10)))
+    case = run_case(m, own, "2024-03", {"region": "East"}, "2022-01", tables)
+    items = {r.id: r for r in case.evidence.where("driver = 'busy' AND method = 'sql'").collect()}
+    assert {i: (r.outcome, r.supports, r.strength, r.claim) for i, r in items.items()} == {f"ev-busy-{a}": ("found", "busy", 0.7, f"{a}: 164") for a in ("A00", "A01")}
+    assert {r.driver for r in case.matrix.collect()} == {"integration", "pricing", "offer", "supply", "busy"}
+    path.write_text("SELECT 1 AS about FROM {ticket}")
+    with pytest.raises(EvidenceError, match="no column outcome"):
+        evidence(tables, [Driver("busy", probe=str(path))], Footprint(spark.createDataFrame([("A00",)], "account_id string"), date(2024, 2, 1), date(2024, 3, 31)))
+
+
+def test_runs_are_repeated_with_a_wait_between():
+    waits = []
+    assert list(repeated(lambda n: n * 10, timedelta(hours=6), 3, waits.append)) == [0, 10, 20] and waits == [21600.0, 21600.0]
+    assert list(repeated(lambda n: n, timedelta(1), 0, waits.append)) == [] and next(repeated(lambda n: n, timedelta(1), wait=waits.append)) == 0
+
+
 def test_a_minor_price_cause_has_its_share(spark, world):
     """One account's price falls a little beside the loss that a cause explains: support was found for it, though a test refutes it."""
     m, contract, tables = world

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.causes import Footprint, Tables, _segments
-from tidemark.operators.evidence import SPIKE, EvidenceError, incident_scan, price_delta, reason_scan, ticket_spike
+from tidemark.operators.evidence import SPIKE, EvidenceError, incident_scan, price_delta, reason_scan, sql_probe, ticket_spike
 from tidemark.plans.contract import Driver
 
 # The lost-reason codes that name a competitor, and how strong a fact and an absence of each probe are.
@@ -18,6 +18,7 @@ PRICE_FOUND, PRICE_ABSENT, REASON_ABSENT = 0.8, 0.6, 0.8
 INCIDENT_FOUND, INCIDENT_ABSENT = 0.6, 0.5
 
 SCHEMA = "about string, outcome string, supported boolean, strength double, denominator long, claim string"
+_COLUMNS = [tuple(x.split()) for x in SCHEMA.split(", ")]
 
 
 def _item(about: Column, outcome: Column, supported: Column, strength: Column, denominator: Column | None, claim: Column) -> list[Column]:
@@ -66,12 +67,21 @@ NEEDS = {"ticket_spike": ("ticket",), "price_delta": ("price_book", "account"),
 def evidence(tables: Tables, drivers: list[Driver], at: Footprint) -> DataFrame | None:
     """id, driver, outcome, supports, contradicts, method, strength, coverage, denominator, claim of all drivers' probes.
 
-    An unregistered probe is an error; one whose tables aren't there gives one item that can't be checked.
+    An unregistered probe is an error; one whose tables aren't there gives one item that can't be checked. A probe that
+    is the path of a .sql file is the contract's own: sql_probe() runs it with the tables, {footprint} and the dates :start and
+    :end, and its rows are items with the columns of SCHEMA.
     """
     parts = []
     for d in drivers:
         if not d.probe:
             continue
+        if d.probe.endswith(".sql"):
+            rows = sql_probe(at.accounts.sparkSession, d.probe, tables | {"footprint": at.accounts}, {"start": at.start, "end": at.end})
+            lacking = [n for n, _ in _COLUMNS if n not in rows.columns]
+            if lacking:
+                raise EvidenceError(f"{d.probe}: no column {', '.join(lacking)}")
+            parts.append(rows.select(*(F.col(n).cast(t).alias(n) for n, t in _COLUMNS)).withColumn("driver", F.lit(d.id)))
+            continue
         if d.probe not in READERS:
             raise EvidenceError(f"driver {d.id!r}: no reader of probe {d.probe!r}")
         lacking = [t for t in NEEDS[d.probe] if t not in tables]

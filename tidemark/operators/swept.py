@@ -221,7 +221,8 @@ def investigated(model: Model, contracts: list[Contract], openings: DataFrame, t
 
     openings: case_id, kpi, period, dims and ceiling, a row a case, of any number of contracts, periods and slices. A row
     out for each case and driver with a probe; cases of contracts without one have none. Values are those of
-    run_case(). tables are the raw tables, with account; drivers whose tables aren't there stay inconclusive.
+    run_case(). tables are the raw tables, with account; drivers whose tables aren't there stay inconclusive, and so
+    do those whose probe is a file of SQL, which is written for one case's footprint and isn't run here.
 
     The number of jobs depends on the contracts and probes, not on the cases. What is read on the driver is the first and
     the last period. No key has more rows than an account has days, or a case accounts, before they are grouped.

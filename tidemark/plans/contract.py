@@ -131,7 +131,7 @@ def problems(contract: Contract, roles: frozenset[str], tables: frozenset[str],
         found += [f"lineage names unknown table {m[0]!r}" for m in _TABLES_IN_LINEAGE.finditer(line) if m[0] not in tables and m[2] not in tables]
     ids = [d.id for d in contract.drivers]
     found += [f"driver {i!r} is declared twice" for i in sorted({i for i in ids if ids.count(i) > 1})]
-    found += [f"driver {d.id!r} has no probe {d.probe!r}" for d in contract.drivers if d.probe and d.probe not in probes]
+    found += [f"driver {d.id!r} has no probe {d.probe!r}" for d in contract.drivers if d.probe and d.probe not in probes and not d.probe.endswith(".sql")]
     found += [f"composition names unknown KPI {k!r}" for k in contract.composition if k not in kpis]
     starts = [e.effective_from for e in contract.epochs]
     if starts:

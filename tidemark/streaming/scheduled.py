@@ -5,13 +5,29 @@ The batch engine needs neither; they feed and rerun it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from datetime import timedelta
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+T = TypeVar("T")
+
+
+def repeated(run: Callable[[int], T], every: timedelta, times: int | None = None, wait: Callable[[float], None] = time.sleep) -> Iterator[T]:
+    """What run gives for 0, 1, 2 and so on, a stated number of times or for ever, with a wait between two runs and none after the last."""
+    n = 0
+    while times is None or n < times:
+        if n:
+            wait(every.total_seconds())
+        yield run(n)
+        n += 1
+
+
 def windowed_counts(events: DataFrame, at: str = "ts", by: tuple[str, ...] = ("event_type",), window: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
     """start, by, n, total of each tumbling or sliding window; rows later than the watermark are left out of a stream."""
     out = events.withColumn(at, F.col(at).cast("timestamp"))
