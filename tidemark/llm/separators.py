@@ -8,11 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import on_workers, shared_dir, written
+from tidemark.llm.shared import exists, on_workers, settings, shared_dir, written
 from tidemark.llm.tokens import VOCABULARY, encoder
 
 #: Ids of word_bpe_49k.json, all under 2**16: two bytes an id, little-endian; documents end with <|endoftext|>.
@@ -26,41 +25,47 @@ GROUP = 1024
 TASK = 1 << 26
 
 BLOCKS = "file string, block long, ids binary"
+#: Rows that end with the two bytes of END.
+ROWS = {"encoding": "ISO-8859-1", "lineSep": END.to_bytes(2, "little").decode("ISO-8859-1")}
+#: Paths that Arrow's file systems open as they are.
+RANGED = "(file|hdfs|s3|gs|abfss?):"
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end: int = END, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Writes the ids of all documents one after the other, each followed by end, a file for each task.
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> tuple[str, DataFrame] | None:
+    """Writes the ids of all documents one after the other, each followed by END, to flat binary files, one for each task.
 
-    Returns the files' blocks (file, block, ids) and, apart from them, which document is where: file, first
-    (its first document's ordinal), doc_ids. Null texts are empty. A file is a run of blocks of fixed size, as
-    rows of a Parquet table, since Spark's readers and writers alone reach every store.
+    Spark's writer of text makes the files, with the mark's two bytes as the separator of its rows, so they are committed as any
+    table's. Returns the files' folder and, apart from them, which document is where: file (its name), first (its first
+    document's ordinal), doc_ids. Null texts are empty; None where there is no row.
     """
     spark = docs.sparkSession
     on_workers(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, name = encoder(vocabulary, DTYPE, special=False), f"part-{TaskContext.get().partitionId():06d}"
-        schema = pa.schema([("kind", pa.string()), ("file", pa.string()), ("n", pa.int64()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
-        rows = lambda kind, n, ids, doc_ids: pa.RecordBatch.from_pylist([{"kind": kind, "file": name, "n": n, "ids": ids, "doc_ids": doc_ids}], schema)
-        held, written, first, mark = bytearray(), 0, 0, end.to_bytes(2, "little")
+        encode, first = encoder(vocabulary, DTYPE, special=False), 0
+        row = lambda kind, value: pa.RecordBatch.from_arrays([pa.array([value], pa.binary()), pa.array([kind])], ["value", "kind"])
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
             for ids in encode.encode(t or "" for t in batch.column("text").to_pylist()):
-                held += ids + mark
-                while len(held) >= block:
-                    yield rows("tokens", written, bytes(held[:block]), None)
-                    del held[:block]
-                    written += 1
-            yield rows("documents", first, None, doc_ids)
+                yield row("tokens", ids)
+            doc_ids = batch.column("doc_id").to_pylist()
+            if doc_ids:
+                yield row("documents", f"{first}:{','.join('' if d is None else str(d) for d in doc_ids)}".encode())
             first += len(doc_ids)
-        if held:
-            yield rows("tokens", written, bytes(held), None)
 
-    table = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind string, file string, n long, ids binary, doc_ids array<long>")
-    table.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
-    read = spark.read.schema("file string, n long, ids binary, doc_ids array<long>, kind string").parquet(folder)
-    blocks = read.where("kind = 'tokens'").select("file", F.col("n").alias("block"), "ids")
-    return blocks, read.where("kind = 'documents'").select("file", F.col("n").alias("first"), "doc_ids")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "value binary, kind string")
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": "2"}):  # a task writes both files as it goes, in the order of its rows
+        rows.select(F.col("value").cast("string"), "kind").write.partitionBy("kind").options(**ROWS).text(folder)
+    if not exists(spark, f"{folder}/kind=documents"):
+        return None
+    read = spark.read.options(**ROWS).text(f"{folder}/kind=documents")
+    parts = F.split("value", ":")
+    ids = F.transform(F.split(parts[1], ","), lambda x: F.nullif(x, F.lit("")).cast("long"))
+    return f"{folder}/kind=tokens", read.select(read.metadataColumn("_metadata")["file_name"].alias("file"), parts[0].cast("long").alias("first"), ids.alias("doc_ids"))
+
+
+def token_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """The blocks of flat token files, by byte range where Arrow opens such a path, else through Spark's reader of whole files."""
+    return ranged_blocks(spark, path, block) if re.match(RANGED, path) else raw_blocks(spark, path, block)
 
 
 def ranged_blocks(spark: SparkSession, path: str, block: int = BLOCK, task: int = TASK) -> DataFrame:
@@ -157,12 +162,18 @@ def scan(blocks: DataFrame, end: int = END, dtype: str = DTYPE, group: int = GRO
     return done.unionByName(rest.where("n_tokens > 0"))
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """Writes docs to token files, scans these, and names the documents again.
+def token_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Writes docs to flat token files, scans these, and names the documents again.
 
     One row for each row of docs: doc_id, n_tokens, file, ordinal, start. A null text has no token, a null
-    doc_id stays null, repeated rows are documents of their own, extra columns are ignored, no row gives no result.
+    doc_id stays null, repeated rows are documents of their own, extra columns are ignored, no row gives no result. A very
+    long text is encoded in parts, and its ids, two bytes each, are one row of the writer and any number of blocks of the scan.
     """
-    blocks, documents = write_token_files(docs, shared_dir(docs.sparkSession))
+    spark = docs.sparkSession
+    files = write_token_files(docs, shared_dir(spark))
+    if files is None:
+        return spark.createDataFrame([], "doc_id long, n_tokens long, file string, ordinal long, start long")
+    path, documents = files
     named = documents.select("file", "first", F.posexplode("doc_ids").alias("at", "doc_id")).select("file", (F.col("first") + F.col("at")).alias("ordinal"), "doc_id")
-    return scan(blocks).join(named, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    found = scan(token_blocks(spark, path, block)).withColumn("file", F.substring_index("file", "/", -1))
+    return found.join(named, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
