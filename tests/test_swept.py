@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.challenge import TESTS
+from tidemark.operators.evidence import EvidenceError
 from tidemark.operators.intervals import overlapping, spike_counts, within
 from tidemark.operators.investigate import run_case
 from tidemark.operators.swept import investigated
-from tidemark.plans.contract import contract_of
+from tidemark.plans.contract import Driver, contract_of
 from tidemark.plans.panel import Fact, Model
 
 DRIVERS = [
@@ -103,6 +104,30 @@ def test_missing_tables_leave_drivers_undecided(spark, world):
         investigated(m, [dataclasses.replace(contracts[0], drivers=())], _openings(spark, []), tables)
 
 
+def test_a_probe_of_sql_runs_over_all_cases(spark, world, tmp_path):
+    """A contract's own probe finds in each of many cases what it finds in that case alone."""
+    m, contracts, tables = world
+    path = tmp_path / "busy.sql"
+    path.write_text(
+        "SELECT case_id, account_id AS about, 'found' AS outcome, count(*) > 100 AS supported, 0.7 AS strength, NULL AS denominator, concat(account_id, ': ', count(*)) AS claim"
+        " FROM {ticket} JOIN {footprints} USING (account_id) WHERE created_at >= start AND created_at < end GROUP BY case_id, account_id"
+    )
+    own = dataclasses.replace(contracts[0], drivers=(*contracts[0].drivers, Driver("busy", probe=str(path), max_lag_days=10)))
+    mine = [x for x in SLICES if x[0] == "revenue"]
+    got = {(x.case_id, x.driver): x for x in investigated(m, [own], _openings(spark, mine), tables).collect()}
+    assert len(got) == 5 * len(mine) and len({got["-".join(s), "busy"].found_support for s in mine}) == 2
+    for k, p, r in [("revenue", "2024-03", "East"), ("revenue", "2024-02", "West")]:
+        for x in run_case(m, own, p, {"region": r}, "2024-01", tables, force=True).verdict.collect():
+            y = got[f"{k}-{p}-{r}", x.driver]
+            assert [y[c] for c in (*COLUMNS, "found_support")] == [x[c] for c in (*COLUMNS, "found_support")], (p, r, x.driver)
+    path.write_text("SELECT account_id AS about FROM {footprint}")
+    with pytest.raises(EvidenceError, match="footprints"):
+        investigated(m, [own], _openings(spark, mine), tables)
+    path.write_text("SELECT case_id, account_id AS about FROM {footprints}")
+    with pytest.raises(EvidenceError, match="no column outcome"):
+        investigated(m, [own], _openings(spark, mine), tables)
+
+
 def _events(spark):
     rows = [(f"a{i % 3}" if i % 7 else None, datetime(2024, 1, 1) + timedelta(hours=11 * i) if i % 13 else None) for i in range(200)]
     return rows, spark.createDataFrame(rows, "k string, at timestamp_ntz")

@@ -68,14 +68,22 @@ def probe(name: str) -> Callable[..., DataFrame]:
     return PROBES[name]
 
 
+def sql_text(spark: SparkSession, path: str) -> str:
+    """What a file of SQL says; one that isn't there is an error."""
+    try:
+        sql = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        raise EvidenceError(f"{path}: {e}") from e
+    return sql.value if sql else ""
+
+
 def sql_probe(spark: SparkSession, path: str, tables: dict[str, DataFrame], values: dict[str, object]) -> DataFrame:
     """The rows of a probe that is a file of SQL, which names its frames in braces, {ticket}, and its values by colons, :start.
 
     The accounts of a footprint are a frame too, however many there are. A file, frame or value that isn't there is an error.
     """
     try:
-        sql = spark.read.text(path, wholetext=True).first()
-        return spark.sql(sql.value if sql else "", args=values, **tables)
+        return spark.sql(sql_text(spark, path), args=values, **tables)
     except (AnalysisException, KeyError) as e:
         raise EvidenceError(f"{path}: {e}") from e
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.causes import Footprint, Tables, _segments
@@ -64,23 +64,30 @@ READERS: dict[str, Callable[[Tables, Footprint], DataFrame]] = {"ticket_spike":
 NEEDS = {"ticket_spike": ("ticket",), "price_delta": ("price_book", "account"), "lost_reason_scan": ("opportunity",), "incident_scan": ("incident",)}
 
 
+def sql_items(spark: SparkSession, path: str, tables: Tables, values: dict[str, object], keys: list[str] | None = None) -> DataFrame:
+    """The rows of a contract's own probe, a file of SQL, as items with the columns of SCHEMA, after those of keys. One that isn't there is an error."""
+    rows, keys = sql_probe(spark, path, tables, values), keys or []
+    if lacking := [n for n in (*keys, *(n for n, _ in _COLUMNS)) if n not in rows.columns]:
+        raise EvidenceError(f"{path}: no column {', '.join(lacking)}")
+    return rows.select(*keys, *(F.col(n).cast(t).alias(n) for n, t in _COLUMNS))
+
+
 def evidence(tables: Tables, drivers: list[Driver], at: Footprint) -> DataFrame | None:
     """id, driver, outcome, supports, contradicts, method, strength, coverage, denominator, claim of all drivers' probes.
 
     An unregistered probe is an error; one whose tables aren't there gives one item that can't be checked. A probe that
     is the path of a .sql file is the contract's own: sql_probe() runs it with the tables, {footprint} and the dates :start and
-    :end, and its rows are items with the columns of SCHEMA.
+    :end, and its rows are items with the columns of SCHEMA. In their place it may read {footprints}, with case_id, account_id,
+    start and end, and keep case_id: so written, it serves one case here and any number in investigated().
     """
     parts = []
     for d in drivers:
         if not d.probe:
             continue
         if d.probe.endswith(".sql"):
-            rows = sql_probe(at.accounts.sparkSession, d.probe, tables | {"footprint": at.accounts}, {"start": at.start, "end": at.end})
-            lacking = [n for n, _ in _COLUMNS if n not in rows.columns]
-            if lacking:
-                raise EvidenceError(f"{d.probe}: no column {', '.join(lacking)}")
-            parts.append(rows.select(*(F.col(n).cast(t).alias(n) for n, t in _COLUMNS)).withColumn("driver", F.lit(d.id)))
+            mine = {"footprint": at.accounts, "footprints": at.accounts.select(F.lit("").alias("case_id"), "account_id", F.lit(at.start).alias("start"), F.lit(at.end).alias("end"))}
+            rows = sql_items(at.accounts.sparkSession, d.probe, tables | mine, {"start": at.start, "end": at.end})
+            parts.append(rows.withColumn("driver", F.lit(d.id)))
             continue
         if d.probe not in READERS:
             raise EvidenceError(f"driver {d.id!r}: no reader of probe {d.probe!r}")

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.challenge import ELSEWHERE, LOCAL, TESTS
 from tidemark.operators.decompose import covering
-from tidemark.operators.evidence import SPIKE
+from tidemark.operators.evidence import SPIKE, EvidenceError, sql_text
 from tidemark.operators.intervals import overlapping, per_day, spike_counts, within
 from tidemark.operators.outcome import adjudicate, priority
-from tidemark.operators.probes import COMPETITOR_CODES
+from tidemark.operators.probes import COMPETITOR_CODES, sql_items
 from tidemark.operators.series import onsets, placebo, price_volume_mix, spearman
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import parse
@@ -204,6 +204,14 @@ class _Found:
         hit = overlapping(each, windows, ["key"], "started_at", "resolved_at", skewed=True)
         self.support.append(drivers.join(hit.select("case_id").distinct(), "case_id", "left_semi").select("case_id", "driver"))
 
+    def own(self, path: str) -> None:
+        """A contract's own probe over all cases' footprints: what it finds in a case, if it supports, supports its drivers there."""
+        drivers = self.of(path)
+        asked = self.feet.join(drivers.select("case_id").distinct(), "case_id", "left_semi").select("case_id", "account_id", "start", "end")
+        items = sql_items(self.feet.sparkSession, path, self.tables | {"footprints": asked}, {}, ["case_id"])
+        hit = items.where("outcome = 'found' AND supported").select("case_id").distinct()
+        self.support.append(drivers.join(hit, "case_id", "left_semi").select("case_id", "driver"))
+
     def _known(self, drivers: DataFrame, found: DataFrame) -> DataFrame:
         return drivers.select("case_id", "driver").join(found, "case_id").unionByName(self._nobody(drivers))
 
@@ -221,8 +229,9 @@ def investigated(model: Model, contracts: list[Contract], openings: DataFrame, t
 
     openings: case_id, kpi, period, dims and ceiling, a row a case, of any number of contracts, periods and slices. A row
     out for each case and driver with a probe; cases of contracts without one have none. Values are those of
-    run_case(). tables are the raw tables, with account; drivers whose tables aren't there stay inconclusive, and so
-    do those whose probe is a file of SQL, which is written for one case's footprint and isn't run here.
+    run_case(). tables are the raw tables, with account; drivers whose tables aren't there stay inconclusive. A probe that is
+    a file of SQL runs over all cases at once if it reads {footprints} (case_id, account_id, start, end) and keeps case_id,
+    see evidence(); one that is written for a single case, with {footprint}, can't be, and is an error.
 
     The number of jobs depends on the contracts and probes, not on the cases. What is read on the driver is the first and
     the last period. No key has more rows than an account has days, or a case accounts, before they are grouped.
@@ -246,6 +255,10 @@ def investigated(model: Model, contracts: list[Contract], openings: DataFrame, t
     for name, read in (("ticket_spike", found.tickets), ("price_delta", found.prices), ("lost_reason_scan", found.offers), ("incident_scan", found.incidents)):
         if any(p == name for _, _, p, _ in drivers) and all(t in tables for t in _READS[name]):
             read()
+    for path in dict.fromkeys(p for _, _, p, _ in drivers if p.endswith(".sql")):
+        if "{footprints}" not in sql_text(spark, path):
+            raise EvidenceError(f"{path} reads one case's {{footprint}}; of many cases a probe reads {{footprints}}")
+        found.own(path)
 
     results = {"dose": _union(found.intensities) if found.intensities else None}
     if found.onsets and "renewal" in tables:
