@@ -137,3 +137,14 @@ def test_a_hot_key_of_padding_is_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert not found[: 20_000 - 49].any() and found[20_000 - 49 :].all() and peak < 3 * len(found)
+
+
+def test_blocks_with_nothing_to_send(spark):
+    """Texts under 50 bytes only, and blocks that share nothing with any other."""
+    short = spark.createDataFrame([(i, "a short text" * (i % 3)) for i in range(40)], "doc_id long, text string")
+    apart = spark.createDataFrame([(i, hashlib.sha512(str(i).encode()).hexdigest() * (i % 2)) for i in range(40)], "doc_id long, text string")
+    for docs in (short, apart):
+        for block in (200, 1 << 23):
+            got = without_repeats(docs, block_bytes=block).collect()
+            assert len(got) == 40 and {(r.n_removed, r.n_spans) for r in got} == {(0, 0)}
+            assert {r.doc_id: r.kept_sha256 for r in got} == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}

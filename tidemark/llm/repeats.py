@@ -121,12 +121,12 @@ class Block:
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of the keys by bucket, and (bucket, from, to) in this order."""
+    """An order of the keys by bucket, and (bucket, from, to) in this order; of no key, none."""
     with np.errstate(over="ignore"):
         bucket = ((keys.astype(np.uint64) * _C >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     found, begin = np.unique(bucket[order], return_index=True)
-    return order, [*zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True)]
+    return order, [*zip(found.tolist(), begin.tolist(), np.r_[begin, len(keys)][1:].tolist(), strict=True)]
 
 
 def _packed(keys: np.ndarray) -> bytes:
