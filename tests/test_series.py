@@ -1,13 +1,15 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.functions.series import change_points, stl
-from tidemark.operators.series import daily, jaccard, onsets, persistence, placebo, price_volume_mix, robust_z, spearman
+from tidemark.functions.series import change_points, stl, stl_many
+from tidemark.operators.series import daily, false_alarms, jaccard, onsets, persistence, placebo, price_volume_mix, robust_z, spearman
+from tidemark.plans.contract import Materiality
 from pyspark.sql import functions as F
 
 
@@ -74,6 +76,42 @@ def test_stl_adds_up_and_finds_the_season():
         stl(y, 1)
 
 
+@pytest.mark.parametrize("n, period", [(36, 12), (24, 12), (37, 12), (60, 12), (29, 7)])
+def test_stl_of_many_is_that_of_each(n, period):
+    rng = np.random.default_rng(n)
+    y = 100 + 10 * np.sin(2 * np.pi * np.arange(n) / period) + rng.normal(0, 2, (40, n))
+    y[5, n // 2] += 50
+    y[6], y[7], y[8, ::3], y[9] = 3.0, 0.0, 0.0, rng.integers(0, 2, n)
+    for got, want in zip(stl_many(y, period), zip(*(stl(row, period) for row in y))):
+        assert np.allclose(got, np.array(want), atol=1e-9)
+    assert all(part.shape == (0, n) for part in stl_many(y[:0], period))
+    with pytest.raises(ValueError):
+        stl_many(y[:, : 2 * period - 1], period)
+
+
+def alarm(trial, months, noise, season, rules, seed):
+    t = np.arange(months)
+    y = 100 * (1 + season * np.sin(2 * np.pi * t / 12)) + np.random.default_rng([seed, trial]).normal(0, noise * 100, months)
+    r = stl(y)[2]
+    z = (r - np.median(r)) / (1.4826 * np.median(np.abs(r - np.median(r))))
+    run = 0
+    while run < months and abs(z[-1]) > rules.z_threshold and abs(z[-1 - run]) > 1 and z[-1 - run] * z[-1] > 0:
+        run += 1
+    return run >= rules.min_persistence and abs(y[-1] / y[-2] - 1) >= rules.relative and abs(y[-1] - y[-2]) >= rules.absolute
+
+
+def test_false_alarms_are_those_of_each_series(spark):
+    for rules in (Materiality(0.0, 0.0, 1, 1.0), Materiality(0.01, 1.0, 2, 1.5)):
+        r = one(false_alarms(spark.range(200), 36, 0.02, 0.1, rules, 3))
+        assert r.trials == 200 and 0 < r.rate and math.isclose(r.rate, sum(alarm(i, 36, 0.02, 0.1, rules, 3) for i in range(200)) / 200)
+
+
+def test_false_alarms_of_many_series_take_seconds(spark):
+    start = time.monotonic()
+    r = one(false_alarms(spark.range(30_000), 36, 0.02, 0.1, Materiality(0.03, 1.0)))
+    assert r.trials == 30_000 and time.monotonic() - start < 60  # one at a time: some minutes
+
+
 def best_by_trying(y, least, penalty):
     cost = lambda a, b: ((y[a:b] - y[a:b].mean()) ** 2).sum()
     best = {0: (-penalty, [])}
