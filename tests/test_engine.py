@@ -5,10 +5,10 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import band, crore, minutes_crossed, percent, quotes, scrubbed, tokens
+from tidemark.functions.columns import band, crore, exact_sum, minutes_crossed, percent, quotes, scrubbed, tokens
 from tidemark.operators.challenge import locality, timing
 from tidemark.operators.conform import ConformanceError, conform_keys, fiscal_calendar, flag_tests
-from tidemark.operators.decompose import contributions, covering, pair, tree
+from tidemark.operators.decompose import contributions, covering, display, pair, tree
 from tidemark.operators.entitle import NotEntitled, allowed, check_case, masked, statement
 from tidemark.operators.evidence import EvidenceError, broken, probe, sql_probe, ticket_spike
 from tidemark.operators.feedback import enumerated, promoted
@@ -40,6 +40,27 @@ def test_every_dimension_adds_up_to_the_whole(spark, sf):
         assert len(sums) == 3 and all(abs(s - (panel[CURRENT] - panel["2001-06"])) < 1e-6 * max(1, abs(panel[CURRENT])) for s in sums)
 
 
+def test_keys_with_the_same_rows_tie(spark):
+    def lines(rows):
+        return spark.createDataFrame(rows, "account_id long, amount_net double, day string").withColumn("day", F.to_date("day")).coalesce(1)
+
+    up = [(a, v, "2024-02-01") for a, vs in ((2, (0.1, 0.2, 0.3)), (1, (0.3, 0.2, 0.1)), (3, (0.1, 0.2, 0.3))) for v in vs]
+    back = lines([(3, v, "2024-02-01") for v in (0.3, 0.2, 0.1)]).withColumnRenamed("amount_net", "amount")
+    m = Model({"sales": Fact(lines(up), "day"), "refunds": Fact(back, "day")})
+    nodes = contributions(m, CONTRACTS["net_sales"], ["account_id"], "2024-02", "2024-01")
+    assert sorted((r.key, r.delta, r.share) for r in nodes.collect()) == [("1", 0.6, 0.5), ("2", 0.6, 0.5)]  # 3 sent all back
+    assert sorted((r.key, r.share, r.n_keys) for r in display(nodes, 1).collect()) == [("1", 0.5, 1), ("others", 0.5, 1)]
+
+
+def test_exact_sums(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [0.1] * 10, "b": [1e300, 1.0, -1e300], "c": [1.0, inf], "d": [inf, -inf], "e": [nan, 2.0], "f": [1e-20, 2e-20], "g": [None, None], "h": [None, 4.5], "i": [-1e15, 0.25, 1e15], "j": [1e17, 5.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").coalesce(1)
+    got = {r.k: r.s for r in df.groupBy("k").agg(exact_sum(F.col("v")).alias("s")).collect()}
+    assert got["a"] == 1.0 and got["b"] == 1.0 and got["c"] == inf and got["d"] != got["d"] and got["e"] != got["e"]
+    assert abs(got["f"] - 3e-20) < 1e-30 and got["g"] is None and got["h"] == 4.5 and got["i"] == 0.25 and got["j"] == 1e17 + 5
+
+
 def test_children_cover_their_parent(spark, sf):
     rows = tree(model(spark, sf), CONTRACTS["net_sales"], ["region", "segment"], CURRENT, "2001-06").collect()
     top = {r.path[0]: r.delta for r in rows if r.depth == 1}

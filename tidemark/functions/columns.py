@@ -29,6 +29,21 @@ def band(amount: Column) -> Column:
     return F.when(amount.isNotNull(), F.concat(F.when(amount < 0, F.lit("−")).otherwise(F.lit("")), label))
 
 
+#: Fixed point of exact_sum(): 16 digits before the point, 12 behind it.
+FIXED = "decimal(28,12)"
+
+
+def exact_sum(value: Column) -> Column:
+    """sum() of doubles that doesn't hang on the order of rows, so equal rows have equal sums and opposite ones none.
+
+    Values are added up in fixed point; what that leaves of them (further digits, too large or not finite) is added as
+    doubles.
+    """
+    value = value.cast("double")
+    fixed = F.coalesce(value.try_cast(FIXED), F.lit(0).cast(FIXED))
+    return F.sum(fixed).cast("double") + F.sum(value - fixed.cast("double"))
+
+
 def alias(account_id: Column) -> Column:
     """One stable name for an account, whatever it is called where it stands."""
     return F.concat(F.lit("Account "), F.substring(F.sha2(account_id.cast("string").cast("binary"), 256), 1, 4))

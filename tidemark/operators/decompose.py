@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import exact_sum
 from tidemark.operators.series import price_volume_mix
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import parse
@@ -18,9 +19,13 @@ COVERAGE, DEPTH, TOLERANCE = 0.8, 3, 0.02
 
 
 def pair(model: Model, contract: Contract, dims: list[str], current: str, previous: str) -> DataFrame:
-    """For each slice: num0, den0, num1, den1 of two periods, in one grouping; a missing side is 0."""
+    """For each slice: num0, den0, num1, den1 of two periods, in one grouping; a missing side is 0.
+
+    Sums are exact: leading keys are put in order by their changes and those without one drop out, which rounding that
+    hangs on the order of rows would decide where keys have the same rows.
+    """
     formula = parse(contract.formula, frozenset(model.facts))
-    terms, names = term_panel(model, contract, [formula], dims, months=(previous, current))
+    terms, names = term_panel(model, contract, [formula], dims, months=(previous, current), exact=True)
     num, den, _ = valued(formula, names)
     two = terms.where(F.col("period").isin(current, previous)).select("period", *dims, num.alias("num"), den.alias("den"))
 
@@ -56,7 +61,7 @@ def contributions(model: Model, contract: Contract, dims: list[str], current: st
     if _adds_up(contract):
         whole = fine = fine or settled(pair(model, contract, dims, current, previous))
         one = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dims)))
-        parts = fine.withColumn("k", one).groupBy("k.dimension", "k.key").agg(*(F.sum(c).alias(c) for c in sides))
+        parts = fine.withColumn("k", one).groupBy("k.dimension", "k.key").agg(*(exact_sum(F.col(c)).alias(c) for c in sides))
     else:
         whole = pair(model, contract, [], current, previous)
         each = [pair(model, contract, [d], current, previous).select(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key"), *sides) for d in dims]
@@ -118,7 +123,7 @@ def tree(model: Model, contract: Contract, dims: list[str], current: str, previo
     for level in range(1, len(order) + 1):
         on = order[:level]
         rows = fine if _adds_up(contract) else pair(model, contract, on, current, previous)
-        sides = rows.groupBy(*(F.col(d).cast("string").alias(d) for d in on)).agg(F.sum("num0").alias("num0"), F.sum("num1").alias("num1"))
+        sides = rows.groupBy(*(F.col(d).cast("string").alias(d) for d in on)).agg(*(exact_sum(F.col(c)).alias(c) for c in ("num0", "num1")))
         now = _over_whole(contract, sides, whole).select(*on, "delta").where("delta <> 0")
         if parents is None:
             of = nodes.where(F.col("dimension") == on[0]).select(F.col("key").alias(on[0]), "share")

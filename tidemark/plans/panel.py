@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import exact_sum
 from tidemark.plans.contract import Contract
 from tidemark.plans.formula import Formula, FormulaError, Term, parse
 
@@ -121,8 +122,15 @@ def _to_be_joined(model: Model, table: str, dims: list[str]) -> list[str]:
     return missing if missing and there and _larger_than_broadcast(model.accounts) else []
 
 
-def _table_terms(model: Model, table: str, terms: list[tuple[int, Term]], filters: list[str], dims: list[str], fiscal: bool, months: tuple[str, ...]) -> DataFrame:
-    aggregates = [F.expr(t.sql).cast("double").alias(f"t{i}") for i, t in terms]
+def _aggregate(term: Term, df: DataFrame, exact: bool) -> Column:
+    if exact and term.aggregate == "SUM" and df.select(F.expr(term.inner)).dtypes[0][1] in ("double", "float"):
+        return exact_sum(F.expr(term.inner))
+    return F.expr(term.sql).cast("double")
+
+
+def _table_terms(model: Model, table: str, terms: list[tuple[int, Term]], filters: list[str], dims: list[str], fiscal: bool, months: tuple[str, ...], exact: bool) -> DataFrame:
+    aggregates = [_aggregate(t, model.facts[table].df, exact).alias(f"t{i}") for i, t in terms]
+    total = exact_sum if exact else F.sum
     keys = ["period", *dims]
     missing = _to_be_joined(model, table, dims)
     if missing and all(t.aggregate in ("SUM", "COUNT") for _, t in terms):
@@ -130,23 +138,23 @@ def _table_terms(model: Model, table: str, terms: list[tuple[int, Term]], filter
         direct = [d for d in dims if d not in missing]
         small = scoped(model, table, filters, direct, fiscal, months).groupBy("period", "account_id", *direct).agg(*aggregates)
         with_dims = small.join(model.accounts.select("account_id", *missing), "account_id")
-        return labelled(with_dims.groupBy(*keys).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i, _ in terms)), fiscal)
+        return labelled(with_dims.groupBy(*keys).agg(*(total(F.col(f"t{i}")).alias(f"t{i}") for i, _ in terms)), fiscal)
     return labelled(scoped(model, table, filters, dims, fiscal, months).groupBy(*keys).agg(*aggregates), fiscal)
 
 
-def term_panel(model: Model, contract: Contract, formulas: list[Formula], dims: list[str], fiscal: bool = False, months: tuple[str, ...] = ()) -> tuple[DataFrame, dict[tuple, str]]:
+def term_panel(model: Model, contract: Contract, formulas: list[Formula], dims: list[str], fiscal: bool = False, months: tuple[str, ...] = (), exact: bool = False) -> tuple[DataFrame, dict[tuple, str]]:
     """period, the dimensions and a column for each distinct term of all the formulas; null where a table has no row.
 
     Each table is read and grouped once, whatever the number of its terms and formulas, and only from the first to the last
     of the months, if any are given. Tables meet in a union and one more grouping, which, unlike a full join, also
-    matches null dimensions.
+    matches null dimensions. With exact, sums don't hang on the order of rows.
     """
     distinct = list({t.key: t for f in formulas for t in f.terms}.values())
     filters = _filters(model, contract, formulas)
     by_table: dict[str, list[tuple[int, Term]]] = {}
     for i, t in enumerate(distinct):
         by_table.setdefault(t.table, []).append((i, t))
-    parts = [_table_terms(model, table, terms, filters[table], dims, fiscal, months) for table, terms in by_table.items()]
+    parts = [_table_terms(model, table, terms, filters[table], dims, fiscal, months, exact) for table, terms in by_table.items()]
     panel = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
